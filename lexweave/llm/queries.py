@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .packing import op1_best_fit_packing
 from .simhash import op2_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup)}
 ORACLE: dict[str, str] = {}
