@@ -15,6 +15,8 @@ import functools
 import math
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import remainder, settle, texts_of, with_columns
 
 #: Bound on the labelled documents that fit() gets, and on their characters; the latter thins the sample by hash.
-MAX_SAMPLE, MAX_SAMPLE_CHARS = 10_000, 40_000_000
+MAX_SAMPLE, MAX_SAMPLE_CHARS = 10_000, 24_000_000
 FEATURES = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 #: A feature counts only if at least so many sampled documents have it.
@@ -99,24 +101,26 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(FEATURES), 6.0 if len(y) and y.min() else -12.0)
     vocabulary: dict[str, int] = {}
-    words, starts, doc_of, at = [], [], [], 0
+    token, start, doc = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for s in sentences(text):
-            found = [vocabulary.setdefault(w, len(vocabulary)) for w in word_parts(s.lower())]
-            if found:
-                starts.append(at)
-                doc_of.append(d)
-                words.append(np.array(found, np.int32))
-                at += len(found)
-    if not words:
+            if found := word_parts(s.lower()):
+                start.append(len(token))
+                doc.append(d)
+                token.extend([vocabulary.setdefault(w, len(vocabulary)) for w in found])
+    if not token:
         return Model(np.zeros(FEATURES), -12.0)
-    token, start, doc = np.concatenate(words), np.array(starts), np.array(doc_of)
-    of_word = [features(w) for w in vocabulary]
-    row = np.repeat(np.arange(len(of_word)), [len(x) for x in of_word])
-    col = np.fromiter((f for x in of_word for f in x), np.int64, len(row))
+    token, start, doc = (np.array(x, np.int32) for x in (token, start, doc))
+    n_words, row, col = len(vocabulary), array("i"), array("i")
+    for i, w in enumerate(vocabulary):
+        found = features(w)
+        row.extend([i] * len(found))
+        col.extend(found)
+    del vocabulary
+    row, col = np.array(row, np.int32), np.array(col, np.int32)
     # Words that occur in at least MIN_DOCS documents through a feature: others keep weight zero.
-    pairs = np.unique(np.repeat(doc, np.diff(np.r_[start, len(token)])).astype(np.int64) * len(of_word) + token)
-    seen = np.bincount(col, weights=np.bincount(pairs % len(of_word), minlength=len(of_word))[row], minlength=FEATURES)
+    pairs = np.unique(np.repeat(doc, np.diff(np.r_[start, len(token)])).astype(np.int64) * n_words + token)
+    seen = np.bincount(col, weights=np.bincount(pairs % n_words, minlength=n_words)[row], minlength=FEATURES)
     use = seen[col] >= MIN_DOCS
     row, col = row[use], col[use]
     kept, col = np.unique(col, return_inverse=True)
@@ -124,12 +128,12 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     moment, square = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     sizes = np.diff(np.r_[start, len(token)])
     for step in range(1, EPOCHS + 1):
-        weight = np.bincount(row, weights=theta[col], minlength=len(of_word))
+        weight = np.bincount(row, weights=theta[col], minlength=n_words)
         z = bias + np.add.reduceat(weight[token], start)
         doubt = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(y)) + 1e-12
         pull = np.where(y > 0, -1 / np.expm1(np.minimum(doubt, 50)), 1.0)
         slope = np.clip(pull[doc], -1e4, 1) / (1 + np.exp(-np.clip(z, -50, 50)))
-        by_word = np.bincount(token, weights=np.repeat(slope, sizes), minlength=len(of_word))
+        by_word = np.bincount(token, weights=np.repeat(slope, sizes), minlength=n_words)
         grad = np.r_[np.bincount(col, weights=by_word[row], minlength=len(kept)) / len(y) + SPARSITY, slope.sum() / len(y)]
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
@@ -140,17 +144,32 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(weights, bias)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most MAX_SAMPLE labelled texts with their labels. Of conflicting labels of an id the larger counts; null labels and ids don't."""
+def training_sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """At most MAX_SAMPLE labelled texts: (text, label). Of conflicting labels of an id the larger counts; null labels and ids don't."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if learn is not None:
         known = known.where(learn)
     chosen = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_SAMPLE)
-    got = settle(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col), "toxicity-sample")
-    size = got.agg(F.sum(F.length("_text"))).first()[0] or 0
+    got = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col)
+    got = settle(got.select(F.xxhash64(id_col).alias("_order"), F.col("_text").alias("text"), F.col("_label").alias("label")), "toxicity-sample")
+    size = got.agg(F.sum(F.length("text"))).first()[0] or 0
     share = min(1.0, MAX_SAMPLE_CHARS / max(1, size))
-    rows = got.where((F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).orderBy(F.xxhash64(id_col), id_col, "_text").limit(MAX_SAMPLE).select("_text", "_label").collect()
-    return [r[0] for r in rows], [r[1] for r in rows]
+    return got.where(F.pmod(F.xxhash64("_order", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("_order", "text").limit(MAX_SAMPLE).select("text", "label")
+
+
+def trained(sample: DataFrame) -> Model:
+    """fit() on a bounded sample(text, label), in one task of an executor; the driver gets the weights alone."""
+    import pickle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for part in batches:
+            texts += part.column("text").to_pylist()
+            labels += part.column("label").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, labels))])], names=["model"])
+
+    got = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else fit([], [])
 
 
 @functools.cache
@@ -191,6 +210,6 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    model = fit(*training_sample(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"))))
+    model = trained(training_sample(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"))))
     got = scored(docs, model, keep=["doc_id"])
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
