@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .embeddings import op7_embedding_near_dedup
 from .mixing import op4_mixing
 from .packing import op1_best_fit_packing
 from .simhash import op2_simhash_near_dedup
 from .tokens import op10_token_counts
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op4_mixing, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op4_mixing, op7_embedding_near_dedup, op9_toxicity, op10_token_counts)}
 ORACLE: dict[str, str] = {}
