@@ -29,9 +29,11 @@ from .common import remainder, settle, texts_of, with_columns
 MAX_SAMPLE, MAX_SAMPLE_CHARS = 10_000, 24_000_000
 FEATURES = 1 << 18
 PREFIXES = (3, 4, 5, 6)
-#: A feature counts only if at least so many sampled documents have it.
-MIN_DOCS = 3
-EPOCHS, RATE, SPARSITY = 80, 0.15, 2e-4
+#: A feature counts only if at least so many sampled documents have it, and so large a part of them.
+MIN_DOCS, MIN_SHARE = 3, 1e-3
+EPOCHS, RATE, SPARSITY = 120, 0.15, 1e-4
+#: The bias before training: a long text of clean sentences must not add up to a toxic one.
+START = -10.0
 THRESHOLD = 0.3
 #: Distinct words whose weight a worker remembers.
 REMEMBERED = 300_000
@@ -118,13 +120,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         col.extend(found)
     del vocabulary
     row, col = np.array(row, np.int32), np.array(col, np.int32)
-    # Words that occur in at least MIN_DOCS documents through a feature: others keep weight zero.
+    # Words that occur in enough documents through a feature: others keep weight zero.
     pairs = np.unique(np.repeat(doc, np.diff(np.r_[start, len(token)])).astype(np.int64) * n_words + token)
     seen = np.bincount(col, weights=np.bincount(pairs % n_words, minlength=n_words)[row], minlength=FEATURES)
-    use = seen[col] >= MIN_DOCS
+    use = seen[col] >= max(MIN_DOCS, MIN_SHARE * len(y))
     row, col = row[use], col[use]
     kept, col = np.unique(col, return_inverse=True)
-    theta, bias = np.zeros(len(kept)), -7.0
+    theta, bias = np.zeros(len(kept)), START
     moment, square = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     sizes = np.diff(np.r_[start, len(token)])
     for step in range(1, EPOCHS + 1):
