@@ -8,6 +8,7 @@ from .packing import op1_best_fit_packing
 from .simhash import op2_simhash_near_dedup
 from .tokens import op10_token_counts
 from .toxicity import op9_toxicity
+from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op4_mixing, op7_embedding_near_dedup, op9_toxicity, op10_token_counts)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op4_mixing, op6_warc, op7_embedding_near_dedup, op9_toxicity, op10_token_counts)}
+ORACLE: dict[str, str] = {"op6_warc": OP6_SQL}
