@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat_formatting
 from .embeddings import op7_embedding_near_dedup
 from .mixing import op4_mixing
 from .packing import op1_best_fit_packing
@@ -10,5 +11,5 @@ from .tokens import op10_token_counts
 from .toxicity import op9_toxicity
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op4_mixing, op6_warc, op7_embedding_near_dedup, op9_toxicity, op10_token_counts)}
-ORACLE: dict[str, str] = {"op6_warc": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op4_mixing, op5_chat_formatting, op6_warc, op7_embedding_near_dedup, op9_toxicity, op10_token_counts)}
+ORACLE: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op6_warc": OP6_SQL}
