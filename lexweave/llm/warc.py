@@ -29,7 +29,9 @@ from .common import fresh_path, settle, slices
 LEAST_REVISIT = 1000
 #: Uncompressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 256 << 20
-LEVEL, CHUNK = 4, 1 << 20
+LEVEL, CHUNK = 6, 1 << 20
+#: Groups of equal payloads up to which their table is broadcast (some 30 MB); beyond, pages are shuffled to it.
+BROADCAST_GROUPS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = 16 + zlib.MAX_WBITS
@@ -140,6 +142,9 @@ def resolve(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", u
     rows = pages.select(F.col(id_col).alias("ident"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
     groups = rows.where("digest is not null").groupBy("digest").agg(F.max("ident").alias("stored"), F.count("*").alias("n")).where("n > 1 and stored is not null").select(F.col("digest").alias("d"), "stored")
+    groups = settle(groups, "warc-groups")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     joined = rows.join(groups, F.col("digest") == F.col("d"), "left")
     revisit = F.col("stored").isNotNull() & ~F.col("ident").eqNullSafe(F.col("stored"))
     return joined.select("ident", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("stored")).alias("refers_to"))
