@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
 from .embeddings import op7_embedding_near_dedup
+from .lm import op3_lm_scoring
 from .media import op8_media_columns
 from .mixing import op4_mixing
 from .packing import op1_best_fit_packing
@@ -12,5 +13,17 @@ from .tokens import op10_token_counts
 from .toxicity import op9_toxicity
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op4_mixing, op5_chat_formatting, op6_warc, op7_embedding_near_dedup, op8_media_columns, op9_toxicity, op10_token_counts)}
+_ALL = (
+    op1_best_fit_packing,
+    op2_simhash_near_dedup,
+    op3_lm_scoring,
+    op4_mixing,
+    op5_chat_formatting,
+    op6_warc,
+    op7_embedding_near_dedup,
+    op8_media_columns,
+    op9_toxicity,
+    op10_token_counts,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op6_warc": OP6_SQL}
