@@ -1,7 +1,439 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with SQL where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import string
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.vectors import cosine
+from ..operators import encoders, explain, graph, html, network, search, tfidf
+from ..operators import paragraphs as P
+from .fixtures import SQL, Corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "rrf_fusion"
+
+CLC = [("case", "cites", "legislation"), ("legislation", "cited_by", "case")]
+CSC = [("case", "has_subject", "subject_matter"), ("subject_matter", "related_to", "case")]
+CLLC = [("case", "cites", "legislation"), ("legislation", "cites", "legislation"), ("legislation", "cited_by", "case")]
+TOP, EVERY = 10, 50
+
+
+def query(sql: str | None = None, prelude: bool = True):
+    """Register a query under its function's name; sql goes after the fixtures' common table expressions unless prelude is false."""
+
+    def add(run: Callable[[Corpus], DataFrame]):
+        QUERIES[run.__name__] = lambda spark, sf_dir: run(Corpus(spark, sf_dir))
+        if sql:
+            ORACLE[run.__name__] = f"WITH {SQL.strip()}\n{sql.strip()}" if prelude else sql.strip()
+        return run
+
+    return add
+
+
+def _graph(c: Corpus) -> DataFrame:
+    return graph.typed_graph(c.citations(), c.subjects(), c.case_ids(), c.leg_ids())
+
+
+def _relation(c: Corpus, k: int) -> DataFrame:
+    r = graph.FORWARD[k]
+    return graph.citation_edges(c.subjects() if r[2] == "subject_matter" else c.citations(), r, c.case_ids(), c.leg_ids())
+
+
+@query("SELECT source, target FROM cc")
+def case_case_edges(c):
+    return _relation(c, 0)
+
+
+@query("SELECT source, target FROM cl")
+def case_leg_edges(c):
+    return _relation(c, 1)
+
+
+@query("SELECT source, target FROM cs")
+def case_subject_edges(c):
+    return _relation(c, 2)
+
+
+@query("SELECT source, target FROM ll")
+def leg_leg_edges(c):
+    return _relation(c, 3)
+
+
+@query("SELECT source, target FROM ls")
+def leg_subject_edges(c):
+    return _relation(c, 4)
+
+
+@query("SELECT * FROM graph WHERE (src_type, rel) IN (('legislation', 'cited_by'), ('subject_matter', 'related_to'))")
+def reverse_edges(c):
+    return _graph(c).where((F.col("rel") == "cited_by") | (F.col("rel") == "related_to"))
+
+
+@query("SELECT type, id, idx FROM idx")
+def node_index(c):
+    return graph.dense_index(graph.nodes_of(_graph(c)))
+
+
+@query("SELECT src_type, rel, dst_type, s.idx AS src, d.idx AS dst FROM graph JOIN idx s ON s.type = src_type AND s.id = source JOIN idx d ON d.type = dst_type AND d.id = target")
+def encoded_edges(c):
+    g = _graph(c)
+    return graph.encode(g, graph.dense_index(graph.nodes_of(g)))
+
+
+@query("SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM (SELECT source, target FROM graph)")
+def undirected_simple_graph(c):
+    return graph.judgment_graph(c.citations(), c.subjects(), c.case_ids())[1]
+
+
+@query("""
+, e AS (SELECT DISTINCT source AS node, target AS nbr FROM graph UNION SELECT target, source FROM graph)
+SELECT node, n.type AS nbr_type, count(*) AS n, min(nbr) AS first, max(nbr) AS last FROM e JOIN nodes n ON n.id = nbr GROUP BY ALL
+""")
+def neighbors_by_type(c):
+    nodes, edges = graph.judgment_graph(c.citations(), c.subjects(), c.case_ids())
+    got = graph.neighbours_by_type(nodes, edges)
+    return got.select("node", "nbr_type", F.size("nbrs").cast("long").alias("n"), F.col("nbrs")[0].alias("first"), F.element_at("nbrs", -1).alias("last"))
+
+
+@query('SELECT DISTINCT a.source AS start, b.source AS "end" FROM cl a JOIN cl b USING (target)')
+def metapath_case_leg_case(c):
+    return graph.metapath_pairs(_graph(c), CLC)
+
+
+@query('SELECT DISTINCT a.source AS start, b.source AS "end" FROM cs a JOIN cs b USING (target)')
+def metapath_case_subject_case(c):
+    return graph.metapath_pairs(_graph(c), CSC)
+
+
+@query('SELECT DISTINCT a.source AS start, b.source AS "end" FROM cl a JOIN ll ON a.target = ll.source JOIN cl b ON b.target = ll.target')
+def metapath_case_leg_leg_case(c):
+    return graph.metapath_pairs(_graph(c), CLLC)
+
+
+@query("""
+, e AS (SELECT DISTINCT source, target FROM citations)
+SELECT source, target AS id FROM e WHERE source IN (SELECT id FROM case_node)
+UNION SELECT a.source, b.target FROM e a JOIN e b ON a.target = b.source WHERE a.source IN (SELECT id FROM case_node)
+UNION SELECT target, source FROM e WHERE target IN (SELECT id FROM case_node)
+""")
+def citation_khop(c):
+    return graph.neighbourhood(c.citations(), c.case_ids(), 2, 1)
+
+
+@query("""
+, codes AS (
+  SELECT substr(p_brand, 7, 1) || '.' || substr(p_brand, 8, 1) || '.' || p_size AS code FROM part
+  UNION ALL SELECT substr(p_brand, 7, 1) || '.' || substr(p_brand, 8, 1) FROM part WHERE p_size > 25
+  UNION ALL SELECT substr(p_brand, 7, 1) FROM part WHERE p_size > 10 UNION ALL SELECT p_brand || '.1' FROM part),
+n AS (SELECT DISTINCT code FROM codes WHERE regexp_matches(split_part(code, '.', 1), '^[0-9]+$'))
+SELECT regexp_replace(code, '\\.[^.]*$', '') AS source, code AS target FROM n WHERE contains(code, '.') AND regexp_replace(code, '\\.[^.]*$', '') IN (SELECT code FROM n)
+""".replace("\\\\", "\\"))
+def code_hierarchy(c):
+    brand = F.concat(F.substring("p_brand", 7, 1), F.lit("."), F.substring("p_brand", 8, 1))
+    codes = c.part.select(F.concat(brand, F.lit("."), F.col("p_size").cast("string")).alias("code"))
+    codes = codes.union(c.part.where("p_size > 25").select(brand)).union(c.part.where("p_size > 10").select(F.substring("p_brand", 7, 1))).union(c.part.select(F.concat("p_brand", F.lit(".1"))))
+    return graph.code_hierarchy(codes)[1]
+
+
+@query("""
+, pp AS (SELECT '6' || o_custkey AS doc, '6' || o_orderkey AS para FROM orders),
+dc AS (SELECT DISTINCT '6' || a.c_custkey AS source, '6' || b.c_custkey AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 AND a.c_nationkey <= b.c_nationkey)
+SELECT DISTINCT x.para AS source, y.para AS target FROM dc JOIN pp x ON x.doc = dc.source JOIN pp y ON y.doc = dc.target
+""")
+def para_para_edges(c):
+    paras = c.orders.select(F.concat(F.lit("6"), F.col("o_custkey").cast("string")).alias("doc"), F.concat(F.lit("6"), F.col("o_orderkey").cast("string")).alias("para"))
+    a = c.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    b = c.customer.select((F.col("c_custkey") - 1).alias("k"), F.col("c_custkey").alias("next"), F.col("c_nationkey").alias("m"))
+    cites = a.join(b, "k").where("n <= m").select(F.concat(F.lit("6"), F.col("k").cast("string")).alias("source"), F.concat(F.lit("6"), F.col("next").cast("string")).alias("target"))
+    return graph.paragraph_pairs(cites, paras)
+
+
+@query("""
+, pp AS (SELECT '6' || o_orderkey AS doc, '6' || o_orderkey || '_' || l_linenumber AS para FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT DISTINCT para AS source, target FROM cl JOIN pp ON doc = source
+""")
+def para_leg_edges(c):
+    doc = F.concat(F.lit("6"), F.col("l_orderkey").cast("string"))
+    paras = c.lineitem.join(c.orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(doc.alias("doc"), F.concat(doc, F.lit("_"), F.col("l_linenumber").cast("string")).alias("para"))
+    return graph.paragraph_legislation(_relation(c, 1), paras)
+
+
+@query("SELECT celex, seq, para, text FROM filled")
+def paragraph_ffill(c):
+    return P.fill_numbers(c.paragraphs()).select("celex", "seq", "para", "text")
+
+
+@query("SELECT celex, key, text, seq FROM keys")
+def paragraph_keys(c):
+    return P.keyed(P.fill_numbers(c.paragraphs())).select("celex", "key", "text", "seq")
+
+
+@query("SELECT celex, key FROM keys WHERE len(string_split(key, '_')) = 3")
+def operative_only(c):
+    return P.operative_only(P.keyed(P.fill_numbers(c.paragraphs()))).select("celex", "key")
+
+
+@query("SELECT celex, string_agg(text, ' ' ORDER BY group_seq, seq, text) AS text FROM keys GROUP BY celex")
+def article_concat(c):
+    return P.articles(P.keyed(P.fill_numbers(c.paragraphs())))
+
+
+@query("""
+, i AS (SELECT *, sum(CASE WHEN para_num IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY celex ORDER BY seq) AS island FROM paras)
+SELECT celex, min(seq) AS seq, max(para_num) AS para_num, string_agg(text, ' ' ORDER BY seq) AS text FROM i WHERE island > 0 GROUP BY celex, island
+""")
+def continuation_merge(c):
+    return P.merge_continuations(c.paragraphs().withColumn("is_header", F.col("para_num").isNotNull()))
+
+
+def _sql_clean(c: str) -> str:
+    c = f"replace({c}, chr(160), ' ')"
+    for p in X.CITATIONS:
+        c = f"regexp_replace({c}, '{p.replace(chr(92) + 'd', '\\p{Nd}')}', '', 'g')"
+    space = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    c = f"replace({c}, '…', '')"
+    c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_.{space}]', '', 'g')"
+    c = f"regexp_replace(replace(regexp_replace({c}, '\\p{{Nd}}+', '', 'g'), 'TFEU', ''), '\\n', ' ', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '  +', ' ', 'g'), '^[{space}]+', ''), '[{space}]+$', '')"
+
+
+@query(f"SELECT doc_id, {_sql_clean('text')} AS text FROM documents", prelude=False)
+def text_clean_no_dedupe(c):
+    return c.documents.select("doc_id", X.clean(F.col("text"), collapse=False).alias("text"))
+
+
+@query()
+def text_clean(c):
+    return c.documents.select("doc_id", X.clean(F.col("text")).alias("text"))
+
+
+@query()
+def html_paragraphs(c):
+    return html.extract(c.pages, "page_id", "html")
+
+
+_PUNCTUATION = string.punctuation.replace("'", "''")
+_TERMS = f"""
+t AS (SELECT doc_id AS doc, unnest(string_split_regex(translate(lower(text), '{_PUNCTUATION}', ''), '[\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+')) AS term FROM documents),
+tf AS (SELECT doc, term, count(*) AS tf FROM t WHERE length(term) > 1 GROUP BY doc, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(*) AS n FROM documents),
+voc AS (SELECT term, df, ln((1.0e0 + n) / (1.0e0 + df)) + 1.0e0 AS idf FROM df, n WHERE df >= 2 AND df <= 0.95e0 * n),
+raw AS (SELECT doc, term, tf * idf AS w FROM tf JOIN voc USING (term)),
+weights AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM raw)
+"""
+
+
+def _counts(c: Corpus) -> DataFrame:
+    return tfidf.term_counts(c.documents.select("doc_id", X.terms(F.col("text")).alias("terms")), "doc_id", "terms")
+
+
+def _weights(c: Corpus) -> DataFrame:
+    counts = _counts(c)
+    return tfidf.transform(counts, tfidf.fit(counts, c.documents.count()))
+
+
+@query(f"WITH {_TERMS} SELECT term, df FROM df", prelude=False)
+def doc_frequency(c):
+    return tfidf.document_frequency(_counts(c))
+
+
+@query(f"WITH {_TERMS} SELECT doc, term, round(weight, 6) AS weight FROM weights", prelude=False)
+def tfidf_weights(c):
+    return _weights(c).select("doc", "term", F.round("weight", 6).alias("weight"))
+
+
+_DENSE = f"""
+dense AS (SELECT query_id, rank, id, score FROM (
+  SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) DESC, v.vec_id) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id % {EVERY} = 0 AND q.vec_id <> v.vec_id) WHERE rank <= {TOP})
+"""
+_SPARSE = f"""
+s AS (SELECT q.doc AS query_id, v.doc AS id, sum(q.weight * v.weight) AS score FROM weights q JOIN weights v USING (term) WHERE q.doc % {EVERY} = 0 AND q.doc <> v.doc GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, id, score FROM s) WHERE rank <= {TOP})
+"""
+
+
+def _dense(c: Corpus) -> DataFrame:
+    vectors = search.index(c.embeddings, "vec_id", "embedding")
+    return search.top_k(vectors.where(F.col("id") % EVERY == 0), vectors, TOP)
+
+
+def _sparse(c: Corpus) -> DataFrame:
+    return tfidf.sparse_top_k(_weights(c), c.documents.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("id")), TOP)
+
+
+@query(f"WITH {_DENSE} SELECT query_id, rank, id, round(score, 6) AS score FROM dense", prelude=False)
+def cosine_topk(c):
+    return _dense(c).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_TERMS}, {_SPARSE} SELECT query_id, rank, id, round(score, 6) AS score FROM sparse", prelude=False)
+def tfidf_topk(c):
+    return _sparse(c).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {_TERMS}, {_SPARSE}, {_DENSE},
+lists AS (SELECT query_id, 0 AS list_id, rank, id FROM sparse UNION ALL SELECT query_id, 1, rank, id FROM dense),
+f AS (SELECT query_id, id AS doc, sum(CASE list_id WHEN 0 THEN 1.0e0 ELSE 0.5e0 END / (60.0e0 + rank)) AS score, min(list_id * 1000000 + rank) AS met FROM lists GROUP BY ALL)
+SELECT query_id, doc, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, met) AS rank FROM f""",
+    prelude=False,
+)
+def rrf_fusion(c):
+    lists = _sparse(c).select("query_id", F.lit(0).alias("list_id"), "rank", F.col("id").alias("doc"))
+    lists = lists.unionByName(_dense(c).select("query_id", F.lit(1).alias("list_id"), "rank", F.col("id").alias("doc")))
+    return search.fuse(lists, [1.0, 0.5]).select("query_id", "doc", F.round("score", 9).alias("score"), "rank")
+
+
+@query(
+    """
+WITH t AS (SELECT doc_id, list_concat([101], list_transform(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: length(w) + 1)) AS ids FROM documents),
+p AS (SELECT doc_id, ids, len(ids) - 1 AS rest FROM t),
+q AS (SELECT *, CAST(ceil((rest + CAST(trunc((rest - 63) / 57.0e0) AS INTEGER) * 6) / 63.0e0) AS INTEGER) * 63 AS total FROM p),
+r AS (SELECT doc_id, ids, rest, total, unnest(range(0, CASE WHEN rest + 1 <= 64 THEN 1 ELSE (total - 63) // 57 + 1 END)) AS chunk FROM q)
+SELECT doc_id, chunk::BIGINT AS chunk,
+  (CASE WHEN rest + 1 <= 64 THEN rest + 1 ELSE least(63, greatest(0, rest - chunk * 57)) + (CASE WHEN rest > chunk * 57 THEN 1 ELSE 0 END) END)::BIGINT AS real,
+  (CASE WHEN rest + 1 <= 64 THEN list_sum(ids) ELSE coalesce(list_sum(ids[2 + chunk * 57 : 64 + chunk * 57]), 0) + (CASE WHEN rest > chunk * 57 THEN 101 ELSE 0 END) END)::BIGINT AS total
+FROM r
+""",
+    prelude=False,
+)
+def chunk_overlap(c):
+    words = F.split("text", r"[ \t\n\r\x0b\x0c]+")
+    ids = F.concat(F.array(F.lit(encoders.CLS)), F.transform(words, lambda w: F.length(w) + 1))
+    got = c.documents.select("doc_id", F.explode(encoders.chunks(ids, 64)).alias("c"))
+    add = lambda col: F.aggregate(col, F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select("doc_id", F.col("c.chunk").cast("long").alias("chunk"), add("c.mask").alias("real"), add("c.ids").alias("total"))
+
+
+_TOKENS = "tok AS (SELECT label AS doc, vec_id AS token, (vec_id % 3 > 0)::INTEGER AS mask, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS dim FROM embeddings)"
+
+
+def _tokens(c: Corpus) -> DataFrame:
+    got = c.embeddings.select(F.col("label").alias("doc"), F.col("vec_id").alias("token"), (F.col("vec_id") % 3 > 0).cast("int").alias("mask"), F.posexplode("embedding").alias("p", "x"))
+    return got.select("doc", "token", "mask", F.col("x").cast("double").alias("x"), (F.col("p") + 1).cast("long").alias("dim"))
+
+
+@query(f"WITH {_TOKENS} SELECT doc, dim, round(sum(mask * x) / greatest(sum(mask), 1e-9), 6) AS pooled FROM tok GROUP BY doc, dim", prelude=False)
+def masked_mean_pool(c):
+    return encoders.mean_pool(_tokens(c), ["doc"]).select("doc", "dim", F.round("pooled", 6).alias("pooled"))
+
+
+@query(f"WITH {_TOKENS} SELECT doc, dim, round(max(CASE WHEN mask = 1 THEN x ELSE -1e9 END), 6) AS pooled FROM tok GROUP BY doc, dim", prelude=False)
+def masked_max_pool(c):
+    return encoders.max_pool(_tokens(c), ["doc"]).select("doc", "dim", F.round("pooled", 6).alias("pooled"))
+
+
+@query("""
+, p AS (SELECT DISTINCT a.source AS s, b.source AS e FROM cl a JOIN cl b USING (target)),
+o AS (SELECT s, count(*) AS n FROM p GROUP BY s), i AS (SELECT e, count(*) AS n FROM p GROUP BY e),
+f AS (SELECT '6' || o_orderkey AS node, o_totalprice::DOUBLE / 1e5 AS x FROM orders)
+SELECT f.node, round(coalesce(g.h, 0), 5) AS h0, round(coalesce(g.k, 0), 5) AS h1 FROM f LEFT JOIN (
+  SELECT p.e AS node, sum(f.x / sqrt(o.n)) / sqrt(any_value(i.n)) AS h, sum(1.0e0 / sqrt(o.n)) / sqrt(any_value(i.n)) AS k
+  FROM p JOIN o ON o.s = p.s JOIN i ON i.e = p.e JOIN f ON f.node = p.s GROUP BY p.e) g ON g.node = f.node
+""")
+def gcn_norm_aggregate(c):
+    features = c.orders.select(F.concat(F.lit("6"), F.col("o_orderkey").cast("string")).alias("node"), F.array(F.col("o_totalprice").cast("double") / 1e5, F.lit(1.0)).alias("vec"))
+    got = network.convolve(graph.metapath_pairs(_graph(c), CLC), features, 2)
+    return got.select("node", F.round(F.col("vec")[0], 5).alias("h0"), F.round(F.col("vec")[1], 5).alias("h1"))
+
+
+@query("""
+, e AS (SELECT source AS src, target AS dst, ln(1 + o_totalprice::DOUBLE / 1e5) AS e FROM cl JOIN orders ON source = '6' || o_orderkey),
+x AS (SELECT src, dst, exp(e - max(e) OVER (PARTITION BY dst)) AS x FROM e)
+SELECT src, dst, round(x / sum(x) OVER (PARTITION BY dst), 6) AS alpha FROM x
+""")
+def gat_edge_softmax(c):
+    score = c.orders.select(F.concat(F.lit("6"), F.col("o_orderkey").cast("string")).alias("src"), F.log(1 + F.col("o_totalprice").cast("double") / 1e5).alias("e"))
+    edges = _relation(c, 1).select(F.col("source").alias("src"), F.col("target").alias("dst")).join(score, "src")
+    return network.edge_softmax(edges).select("src", "dst", F.round("alpha", 6).alias("alpha"))
+
+
+_HALVES = "h AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings)"
+
+
+def _halves(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    return tuple(search.index(c.embeddings.select("vec_id", F.slice("embedding", at, 32).alias("v")), "vec_id", "v") for at in (1, 33))
+
+
+@query(
+    f"""WITH {_HALVES}, s AS (SELECT x.vec_id AS i, y.vec_id AS j, exp(list_cosine_similarity(x.a, y.b) / 0.5e0) AS s FROM h x, h y),
+r AS (SELECT i, sum(s) AS t, sum(CASE WHEN i = j THEN s END) AS m FROM s GROUP BY i), k AS (SELECT j, sum(s) AS t, sum(CASE WHEN i = j THEN s END) AS m FROM s GROUP BY j)
+SELECT round(0.5e0 * (SELECT avg(-ln(m / (t + 1e-8))) FROM r) + 0.5e0 * (SELECT avg(-ln(m / (t + 1e-8))) FROM k), 6) AS loss""",
+    prelude=False,
+)
+def contrastive_loss(c):
+    return network.contrast_loss_blocks(*_halves(c)).select(F.round("loss", 6).alias("loss"))
+
+
+_W, _B, _Q = np.array([[0.5, -0.25], [0.125, 1.0]]), np.array([0.1, -0.2]), np.array([1.5, -0.75])
+
+
+@query(
+    """WITH v AS (SELECT unnest(['a', 'b', 'c']) AS view, vec_id AS node, unnest([embedding[1:2], embedding[3:4], embedding[5:6]])::DOUBLE[] AS vec FROM embeddings),
+m AS (SELECT view, avg(tanh(0.1e0 + 0.5e0 * vec[1] + 0.125e0 * vec[2])) AS p, avg(tanh(-0.2e0 - 0.25e0 * vec[1] + vec[2])) AS q FROM v GROUP BY view),
+e AS (SELECT view, exp(1.5e0 * p - 0.75e0 * q) AS e FROM m), s AS (SELECT view, e / sum(e) OVER () AS share FROM e)
+SELECT node, round(sum(vec[1] * share), 6) AS x, round(sum(vec[2] * share), 6) AS y FROM v JOIN s USING (view) GROUP BY node""",
+    prelude=False,
+)
+def semantic_attention(c):
+    views = [c.embeddings.select(F.lit(n).alias("view"), F.col("vec_id").alias("node"), F.slice("embedding", at, 2).cast("array<double>").alias("vec")) for n, at in (("a", 1), ("b", 3), ("c", 5))]
+    got = network.semantic_attention(views[0].unionByName(views[1]).unionByName(views[2]), _W, _B, _Q)
+    return got.select("node", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
+
+
+_PAIRS = "z AS (SELECT label AS pair, vec_id AS token, embedding[1:8]::DOUBLE[] AS v FROM embeddings), m AS (SELECT a.pair, a.token AS i, b.token AS j, list_dot_product(a.v, b.v) AS d FROM z a JOIN z b ON a.pair = b.pair AND a.token % 2 = 0 AND b.token % 2 = 1)"
+
+
+def _sides(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    rows = c.embeddings.select(F.col("label").alias("pair"), F.col("vec_id").alias("token"), F.slice("embedding", 1, 8).cast("array<double>").alias("vec"))
+    return rows.where("token % 2 = 0"), rows.where("token % 2 = 1")
+
+
+@query(f"WITH {_PAIRS} SELECT pair, i, j, round(d / max(abs(d)) OVER (PARTITION BY pair), 6) AS relevance FROM m", prelude=False)
+def token_relevance(c):
+    a, b = (s.select("pair", "token", F.posexplode("vec").alias("feature", "r")) for s in _sides(c))
+    return explain.normalised(explain.contract(a, b, ["pair"]), ["pair"]).select("pair", "i", "j", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"WITH {_PAIRS} SELECT pair, i, j, round(d * d / max(d * d) OVER (PARTITION BY pair), 6) AS relevance FROM m", prelude=False)
+def relevance_normalised(c):
+    return explain.embedding_relevance(*_sides(c), ["pair"]).select("pair", "i", "j", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"WITH {_HALVES} SELECT round(avg(pow(list_cosine_similarity(a, b) - (vec_id % 2), 2)), 6) AS mse FROM h", prelude=False)
+def pairwise_mse(c):
+    rows = c.embeddings.select((F.col("vec_id") % 2).alias("label"), F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return explain.squared_error(rows, "a", "b", "label").select(F.round("mse", 6).alias("mse"))
+
+
+def _walks(c: Corpus) -> DataFrame:
+    nodes, edges = graph.judgment_graph(c.citations(), c.subjects(), c.case_ids())
+    return graph.walks(nodes, edges, ["case", "legislation", "case"], 2)
+
+
+@query()
+def metapath_walks(c):
+    return _walks(c)
+
+
+@query()
+def sampled_neighbours(c):
+    return graph.sampled_in_edges(_relation(c, 1), 2)
+
+
+@query()
+def walk_embeddings(c):
+    return network.walk_embeddings(_walks(c), size=32, epochs=1, partitions=4)
+
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "cosine"]
