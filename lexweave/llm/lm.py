@@ -36,6 +36,8 @@ from .common import remainder, settle, slices, split_words, texts_of
 EDGES = np.unique(np.ceil(2.0 ** (np.arange(81) / 2) - 1e-9).astype(np.int64))
 LEVELS = len(EDGES) + 1
 MIN_PAIR = 2
+#: The level of a pair that is seen so often: pairs have no entries below it.
+FIRST_PAIR = int(np.searchsorted(EDGES, MIN_PAIR, side="right"))
 BITS_PER_ENTRY, PROBES, MAX_FILTER_BYTES = 14, 6, 1 << 26
 HEAD = 200_000
 #: Tokens counted before a task lets go of its counts, and distinct words a worker remembers.
@@ -212,34 +214,50 @@ class Filter:
         self.bits, self.shift = bits, U(64 - (blocks.bit_length() - 1))
 
     @staticmethod
-    def places(hashes: np.ndarray, of_level: np.ndarray | int) -> list[np.ndarray]:
-        """The PROBES places, 0 to 511 in the block, that say an n-gram has a level."""
-        g = mix(hashes + np.asarray(of_level).astype(U) * U(0xD6E8FEB86659FD93))
-        return [(g >> U(9 * i)) & U(511) for i in range(PROBES)]
+    def spread(hashes: np.ndarray, of_level: int) -> np.ndarray:
+        """A number whose PROBES lowest runs of nine bits are the places, 0 to 511 in the block, that say an n-gram has a level."""
+        return mix(hashes + U(of_level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
 
     def _block(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of the block's first number."""
         return (hashes >> self.shift << U(3)).astype(np.int64) if self.shift < 64 else np.zeros(len(hashes), np.int64)
 
-    def add(self, hashes: np.ndarray, levels: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, levels: np.ndarray, first: int = 1) -> None:
         block = self._block(hashes)
-        for j in range(1, int(levels.max(initial=0)) + 1):
+        for j in range(first, int(levels.max(initial=0)) + 1):
             use = levels >= j
-            for place in self.places(hashes[use], j):
-                np.bitwise_or.at(self.bits, block[use] + (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
-
-    def level(self, hashes: np.ndarray) -> np.ndarray:
-        """Probe level after level until one is not there."""
-        got, at, block = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), self._block(hashes)
-        for j in range(1, LEVELS):
-            places = self.places(hashes[at], j)
-            for i, place in enumerate(places):
-                there = ((self.bits[block[at] + (place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1)).astype(bool)
-                at = at[there]
-                if i + 1 < PROBES:
-                    places[i + 1 :] = [p[there] for p in places[i + 1 :]]
-            if not len(at):
+            g, at = self.spread(hashes[use], j), block[use]
+            for i in range(PROBES):
+                place = (g >> U(9 * i)) & U(511)
+                np.bitwise_or.at(self.bits, at + (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+
+    def _there(self, hashes: np.ndarray, block: np.ndarray, of_level: int) -> np.ndarray:
+        """Positions of the n-grams all of whose probes for a level succeed; most that aren't there leave at the first probes."""
+        g, at = self.spread(hashes, of_level), None
+        for i in range(PROBES):
+            place = (g >> U(9 * i)) & U(511)
+            hit = np.flatnonzero((self.bits[block + (place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1))
+            if len(hit) < len(g):
+                g, block = g[hit], block[hit]
+                at = hit if at is None else at[hit]
+        return np.arange(len(hashes)) if at is None else at
+
+    def level(self, hashes: np.ndarray, first: int = 1, most: np.ndarray | None = None) -> np.ndarray:
+        """Probe level after level from `first` until one is not there; n-grams whose bound `most` lies below first aren't asked for."""
+        got = np.zeros(len(hashes), np.int64)
+        asked = np.arange(len(hashes)) if most is None else np.flatnonzero(most >= first)
+        found = asked[self._there(hashes[asked], self._block(hashes[asked]), first)]
+        if not len(found):
+            return got
+        h, back = np.unique(hashes[found], return_inverse=True)
+        block, at, levels = self._block(h), np.arange(len(h)), np.full(len(h), first)
+        for j in range(first + 1, LEVELS):
+            there = self._there(h, block, j)
+            if not len(there):
                 break
-            got[at] = j
+            h, block, at = h[there], block[there], at[there]
+            levels[at] = j
+        got[found] = levels[back]
         return got
 
 
@@ -264,8 +282,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
         stats[i] = x
     word_types, word_tokens, pair_types, pair_tokens = stats.reshape(4, LEVELS)
     safe = lambda a, b: np.divide(a, b, out=np.zeros(LEVELS), where=b > 0)
-    held = word_types + np.where(EDGES[np.maximum(np.arange(LEVELS) - 1, 0)] >= MIN_PAIR, pair_types, 0)
-    entries = int((held * np.arange(LEVELS)).sum())
+    steps = np.arange(LEVELS)
+    entries = int((word_types * steps).sum() + (pair_types * np.maximum(steps - FIRST_PAIR + 1, 0)).sum())
     most = MAX_FILTER_BYTES // 64
     blocks = min(most, max(ranges, 1 << max(0, (-(-entries * BITS_PER_ENTRY // 512) - 1).bit_length())))
     above = np.cumsum(word_types[::-1])[::-1]
@@ -281,7 +299,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
             shared._block = lambda h: (((h >> shift) & U(size - 1)) << U(3)).astype(np.int64)  # the range's own blocks
             w, wc = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["word_counts"], "<i8")
             shared.add(w, level(wc))
-            shared.add(np.frombuffer(row["pairs"], "<u8"), np.frombuffer(row["pair_levels"], np.uint8).astype(np.int64))
+            shared.add(np.frombuffer(row["pairs"], "<u8"), np.frombuffer(row["pair_levels"], np.uint8).astype(np.int64), FIRST_PAIR)
             top = level(wc) >= head_level
             yield pa.RecordBatch.from_arrays([pa.array([row["range"]], pa.int32()), pa.array([shared.bits.tobytes()], pa.binary()), pa.array([w[top].tobytes()], pa.binary()), pa.array([wc[top].tobytes()], pa.binary())], names=["range", "bits", "head", "head_counts"])
 
@@ -324,7 +342,10 @@ class Reader:
             self.hashes = np.r_[self.hashes, new]
             self.levels = np.r_[self.levels, self.filter.level(new)]
             self.counts = np.r_[self.counts, np.where(known, c[at] if len(h) else 0, -1)]
-        return index, ends, self.levels[index], self.filter.level(pairs_of(self.hashes[index], ends))
+        single = self.levels[index]
+        # A pair is no more frequent than either of its words.
+        pair = self.filter.level(pairs_of(self.hashes[index], ends), FIRST_PAIR, np.minimum(single, self.before(single, ends)))
+        return index, ends, single, pair
 
     def before(self, levels: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The level of the word before each token; a text's start is as frequent as its end."""
