@@ -427,7 +427,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             of_doc = np.repeat(np.arange(len(row)), np.diff(ends))
             counted = reader.counts[index]
             inside = counted >= 0
-            logs = np.bincount(of_doc[inside], weights=np.log10(counted[inside] + 0.5), minlength=len(row))
+            # Without a word to count, bincount would give whole numbers.
+            logs = np.bincount(of_doc[inside], weights=np.log10(counted[inside] + 0.5), minlength=len(row)).astype(np.float64)
             known = np.bincount(of_doc[inside], minlength=len(row))
             score = np.bincount(of_doc, weights=reader.log10(index, ends, single, pair), minlength=len(row))
             none = pa.nulls(len(row))

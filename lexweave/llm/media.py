@@ -218,6 +218,7 @@ class _Lanes(NamedTuple):
     frame: Frame
     mcus: int
     starts: np.ndarray
+    ends: np.ndarray
     counts: np.ndarray
 
 
@@ -241,14 +242,14 @@ def _unstuffed(data: bytes, frame: Frame, base: int) -> tuple[np.ndarray, _Lanes
     starts = base + np.r_[0, kept[restarts + 2]]
     if len(starts) != len(counts):
         raise ValueError("restart markers don't fit the frame")
-    return raw[keep], _Lanes(frame, mcus, starts, counts)
+    return raw[keep], _Lanes(frame, mcus, starts, np.r_[base + kept[restarts], base + kept[-1]], counts)
 
 
 def _decode(stream: np.ndarray, lanes: list[_Lanes]) -> list[np.ndarray]:
     """DC coefficients of the first component's blocks, in scan order, for frames that share components' tables and sampling."""
     parts = lanes[0].frame.components
     layout = [(i, 1) if len(parts) == 1 else (i, c[1] * c[2]) for i, c in enumerate(parts)]
-    start, count = np.concatenate([x.starts for x in lanes]), np.concatenate([x.counts for x in lanes])
+    start, end, count = (np.concatenate([getattr(x, n) for x in lanes]) for n in ("starts", "ends", "counts"))
     order = np.argsort(-count, kind="stable")
     bit, left = start[order] * 8, count[order]
     of_first = layout[0][1]
@@ -295,7 +296,7 @@ def _decode(stream: np.ndarray, lanes: list[_Lanes]) -> list[np.ndarray]:
                     more = done < 64
                     open_, done = open_[more], done[more]
         bit[:n] = at
-    if (bit > 8 * len(stream)).any():
+    if (bit > 8 * end[order]).any():
         raise ValueError("scan ends early")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
