@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handled at once inside a Python worker; bounds its memory, changes no result.
-SLICE = 512
+#: Rows, and bytes unless one row has more, handled at once inside a Python worker; bounds its memory, changes no result.
+SLICE, SLICE_BYTES = 512, 1 << 23
 #: A word as every contract here defines it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,9 +57,16 @@ def n_words(text: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most `rows` rows and SLICE_BYTES bytes; long texts make them shorter, down to one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        waiting = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def with_columns(df: DataFrame, add: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: str, keep: list[str], per_task: Callable[[], object] | None = None) -> DataFrame:

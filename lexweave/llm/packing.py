@@ -110,17 +110,17 @@ def tokenizer(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(id, piece, start, length, ids_crc32): each document's ids, then end_id, cut every `capacity` ids. A null text is empty."""
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32), and `ids binary` if asked for: each document's ids, then end_id, cut every `capacity` ids. A null text is empty."""
     kind = docs.schema[id_col].dataType
-    schema = docs.sparkSession.createDataFrame([], PIECES).schema
+    schema = docs.sparkSession.createDataFrame([], PIECES + ", ids binary" * with_ids).schema
     schema = type(schema)([type(schema.fields[0])("id", kind), *schema.fields])
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
         for part in slices(batches):
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, length, crc, raw = [], [], [], [], [], []
             for i, ids in enumerate(encode(texts_of(part, text_col))):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -130,7 +130,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     start.append(at // 4)
                     length.append(len(cut) // 4)
                     crc.append(zlib.crc32(cut))
-            yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["id", "piece", "start", "length", "ids_crc32"])
+                    if with_ids:
+                        raw.append(cut)
+            yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *[pa.array(raw, pa.binary())] * with_ids], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -289,6 +291,19 @@ def best_fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return packed(settle(pieces(docs, path, id_col, text_col, capacity, end_id), "packing"), capacity).withColumnRenamed("id", id_col)
 
 
+def token_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """The packed sequences themselves: (sequence_id, ids binary, n_tokens, parts array<struct<id, piece, length>>).
+
+    ids are little-endian unsigned 32-bit numbers, parts in their order. Only lengths are gathered to pack; ids join them afterwards by a row
+    number, and a sequence gathers at most `capacity` pieces.
+    """
+    full = settle(pieces(docs, path, id_col, text_col, capacity, end_id, with_ids=True).withColumn("at", F.monotonically_increasing_id()), "packing-ids")
+    placed = packed(full.drop("ids"), capacity).join(full.select("at", "ids"), "at")
+    grouped = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "id", "piece", "length", "ids"))).alias("x"), F.sum("length").alias("n_tokens"))
+    joined = F.aggregate("x", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    return grouped.select("sequence_id", joined.alias("ids"), "n_tokens", F.transform("x", lambda p: F.struct(p["id"].alias("id"), p["piece"].alias("piece"), p["length"].alias("length"))).alias("parts"))
+
+
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -85,3 +85,17 @@ def test_documents(spark):
     assert packing.best_fit(docs.limit(0), PATH).count() == 0
     shards = packing.packed(packing.settle(packing.pieces(docs, PATH), "t"), shard=3).collect()
     assert check([r.length for r in shards], [r.sequence_id for r in shards], [r.offset for r in shards]) <= 11
+
+
+def test_sequences_hold_the_documents(spark):
+    texts = {1: "a b c", 2: None, 3: "word " * 5000, 4: "tail end"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {}
+    for r in packing.token_sequences(docs, PATH).collect():
+        seq, at = np.frombuffer(bytes(r.ids), "<u4").tolist(), 0
+        assert len(seq) == r.n_tokens <= 4096
+        for p in r.parts:
+            found[p.id, p.piece] = seq[at : at + p.length]
+            at += p.length
+    for i, t in texts.items():
+        assert [x for k in sorted(k for k in found if k[0] == i) for x in found[k]] == ids([t or ""])[0] + [1]
