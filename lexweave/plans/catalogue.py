@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions.vectors import cosine
 from ..operators import encoders, explain, graph, html, network, search, tfidf
 from ..operators import paragraphs as P
+from ..storage import settle
 from .fixtures import SQL, Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,7 +237,7 @@ def _counts(c: Corpus) -> DataFrame:
 
 
 def _weights(c: Corpus) -> DataFrame:
-    counts = _counts(c)
+    counts = settle(_counts(c), "term-counts")  # fitting and transforming both read it
     return tfidf.transform(counts, tfidf.fit(counts, c.documents.count()))
 
 
@@ -268,7 +269,7 @@ def _dense(c: Corpus) -> DataFrame:
 
 
 def _sparse(c: Corpus) -> DataFrame:
-    return tfidf.sparse_top_k(_weights(c), c.documents.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("id")), TOP)
+    return tfidf.sparse_top_k(settle(_weights(c), "weights"), c.documents.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("id")), TOP)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, rank, id, round(score, 6) AS score FROM dense", prelude=False)
