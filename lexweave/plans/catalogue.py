@@ -220,6 +220,23 @@ def html_paragraphs(c):
     return html.extract(c.pages, "page_id", "html")
 
 
+@query(
+    r"""
+, t AS (SELECT CAST(conv_id AS VARCHAR) AS celex, turn, turn // 3 + 1 AS para, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations)
+SELECT celex, para || '_' || celex AS key, string_agg(text, ' ' ORDER BY turn) AS text FROM t GROUP BY celex, para
+"""
+)
+def html_case_paragraphs(c):
+    """Conversations printed as pages of the table layout, then read back: every third turn begins a paragraph, the others continue it."""
+    said = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    numbered = F.concat(F.lit('<table><col width="5%"><col width="95%"><tr><td>'), F.expr("turn div 3 + 1").cast("string"), F.lit("</td><td>"), said, F.lit("</td></tr></table>"))
+    more = F.concat(F.lit("<table><tr><td>"), said, F.lit("</td></tr></table>"))
+    tables = c.conversations.select(F.col("conv_id").cast("string").alias("celex"), "turn", F.when(F.col("turn") % 3 == 0, numbered).otherwise(more).alias("t"))
+    page = tables.groupBy("celex").agg(F.sort_array(F.collect_list(F.struct("turn", "t"))).alias("x"))
+    page = page.select("celex", F.concat(F.lit('<html><body><p class="sum-title-1"></p>'), F.array_join(F.transform("x", lambda r: r["t"]), ""), F.lit("</body></html>")).alias("body"))
+    return html.case_paragraphs(page, process=False).select("celex", "key", "text")
+
+
 _PUNCTUATION = string.punctuation.replace("'", "''")
 _TERMS = f"""
 t AS (SELECT doc_id AS doc, unnest(string_split_regex(translate(lower(text), '{_PUNCTUATION}', ''), '[\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+')) AS term FROM documents),

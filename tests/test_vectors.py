@@ -124,3 +124,29 @@ def test_scalars(spark):
     assert [round(x, 12) for x in got[0]] == [0.6, 0.8] and got[1] == [0.0, 0.0] and got[2] is None and abs(got[3] - 1) < 1e-12
     assert V.position_table(4, 5, 0)[0].tolist() == [0] * 5 and V.position_table(4, 5)[1][-1] == 0
     assert np.allclose(V.layer_norm(np.array([[1.0, 3.0]])), [[-1, 1]])
+
+
+def test_whole_forward_pass(spark):
+    from lexweave.operators import graph as G
+
+    edges = spark.createDataFrame([("61", "31"), ("62", "31"), ("62", "32"), ("63", "32")], "source string, target string")
+    subjects = spark.createDataFrame([("61", "S"), ("63", "S")], "source string, target string")
+    cases, acts = (spark.createDataFrame([(i,) for i in ids], "id string") for ids in (["61", "62", "63"], ["31", "32"]))
+    g = G.typed_graph(edges, subjects, cases, acts)
+    index = G.dense_index(G.nodes_of(g))
+    titles = spark.createDataFrame([("61", "on goods"), ("62", "on services"), ("31", "act"), ("S", "tax")], "id string, title string")
+    f = {t: network.node_features(titles, index, t, encoders.hashing_encoder(4)).select("node", "vec") for t in ("case", "legislation", "subject_matter")}
+    assert f["case"].count() == 3
+    rng = np.random.default_rng(0)
+    w, att = (rng.standard_normal((4, 4)), rng.standard_normal(4)), (rng.standard_normal((4, 4)), rng.standard_normal(4), rng.standard_normal(4))
+    clc = [("case", "cites", "legislation"), ("legislation", "cited_by", "case")]
+    mp = network.case_embeddings({"clc": G.metapath_pairs(g, clc)}, f["case"], {"clc": w}, att)
+    schema = [("legislation", "cited_by", "case"), ("subject_matter", "related_to", "case")]
+    one = (rng.standard_normal((4, 4)), rng.standard_normal((4, 4)), rng.standard_normal(4), rng.standard_normal(4), np.zeros(4))
+    sc = network.schema_view(g, schema, f, {"legislation": 2, "subject_matter": 2}, dict.fromkeys(schema, one), att)
+    assert mp.count() == sc.count() == 3
+    loss = network.contrast(mp, sc, w, w).first().loss
+    assert loss > 0 and loss == pytest.approx(network.contrast(mp, sc, w, w).first().loss)
+    value, gate = explain.detached_gelu(np.array([-1.0, 0.0, 2.0]))
+    assert np.allclose(value, V.gelu_new(np.array([-1.0, 0.0, 2.0])))
+    assert explain.EncoderConfig(6, layers=2).encoder()(np.ones((2, 6)) * [[1], [2]])[1].shape == (6, 2)
