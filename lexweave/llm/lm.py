@@ -11,8 +11,10 @@ broadcast; beyond it the error rate rises instead, which `Facts.bits` shows. A b
 follow hash ranges, so each range builds its own piece of the filter where its counts lie.
 
 Scores. P(w|v) = l * c(vw) / c(v) + (1 - l) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) with counts read from the filter: a level stands for the mean
-count of its members, so the counts still sum to N. The weight l depends on the level of v and is fitted by expectation
-maximisation over all training text, each occurrence left out of its own counts.
+count of its members, so the counts still sum to N. A text's score thus depends only on how many of its tokens fall into each cell (level of the
+word before, level of the pair, level of the word): one scan reads the filter and leaves those cells behind. The weight l depends on the
+level of v and is fitted by expectation maximisation over the cells of all training text, each occurrence left out of its own counts;
+scores follow from the stored cells.
 
 Exact unigram figures. Words frequent enough to be among the HEAD most frequent (by level) are looked up in a broadcast table of at most HEAD
 entries; all others go, counted by document, to the range that has their count. No word is left out either way.
@@ -199,8 +201,6 @@ class Facts(NamedTuple):
     head_level: int
     blocks: int
     bits: float
-    #: Weight of the pair estimate by the level of the word before.
-    weight: np.ndarray
 
     def unigram(self) -> np.ndarray:
         """Smoothed probability by level."""
@@ -271,7 +271,7 @@ class Model(NamedTuple):
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count every text of docs, build the filter and fit the weights. Null texts are empty; an empty table gives a model without counts."""
+    """Count every text of docs and build the filter. Null texts are empty; an empty table gives a model without counts."""
     spark = docs.sparkSession
     ranges = 1 << max(0, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     blobs = docs.select(text_col).mapInArrow(lambda b: _count(b, text_col, ranges), BLOBS)
@@ -288,7 +288,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
     blocks = min(most, max(ranges, 1 << max(0, (-(-entries * BITS_PER_ENTRY // 512) - 1).bit_length())))
     above = np.cumsum(word_types[::-1])[::-1]
     head_level = int(np.argmax(above <= HEAD)) if (above <= HEAD).any() else LEVELS
-    facts = Facts(int(word_tokens.sum()), int(word_types.sum()), safe(word_tokens, word_types), safe(pair_tokens, pair_types), head_level, blocks, 512 * blocks / max(1, entries), np.zeros(LEVELS))
+    facts = Facts(int(word_tokens.sum()), int(word_types.sum()), safe(word_tokens, word_types), safe(pair_tokens, pair_types), head_level, blocks, 512 * blocks / max(1, entries))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -314,8 +314,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
     order = np.argsort(np.concatenate(head_h))
     head = (np.concatenate(head_h)[order], np.concatenate(head_c)[order])
     context = spark.sparkContext
-    model = Model(facts, context.broadcast(bits.tobytes()), context.broadcast(head), counts, ranges)
-    return model._replace(facts=facts._replace(weight=_weights(model, docs, text_col)))
+    return Model(facts, context.broadcast(bits.tobytes()), context.broadcast(head), counts, ranges)
 
 
 class Reader:
@@ -354,28 +353,32 @@ class Reader:
         got[ends[:-1]] = self.levels[0] if len(self.levels) else 0
         return got
 
-    def log10(self, index: np.ndarray, ends: np.ndarray, single: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
-        f, left = self.facts, self.before(single, ends)
-        share = f.weight[left]
-        by_pair = f.pair_mean[pair] / np.maximum(f.word_mean[left], 1.0)
-        return np.log10(share * np.minimum(by_pair, 1.0) + (1 - share) * f.unigram()[single])
+    def cells(self, ends: np.ndarray, single: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, cell, tokens) for every text and cell that has any, in order."""
+        cell = (self.before(single, ends) * LEVELS + pair) * LEVELS + single
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        both, n = np.unique(text * LEVELS**3 + cell, return_counts=True)
+        return both // LEVELS**3, both % LEVELS**3, n
 
 
-def _weights(model: Model, docs: DataFrame, text_col: str) -> np.ndarray:
-    """Expectation maximisation over the (level before, level of pair, level) histogram of all training tokens, each left out of its counts."""
-    facts, raw, head = model.facts, model.filter, model.head
+def _binary(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """values, sorted by row, as one binary value a row."""
+    at = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, sums = Reader(facts, raw.value, head.value), np.zeros(LEVELS**3, np.int64)
-        for part in slices(batches):
-            _, ends, single, pair = reader.read(texts_of(part, text_col))
-            cell = (reader.before(single, ends) * LEVELS + pair) * LEVELS + single
-            sums += np.bincount(cell, minlength=len(sums))
-        cells = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(sums[cells])], names=["cell", "n"])
 
-    got = docs.select(text_col).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+def _weights(facts: Facts, cells: DataFrame) -> np.ndarray:
+    """Weight of the pair estimate by the level of the word before, from cells(cells binary, cell_n binary) of the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(LEVELS**3, np.int64)
+        for part in batches:
+            cell, n = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4") for c in ("cells", "cell_n"))
+            sums += np.bincount(cell, weights=n, minlength=len(sums)).astype(np.int64)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found])], names=["cell", "n"])
+
+    got = cells.select("cells", "cell_n").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cell, n = got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
     left, pair, single = cell // LEVELS**2, cell // LEVELS % LEVELS, cell % LEVELS
     by_pair = np.minimum(np.maximum(facts.pair_mean[pair] - 1, 0) / np.maximum(facts.word_mean[left] - 1, 1), 1)
@@ -389,12 +392,19 @@ def _weights(model: Model, docs: DataFrame, text_col: str) -> np.ndarray:
     return np.minimum(share, 0.999)
 
 
-SCORED = "row long, range int, n_tokens long, known long, logs double, score double, tail_rows binary, tail_words binary, tail_n binary"
+def log10_of_cells(facts: Facts, weight: np.ndarray) -> np.ndarray:
+    """log10 probability of a token by cell."""
+    by_pair = np.minimum(facts.pair_mean[None, :] / np.maximum(facts.word_mean[:, None], 1.0), 1.0)
+    return np.log10((weight[:, None] * by_pair)[:, :, None] + (1 - weight)[:, None, None] * facts.unigram()[None, None, :]).ravel()
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+SCORED = "row long, learnt boolean, range int, n_tokens long, known long, logs double, cells binary, cell_n binary, tail_rows binary, tail_words binary, tail_n binary"
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", learnt: Column | None = None) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
+    learnt: which rows the model was learnt from; the weights are fitted on them (by default on all rows; without any, pairs have no weight).
     base_score: the add-one-half unigram log10 probability with exact counts. A null or empty text is one token, its end. Repeated rows give
     repeated rows, a null id stays null; other columns are ignored. An empty table gives no rows.
     """
@@ -403,7 +413,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     schema = docs.sparkSession.createDataFrame([], SCORED).schema
     schema = type(schema)([type(kind)("ident", kind.dataType), *schema.fields])
     names = schema.names[1:]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(facts, raw.value, head.value)
@@ -430,9 +440,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             # Without a word to count, bincount would give whole numbers.
             logs = np.bincount(of_doc[inside], weights=np.log10(counted[inside] + 0.5), minlength=len(row)).astype(np.float64)
             known = np.bincount(of_doc[inside], minlength=len(row))
-            score = np.bincount(of_doc, weights=reader.log10(index, ends, single, pair), minlength=len(row))
+            text, cell, times_in = reader.cells(ends, single, pair)
+            stored = [_binary(x.astype("<u4"), text, len(row)) for x in (cell, times_in)]
             none = pa.nulls(len(row))
-            yield pa.RecordBatch.from_arrays([part.column("ident"), pa.array(row), none.cast(pa.int32()), pa.array(np.diff(ends)), pa.array(known), pa.array(logs), pa.array(score), *(none.cast(pa.binary()) for _ in range(3))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("ident"), pa.array(row), part.column("learnt"), none.cast(pa.int32()), pa.array(np.diff(ends)), pa.array(known), pa.array(logs), *stored, *(none.cast(pa.binary()) for _ in range(3))], names=schema.names)
             both, n = np.unique(of_doc[~inside] * (1 << 32) + index[~inside], return_counts=True)
             rows.append(row[both >> 32])
             words.append(reader.hashes[both & 0xFFFFFFFF])
@@ -444,7 +455,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         if size:
             yield tail()
 
-    numbered = docs.select(F.col(id_col).alias("ident"), F.col(text_col).alias(text_col), F.monotonically_increasing_id().alias("row"))
+    flag = F.lit(True) if learnt is None else F.coalesce(learnt, F.lit(False))
+    numbered = docs.select(F.col(id_col).alias("ident"), F.col(text_col).alias(text_col), F.monotonically_increasing_id().alias("row"), flag.alias("learnt"))
     got = settle(numbered.mapInArrow(run, schema), "lm-scored")
     whole, rest = got.where("range is null"), got.where("range is not null")
     blob = rest.select("range", "tail_rows", "tail_words", "tail_n", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("word_counts"))
@@ -470,7 +482,17 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sums = blob.unionByName(exact).groupBy("range").applyInArrow(look_up, "row long, logs double, known long")
     sums = whole.select("row", "logs", "known").unionByName(sums).groupBy("row").agg(F.sum("logs").alias("_logs"), F.sum("known").alias("_known"))
     shift = float(np.log10(facts.tokens + 0.5 * (facts.types + 1)))
-    done = whole.select("ident", "row", "n_tokens", "score").join(sums, "row")
+    table = docs.sparkSession.sparkContext.broadcast(log10_of_cells(facts, _weights(facts, whole.where("learnt"))))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            cell, n = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4") for c in ("cells", "cell_n"))
+            size = np.diff(np.frombuffer(part.column("cells").buffers()[1], np.int32, part.num_rows + 1, 4 * part.column("cells").offset)) // 4
+            score = np.bincount(np.repeat(np.arange(part.num_rows), size), weights=table.value[cell] * n, minlength=part.num_rows).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("ident", "row", "n_tokens")), pa.array(score)], names=["ident", "row", "n_tokens", "score"])
+
+    fields = [whole.schema["ident"], whole.schema["row"], whole.schema["n_tokens"], *docs.sparkSession.createDataFrame([], "score double").schema.fields]
+    done = whole.select("ident", "row", "n_tokens", "cells", "cell_n").mapInArrow(total, type(schema)(fields)).join(sums, "row")
     return done.select(F.col("ident").alias(id_col), "n_tokens", F.col("_known").alias("n_known"), F.lit(facts.tokens).cast("long").alias("train_tokens"), (F.col("_logs") - F.col("n_tokens") * F.lit(shift)).alias("base_score"), "score")
 
 
@@ -482,5 +504,6 @@ def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = scored(docs, learn(docs.where(~held_out(F.col("doc_id")))))
+    learnt = ~held_out(F.col("doc_id"))
+    got = scored(docs, learn(docs.where(learnt)), learnt=learnt)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -57,6 +57,17 @@ def test_the_tail_is_exact_without_a_head(spark, data, monkeypatch):
     assert key(lm.learn(docs)) == with_head
 
 
+def test_probabilities_sum_to_one(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    facts = lm.learn(docs).facts
+    # Single words: types of a level times their probability, and an unseen word's share.
+    counts = Counter(w for r in docs.collect() for w in [*words(r.text), None])
+    types = np.bincount(lm.level(np.array(list(counts.values()))), minlength=lm.LEVELS)
+    assert math.isclose((types * facts.unigram()).sum() + facts.unigram()[0], 1, rel_tol=1e-9)
+    table = lm.log10_of_cells(facts, np.full(lm.LEVELS, 0.5))
+    assert table.shape == (lm.LEVELS**3,) and (table <= 1e-12).all()
+
+
 def test_edges(spark):
     rows = spark.createDataFrame([(1, "a b A"), (1, "a b A"), (2, None), (None, ""), (3, "zzz")], "doc_id long, text string").withColumnRenamed("doc_id", "score")
     model = lm.learn(rows.where("score < 3"))
