@@ -5,8 +5,6 @@ Nothing here collects data: every helper returns a DataFrame or works on one Arr
 
 from __future__ import annotations
 
-
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import settle, shared_dir
+
 #: Rows, and bytes unless one row has more, handled at once inside a Python worker; bounds its memory, changes no result.
 SLICE, SLICE_BYTES = 512, 1 << 23
 #: A word as every contract here defines it: a run without ASCII white space.
@@ -24,29 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = where.get() if where.isDefined() else None
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexweave/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, losing an executor costs no recomputation."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(ident: Column, modulus: int) -> Column:
     """crc32 of the id's text, modulo; null for a null id."""
     return F.crc32(ident.cast("string").cast("binary")) % modulus
