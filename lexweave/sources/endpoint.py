@@ -3,7 +3,8 @@
 spark.dataSource.register(EndpointSource)
 spark.read.format("sparql_endpoint").option("endpoint", url).option("query", text).option("columns", "source,target").load()
 
-A query with {lo} and {hi} is asked in `partitions` ranges, so that answers come in parallel. Requests time out and are tried again; the transport is
+A query with {lo} and {hi} is asked in `partitions` ranges, so that answers come in parallel. Equality filters on columns go into a query at {filters}
+(with spark.sql.python.filterPushdown.enabled), their values escaped. Requests time out and are tried again; the transport is
 an option (`module:function`, taking url and query and returning the JSON text), which is how tests run without a network.
 """
 
@@ -17,7 +18,7 @@ import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 TIMEOUT, TRIES = 60, 3
@@ -67,6 +68,11 @@ class Range(InputPartition):
 class EndpointReader(DataSourceReader):
     def __init__(self, options: dict[str, str], columns: list[str]):
         self.options, self.columns = options, columns
+        self.pushed: list[tuple[str, str]] = []
+
+    def filters(self) -> str:
+        escape = str.maketrans({"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r"})
+        return " ".join(f'FILTER(STR(?{c}) = "{v.translate(escape)}")' for c, v in self.pushed)
 
     def partitions(self) -> list[InputPartition]:
         n = int(self.options.get("partitions", "1")) if "{lo}" in self.options["query"] else 1
@@ -77,11 +83,23 @@ class EndpointReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[tuple]:
         module, _, name = self.options.get("transport", "lexweave.sources.endpoint:http").partition(":")
         ask = getattr(importlib.import_module(module), name)
-        query = self.options["query"].replace("{lo}", str(partition.lo)).replace("{hi}", str(partition.hi))
+        query = self.options["query"].replace("{lo}", str(partition.lo)).replace("{hi}", str(partition.hi)).replace("{filters}", self.filters())
         for row in json.loads(ask(self.options["endpoint"], query))["results"]["bindings"]:
             yield tuple(row.get(c, {}).get("value") for c in self.columns)
 
 
+class FilteringReader(EndpointReader):
+    """For queries with a place for filters; Spark asks that spark.sql.python.filterPushdown.enabled be set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes column = string where the query has a place for filters; all others stay with Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and isinstance(f.value, str):
+                self.pushed.append((f.attribute[0], f.value))
+            else:
+                yield f
+
+
 class EndpointSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -94,4 +112,5 @@ class EndpointSource(DataSource):
         return StructType([StructField(c, StringType()) for c in self.columns()])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return EndpointReader(dict(self.options), self.columns())
+        kind = FilteringReader if "{filters}" in self.options["query"] else EndpointReader
+        return kind(dict(self.options), self.columns())

@@ -19,6 +19,24 @@ def test_endpoint(spark):
     assert landed.edges_of_sector(got, "6").select("target").distinct().first()[0] == "S1"
 
 
+def echo(url, query):
+    """Answers with the query itself."""
+    return json.dumps({"results": {"bindings": [{"source": {"value": 'a"b'}, "target": {"value": query}}]}})
+
+
+def test_filters_go_into_the_query(spark):
+    spark.dataSource.register(endpoint.EndpointSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        options = {"endpoint": "http://none", "columns": "source,target", "transport": "tests.test_sources:echo"}
+        got = spark.read.format("sparql_endpoint").options(**options, query="all {filters}").load().where(F.col("source") == 'a"b')
+        assert [r.target for r in got.collect()] == ['all FILTER(STR(?source) = "a\\"b")']
+        kept = spark.read.format("sparql_endpoint").options(**options, query="all").load().where(F.col("source") == "zzz")
+        assert kept.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_fetcher(spark):
     got = endpoint.fetched(spark.createDataFrame([("http://a/b/62000CJ0001",), ("X 1",)], "celex string"), "base/", get=lambda u: u.encode())
     assert {r.celex: bytes(r.body) for r in got.collect()} == {"62000CJ0001": b"base/62000CJ0001", "X 1": b"base/X%201"}
