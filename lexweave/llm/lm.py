@@ -43,7 +43,7 @@ FIRST_PAIR = int(np.searchsorted(EDGES, MIN_PAIR, side="right"))
 BITS_PER_ENTRY, PROBES, MAX_FILTER_BYTES = 14, 6, 1 << 26
 HEAD = 200_000
 #: Tokens counted before a task lets go of its counts, and distinct words a worker remembers.
-FLUSH, REMEMBERED = 3_000_000, 300_000
+FLUSH, REMEMBERED = 1_000_000, 200_000
 ROUNDS = 25
 
 U = np.uint64
@@ -150,12 +150,13 @@ MERGED = "range int, words binary, word_counts binary, pairs binary, pair_levels
 
 
 def _count(batches: Iterator[pa.RecordBatch], text_col: str, ranges: int) -> Iterator[pa.RecordBatch]:
-    words, held, size = Words(), [], 0
+    words, held, size = Words(), ([], []), 0
 
     def flush() -> pa.RecordBatch:
         rows = []
-        for kind, x in ((0, np.concatenate([h for h, _ in held])), (1, np.concatenate([p for _, p in held]))):
-            h, c = np.unique(x, return_counts=True)
+        for kind in (0, 1):
+            h, c = np.unique(np.concatenate(held[kind]), return_counts=True)
+            held[kind].clear()  # one kind's arrays at a time
             cut = _cut(h, ranges)
             rows += [(r, kind, squeeze(h[a:b]), c[a:b].astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
         cols = list(zip(*rows))
@@ -165,11 +166,12 @@ def _count(batches: Iterator[pa.RecordBatch], text_col: str, ranges: int) -> Ite
         words.tidy()
         index, ends = tokens(words, texts_of(part, text_col))
         h = np.array(words.hashes, U)[index]
-        held.append((h, pairs_of(h, ends)))
+        held[0].append(h)
+        held[1].append(pairs_of(h, ends))
         size += len(h)
         if size >= FLUSH:
             yield flush()
-            held, size = [], 0
+            size = 0
     if size:
         yield flush()
 
