@@ -36,7 +36,7 @@ EPOCHS, RATE, SPARSITY = 120, 0.15, 1e-4
 START = -10.0
 THRESHOLD = 0.3
 #: Distinct words whose weight a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 sentence_end = re.compile(r"[.!?\n\r…。]+")
 word_parts = re.compile(r"\w+").findall
@@ -174,7 +174,7 @@ def trained(sample: DataFrame) -> Model:
     return pickle.loads(got[0][0]) if got else fit([], [])
 
 
-@functools.cache
+@functools.lru_cache(maxsize=1)
 def _unpickled(raw: bytes) -> Model:
     import pickle
 
