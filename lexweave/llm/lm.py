@@ -152,15 +152,16 @@ MERGED = "range int, words binary, word_counts binary, pairs binary, pair_levels
 def _count(batches: Iterator[pa.RecordBatch], text_col: str, ranges: int) -> Iterator[pa.RecordBatch]:
     words, held, size = Words(), ([], []), 0
 
-    def flush() -> pa.RecordBatch:
-        rows = []
+    def flush() -> Iterator[pa.RecordBatch]:
+        """One kind after the other, some ranges at a time, so that neither side holds all of it."""
         for kind in (0, 1):
             h, c = np.unique(np.concatenate(held[kind]), return_counts=True)
-            held[kind].clear()  # one kind's arrays at a time
+            held[kind].clear()
             cut = _cut(h, ranges)
-            rows += [(r, kind, squeeze(h[a:b]), c[a:b].astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["range", "kind", "hashes", "counts"])
+            full = np.flatnonzero(np.diff(cut))
+            for some in np.array_split(full, max(1, len(full) // 32)):
+                spans = [(cut[r], cut[r + 1]) for r in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array([squeeze(h[a:b]) for a, b in spans], pa.binary()), pa.array([c[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())], names=["range", "kind", "hashes", "counts"])
 
     for part in slices(batches):
         words.tidy()
@@ -170,10 +171,10 @@ def _count(batches: Iterator[pa.RecordBatch], text_col: str, ranges: int) -> Ite
         held[1].append(pairs_of(h, ends))
         size += len(h)
         if size >= FLUSH:
-            yield flush()
+            yield from flush()
             size = 0
     if size:
-        yield flush()
+        yield from flush()
 
 
 def _merge(key: tuple, group: pa.Table) -> pa.Table:
