@@ -30,7 +30,7 @@ END_ID = 1
 SHARD = 1 << 17
 BINS, DEPTH = 128, 3
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
