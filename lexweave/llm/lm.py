@@ -6,9 +6,10 @@ blobs into exact counts. The number of ranges follows the number of shuffle part
 
 Filter. A count is quantised to a level on a logarithmic scale and an n-gram goes into the filter once for each level up to its own; asking
 for level 1, 2, ... until a probe fails gives the level back, never too low, and too high only by a false positive. Words seen at
-all and pairs seen at least MIN_PAIR times are held. The filter is as large as its entries ask for, up to MAX_FILTER_BYTES: that is the bound on what is
-broadcast; beyond it the error rate rises instead, which `Facts.bits` shows. A block of 512 bits holds all an n-gram's bits, and blocks
-follow hash ranges, so each range builds its own piece of the filter where its counts lie.
+all and pairs seen at least MIN_PAIR times are held. The filter is as large as its entries ask for, at least BITS_PER_ENTRY bits each, whatever the
+corpus. A block of 512 bits holds all an n-gram's bits, and blocks follow hash ranges, so each range builds its own piece of the filter where its
+counts lie. A filter of at most MAX_FILTER_BYTES is broadcast; a larger one stays in its pieces: texts are read in chunks of FLUSH tokens, each
+chunk's distinct n-grams go to the ranges that hold them, and their levels come back to the chunk. Both ways read the same bits.
 
 Scores. P(w|v) = l * c(vw) / c(v) + (1 - l) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) with counts read from the filter: a level stands for the mean
 count of its members, so the counts still sum to N. A text's score thus depends only on how many of its tokens fall into each cell (level of the
@@ -22,6 +23,7 @@ entries; all others go, counted by document, to the range that has their count.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -145,6 +147,22 @@ def _cut(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(hashes, bounds), len(hashes)]
 
 
+def _before(levels: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The level of the word before each token; a text's start is as frequent as its end."""
+    got = np.empty_like(levels)
+    got[1:] = levels[:-1]
+    got[ends[:-1]] = levels[ends[1:] - 1]
+    return got
+
+
+def _cells(ends: np.ndarray, single: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, cell, tokens) for every text and cell that has any, in order."""
+    cell = (_before(single, ends) * LEVELS + pair) * LEVELS + single
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    both, n = np.unique(text * LEVELS**3 + cell, return_counts=True)
+    return both // LEVELS**3, both % LEVELS**3, n
+
+
 BLOBS = "range int, kind int, hashes binary, counts binary"
 MERGED = "range int, words binary, word_counts binary, pairs binary, pair_levels binary, stats array<double>"
 
@@ -264,13 +282,24 @@ class Filter:
         return got
 
 
+def _piece(bits: np.ndarray, blocks: int, ranges: int) -> Filter:
+    """The part of a filter of so many blocks that belongs to one range; asked only for hashes of that range."""
+    size = max(1, blocks // ranges)
+    piece = Filter(bits, size)
+    shift = U(64 - (blocks.bit_length() - 1)) if blocks > 1 else U(63)
+    piece._block = lambda h: (((h >> shift) & U(size - 1)) << U(3)).astype(np.int64)  # the range's own blocks
+    return piece
+
+
 class Model(NamedTuple):
     facts: Facts
-    filter: object  # broadcast of the filter's bytes
+    filter: object  # broadcast of the filter's bytes, or None
     head: object  # broadcast of (hashes, counts) of the head, sorted
     #: Settled counts by range, for the words outside the head.
     counts: DataFrame
     ranges: int
+    #: Settled pieces of a filter that is too large to broadcast (filter is None then): (range, bits).
+    pieces: DataFrame | None = None
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> Model:
@@ -287,8 +316,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
     safe = lambda a, b: np.divide(a, b, out=np.zeros(LEVELS), where=b > 0)
     steps = np.arange(LEVELS)
     entries = int((word_types * steps).sum() + (pair_types * np.maximum(steps - FIRST_PAIR + 1, 0)).sum())
-    most = MAX_FILTER_BYTES // 64
-    blocks = min(most, max(ranges, 1 << max(0, (-(-entries * BITS_PER_ENTRY // 512) - 1).bit_length())))
+    blocks = max(ranges, 1 << max(0, (-(-entries * BITS_PER_ENTRY // 512) - 1).bit_length()))
     above = np.cumsum(word_types[::-1])[::-1]
     head_level = int(np.argmax(above <= HEAD)) if (above <= HEAD).any() else LEVELS
     facts = Facts(int(word_tokens.sum()), int(word_types.sum()), safe(word_tokens, word_types), safe(pair_tokens, pair_types), head_level, blocks, 512 * blocks / max(1, entries))
@@ -296,10 +324,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             row = part.to_pylist()[0]
-            size = max(1, blocks // ranges)
-            shared = Filter(np.zeros(8 * size, FILTER_ROWS), size)
-            shift = U(64 - (blocks.bit_length() - 1)) if blocks > 1 else U(63)
-            shared._block = lambda h: (((h >> shift) & U(size - 1)) << U(3)).astype(np.int64)  # the range's own blocks
+            shared = _piece(np.zeros(8 * max(1, blocks // ranges), FILTER_ROWS), blocks, ranges)
             w, wc = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["word_counts"], "<i8")
             shared.add(w, level(wc))
             shared.add(np.frombuffer(row["pairs"], "<u8"), np.frombuffer(row["pair_levels"], np.uint8).astype(np.int64), FIRST_PAIR)
@@ -307,24 +332,29 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([row["range"]], pa.int32()), pa.array([shared.bits.tobytes()], pa.binary()), pa.array([w[top].tobytes()], pa.binary()), pa.array([wc[top].tobytes()], pa.binary())], names=["range", "bits", "head", "head_counts"])
 
     # At most MAX_FILTER_BYTES and HEAD entries come to the driver.
-    bits = np.zeros(8 * max(blocks, ranges), FILTER_ROWS)
+    made = counts.mapInArrow(pieces, "range int, bits binary, head binary, head_counts binary")
+    small = 64 * blocks <= MAX_FILTER_BYTES
+    if not small:
+        made = settle(made, "lm-filter")
+    bits = np.zeros(8 * blocks if small else 0, FILTER_ROWS)
     size = 8 * max(1, blocks // ranges)
     head_h, head_c = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for r, raw, h, c in counts.mapInArrow(pieces, "range int, bits binary, head binary, head_counts binary").toLocalIterator(prefetchPartitions=True):
-        bits[r * size : (r + 1) * size] = np.frombuffer(bytes(raw), FILTER_ROWS)
+    for r, raw, h, c in made.select("range", "bits" if small else F.lit(None).cast("binary"), "head", "head_counts").toLocalIterator(prefetchPartitions=True):
+        if small:
+            bits[r * size : (r + 1) * size] = np.frombuffer(bytes(raw), FILTER_ROWS)
         head_h.append(np.frombuffer(bytes(h), "<u8"))
         head_c.append(np.frombuffer(bytes(c), "<i8"))
     order = np.argsort(np.concatenate(head_h))
     head = (np.concatenate(head_h)[order], np.concatenate(head_c)[order])
     context = spark.sparkContext
-    return Model(facts, context.broadcast(bits.tobytes()), context.broadcast(head), counts, ranges)
+    return Model(facts, context.broadcast(bits.tobytes()) if small else None, context.broadcast(head), counts, ranges, None if small else made.select("range", "bits"))
 
 
 class Reader:
-    """A worker's view of the model: levels and head counts by remembered word."""
+    """A worker's view of the model: levels (zero without a broadcast filter) and head counts by remembered word."""
 
-    def __init__(self, facts: Facts, raw: bytes, head: tuple[np.ndarray, np.ndarray]):
-        self.facts, self.filter, self.head = facts, Filter(np.frombuffer(raw, FILTER_ROWS), facts.blocks), head
+    def __init__(self, facts: Facts, raw: bytes | None, head: tuple[np.ndarray, np.ndarray]):
+        self.facts, self.filter, self.head = facts, None if raw is None else Filter(np.frombuffer(raw, FILTER_ROWS), facts.blocks), head
         self.words = Words()
         self._seen = 0
         self.hashes, self.levels, self.counts = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -342,27 +372,15 @@ class Reader:
             at = np.minimum(np.searchsorted(h, new), max(0, len(h) - 1))
             known = h[at] == new if len(h) else np.zeros(len(new), bool)
             self.hashes = np.r_[self.hashes, new]
-            self.levels = np.r_[self.levels, self.filter.level(new)]
+            self.levels = np.r_[self.levels, self.filter.level(new) if self.filter else np.zeros(len(new), np.int64)]
             self.counts = np.r_[self.counts, np.where(known, c[at] if len(h) else 0, -1)]
         single = self.levels[index]
+        if self.filter is None:
+            return index, ends, single, np.zeros(len(index), np.int64)
         # A pair is no more frequent than either of its words.
-        pair = self.filter.level(pairs_of(self.hashes[index], ends), FIRST_PAIR, np.minimum(single, self.before(single, ends)))
+        pair = self.filter.level(pairs_of(self.hashes[index], ends), FIRST_PAIR, np.minimum(single, _before(single, ends)))
         return index, ends, single, pair
 
-    def before(self, levels: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The level of the word before each token; a text's start is as frequent as its end."""
-        got = np.empty_like(levels)
-        got[1:] = levels[:-1]
-        got[ends[:-1]] = self.levels[0] if len(self.levels) else 0
-        return got
-
-    def cells(self, ends: np.ndarray, single: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, cell, tokens) for every text and cell that has any, in order."""
-        cell = (self.before(single, ends) * LEVELS + pair) * LEVELS + single
-        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        both, n = np.unique(text * LEVELS**3 + cell, return_counts=True)
-        return both // LEVELS**3, both % LEVELS**3, n
-
 
 def _binary(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     """values, sorted by row, as one binary value a row."""
@@ -402,6 +420,79 @@ def log10_of_cells(facts: Facts, weight: np.ndarray) -> np.ndarray:
 
 
 SCORED = "row long, learnt boolean, range int, n_tokens long, known long, logs double, cells binary, cell_n binary, tail_rows binary, tail_words binary, tail_n binary"
+#: Besides, of a chunk of texts: its rows, where they end, its distinct words and each token's place among them.
+CHUNK = "chunk long, chunk_rows binary, chunk_ends binary, chunk_words binary, at_word binary"
+OF_CHUNK = [x.split()[0] for x in CHUNK.split(", ")][1:]
+
+
+def _pack(row: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> list[bytes]:
+    """OF_CHUNK of texts with so many tokens each."""
+    words, at = np.unique(hashes, return_inverse=True)
+    wide = max(1, -(-len(words).bit_length() // 8))
+    places = np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide])
+    return [row.astype("<i8").tobytes(), np.r_[0, np.cumsum(sizes)].astype("<i8").tobytes(), squeeze(words), bytes([wide]) + zlib.compress(places.tobytes(), 1)]
+
+
+def _unpack(rows: bytes, ends: bytes, words: bytes, at_word: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(rows, ends, for words and for pairs the sorted distinct hashes and each token's place among them)."""
+    ends, h = np.frombuffer(ends, "<i8"), expand(words)
+    raw = np.frombuffer(zlib.decompress(at_word[1:]), np.uint8).reshape(-1, at_word[0])
+    at = np.zeros((len(raw), 4), np.uint8)
+    at[:, : at_word[0]] = raw
+    at = at.view("<u4").ravel()
+    return np.frombuffer(rows, "<i8"), ends, [(h, at), np.unique(pairs_of(h[at], ends), return_inverse=True)]
+
+
+def _ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """What each chunk's distinct n-grams ask of the ranges."""
+    for part in slices(batches, 1):
+        chunk, *packed = (part.column(c)[0].as_py() for c in ("chunk", *OF_CHUNK))
+        for kind, (h, _) in enumerate(_unpack(*packed)[2]):
+            cut = _cut(h, ranges)
+            full = np.flatnonzero(np.diff(cut))
+            for some in np.array_split(full, max(1, len(full) // 32)):
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([chunk] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([squeeze(h[cut[r] : cut[r + 1]]) for r in some], pa.binary())], names=["range", "chunk", "kind", "asked"])
+
+
+def _cells_by_range(got: DataFrame, model: Model) -> DataFrame:
+    """(row, cells, cell_n) of every text in the chunks of got, read from the pieces of the filter where they lie."""
+    blocks, ranges = model.facts.blocks, model.ranges
+    chunks = got.where("chunk is not null").select("chunk", *OF_CHUNK)
+    asked = chunks.mapInArrow(lambda b: _ask(b, ranges), "range int, chunk long, kind int, asked binary").withColumn("bits", F.lit(None).cast("binary"))
+    pieces = model.pieces.select("range", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("asked"), "bits")
+
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        bits = group.filter(pa.compute.is_valid(group.column("bits"))).column("bits").to_pylist()
+        piece = _piece(np.frombuffer(bits[0], FILTER_ROWS), blocks, ranges) if bits else None
+        out = []
+        for kind, first in ((0, 1), (1, FIRST_PAIR)):
+            rows = group.filter(pa.compute.equal(group.column("kind"), kind))
+            h = [expand(x) for x in rows.column("asked").to_pylist()]
+            every = np.concatenate([np.zeros(0, U), *h])
+            levels = (piece.level(every, first) if piece else np.zeros(len(every), np.int64)).astype(np.uint8)
+            end = np.cumsum([0, *map(len, h)])
+            out.append(pa.table({"chunk": rows.column("chunk"), "kind": rows.column("kind"), "range": pa.array([key[0].as_py()] * len(h), pa.int32()), "levels": pa.array([levels[a:b].tobytes() for a, b in zip(end[:-1], end[1:])], pa.binary())}))
+        return pa.concat_tables(out)
+
+    answers = asked.unionByName(pieces).groupBy("range").applyInArrow(answer, "chunk long, kind int, range int, levels binary")
+    chunks = chunks.select("chunk", *[F.lit(None).cast(k).alias(c) for c, k in (("kind", "int"), ("range", "int"), ("levels", "binary"))], *OF_CHUNK)
+    answers = answers.select("*", *[F.lit(None).cast("binary").alias(c) for c in OF_CHUNK])
+
+    def assemble(group: pa.Table) -> pa.Table:
+        chunk = group.filter(pa.compute.is_valid(group.column("chunk_rows")))
+        row, ends, places = _unpack(*(chunk.column(c)[0].as_py() for c in OF_CHUNK))
+        levels = []
+        for kind, (_, at) in enumerate(places):
+            rows = group.filter(pa.compute.equal(group.column("kind"), kind)).sort_by("range")
+            levels.append(np.frombuffer(b"".join(rows.column("levels").to_pylist()), np.uint8)[at].astype(np.int64))
+        single, pair = levels
+        # As in Reader: a pair is no more frequent than either of its words.
+        pair = np.where(np.minimum(single, _before(single, ends)) >= FIRST_PAIR, pair, 0)
+        text, cell, n = _cells(ends, single, pair)
+        return pa.table({"row": row, "cells": _binary(cell.astype("<u4"), text, len(row)), "cell_n": _binary(n.astype("<u4"), text, len(row))})
+
+    return settle(chunks.unionByName(answers).groupBy("chunk").applyInArrow(assemble, "row long, cells binary, cell_n binary"), "lm-cells")
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", learnt: Column | None = None) -> DataFrame:
@@ -413,14 +504,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     facts, raw, head, ranges = model.facts, model.filter, model.head, model.ranges
     kind = docs.schema[id_col]
-    schema = docs.sparkSession.createDataFrame([], SCORED).schema
+    large = raw is None
+    schema = docs.sparkSession.createDataFrame([], f"{SCORED}, {CHUNK}" if large else SCORED).schema
     schema = type(schema)([type(kind)("ident", kind.dataType), *schema.fields])
     names = schema.names[1:]
-    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 5)
+    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 5, *((pa.int64(), *[pa.binary()] * 4) if large else ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(facts, raw.value, head.value)
+        reader = Reader(facts, None if large else raw.value, head.value)
         rows, words, times, size = [], [], [], 0
+        waiting, tokens_in = [], 0
 
         def tail() -> pa.RecordBatch | None:
             r, h, n = np.concatenate(rows), np.concatenate(words), np.concatenate(times)
@@ -432,6 +525,11 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             cols = dict(zip(("range", "tail_rows", "tail_words", "tail_n"), zip(*got))) if got else {}
             return pa.RecordBatch.from_arrays([pa.nulls(len(got), pa_id), *(pa.array(cols.get(c, none), k) for c, k in zip(names, kinds))], names=schema.names)
 
+        def chunk() -> pa.RecordBatch:
+            row, sizes, h = (np.concatenate(x) for x in zip(*waiting))
+            cols = dict(zip(("chunk", *OF_CHUNK), (int(row[0]), *_pack(row, sizes, h))))
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa_id), *(pa.array([cols.get(c)], k) for c, k in zip(names, kinds))], names=schema.names)
+
         pa_id = None
         for part in slices(batches):
             pa_id = part.column("ident").type
@@ -443,10 +541,18 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             # Without a word to count, bincount would give whole numbers.
             logs = np.bincount(of_doc[inside], weights=np.log10(counted[inside] + 0.5), minlength=len(row)).astype(np.float64)
             known = np.bincount(of_doc[inside], minlength=len(row))
-            text, cell, times_in = reader.cells(ends, single, pair)
-            stored = [_binary(x.astype("<u4"), text, len(row)) for x in (cell, times_in)]
             none = pa.nulls(len(row))
-            yield pa.RecordBatch.from_arrays([part.column("ident"), pa.array(row), part.column("learnt"), none.cast(pa.int32()), pa.array(np.diff(ends)), pa.array(known), pa.array(logs), *stored, *(none.cast(pa.binary()) for _ in range(3))], names=schema.names)
+            if large:
+                waiting.append((row, np.diff(ends), reader.hashes[index]))
+                tokens_in += len(index)
+                stored = [none.cast(pa.binary())] * 2
+            else:
+                text, cell, times_in = _cells(ends, single, pair)
+                stored = [_binary(x.astype("<u4"), text, len(row)) for x in (cell, times_in)]
+            yield pa.RecordBatch.from_arrays([part.column("ident"), pa.array(row), part.column("learnt"), none.cast(pa.int32()), pa.array(np.diff(ends)), pa.array(known), pa.array(logs), *stored, *(none.cast(k) for k in kinds[8:])], names=schema.names)
+            if tokens_in >= FLUSH:
+                yield chunk()
+                waiting, tokens_in = [], 0
             both, n = np.unique(of_doc[~inside] * (1 << 32) + index[~inside], return_counts=True)
             rows.append(row[both >> 32])
             words.append(reader.hashes[both & 0xFFFFFFFF])
@@ -457,11 +563,15 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 rows, words, times, size = [], [], [], 0
         if size:
             yield tail()
+        if tokens_in:
+            yield chunk()
 
     flag = F.lit(True) if learnt is None else F.coalesce(learnt, F.lit(False))
     numbered = docs.select(F.col(id_col).alias("ident"), F.col(text_col).alias(text_col), F.monotonically_increasing_id().alias("row"), flag.alias("learnt"))
     got = settle(numbered.mapInArrow(run, schema), "lm-scored")
-    whole, rest = got.where("range is null"), got.where("range is not null")
+    whole, rest = got.where("row is not null"), got.where("tail_rows is not null")
+    if large:
+        whole = whole.drop("cells", "cell_n").join(_cells_by_range(got, model), "row")
     blob = rest.select("range", "tail_rows", "tail_words", "tail_n", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("word_counts"))
     exact = model.counts.select("range", *[F.lit(None).cast("binary").alias(c) for c in ("tail_rows", "tail_words", "tail_n")], "words", "word_counts")
 

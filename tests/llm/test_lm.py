@@ -75,3 +75,22 @@ def test_edges(spark):
     assert sorted((str(r.id), r.n, r.known, r.train) for r in got) == [("1", 4, 4, 9), ("1", 4, 4, 9), ("2", 1, 1, 9), ("3", 2, 1, 9), ("None", 1, 1, 9)]
     nothing = lm.learn(rows.limit(0))
     assert all(r.base_score == 0 for r in lm.scored(rows, nothing, "score").collect()) and lm.scored(rows.limit(0), model, "score").count() == 0
+
+
+def test_a_filter_too_large_to_broadcast_keeps_its_bits_and_scores(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    learnt = ~lm.held_out(docs.doc_id)
+
+    def run():
+        model = lm.learn(docs.where(learnt))
+        return model, {r.doc_id: tuple(r) for r in lm.scored(docs, model, learnt=learnt).collect()}
+
+    small, want = run()
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 1 << 12)
+    monkeypatch.setattr(lm, "FLUSH", 3000)
+    large, got = run()
+    assert small.filter is not None and large.filter is None and large.facts.bits == small.facts.bits >= lm.BITS_PER_ENTRY
+    assert len(got) == len(want) == docs.count()
+    for i, row in got.items():
+        assert row[:4] == want[i][:4] and math.isclose(row[4], want[i][4], rel_tol=1e-9) and math.isclose(row[5], want[i][5], rel_tol=1e-9)
+    assert lm.scored(docs.limit(0), large).count() == 0
