@@ -1,15 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts. One scan of the training documents turns words into 64-bit hashes and counts single words and pairs of neighbours in numpy;
+Counts. One scan of the training documents turns words into 64-bit hashes, pairs of neighbours into 48-bit ones, and counts both in numpy;
 what a task has counted leaves it as sorted blobs by hash range, so a frequent word costs one entry a blob. Each range merges its
-blobs into exact counts. The number of ranges follows the number of shuffle partitions.
+blobs, MERGE_AT_ONCE entries at a time, into exact counts. There are enough ranges that one holds at most about RANGE_BYTES of text, whatever the input.
 
 Filter. A count is quantised to a level on a logarithmic scale and an n-gram goes into the filter once for each level up to its own; asking
-for level 1, 2, ... until a probe fails gives the level back, never too low, and too high only by a false positive. Words seen at
-all and pairs seen at least MIN_PAIR times are held. The filter is as large as its entries ask for, at least BITS_PER_ENTRY bits each, whatever the
-corpus. A block of 512 bits holds all an n-gram's bits, and blocks follow hash ranges, so each range builds its own piece of the filter where its
-counts lie. A filter of at most MAX_FILTER_BYTES is broadcast; a larger one stays in its pieces: texts are read in chunks of FLUSH tokens, each
-chunk's distinct n-grams go to the ranges that hold them, and their levels come back to the chunk. Both ways read the same bits.
+for level 1, 2, ... until a probe fails gives the level back, never too low, and too high only by a false positive. Every word and every
+pair of the training texts is held. The filter is as large as its entries ask for, at least BITS_PER_ENTRY bits each, whatever the
+corpus. A block of 512 bits holds all an n-gram's bits, and each range has blocks of its own, so it builds its piece of the filter where it merges
+its counts, and pairs are never stored. A filter of at most MAX_FILTER_BYTES is broadcast; a larger one stays in its pieces: texts are read in chunks of
+FLUSH tokens, each chunk's distinct n-grams go to the ranges that hold them, and their levels come back to the chunk. Both ways read the same bits.
 
 Scores. P(w|v) = l * c(vw) / c(v) + (1 - l) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) with counts read from the filter: a level stands for the mean
 count of its members, so the counts still sum to N. A text's score thus depends only on how many of its tokens fall into each cell (level of the
@@ -39,17 +39,18 @@ from .common import remainder, settle, slices, split_words, texts_of
 #: Level boundaries: the distinct whole numbers among the powers of the square root of two, up to 2 ** 40.
 EDGES = np.unique(np.ceil(2.0 ** (np.arange(81) / 2) - 1e-9).astype(np.int64))
 LEVELS = len(EDGES) + 1
-MIN_PAIR = 2
-#: The level of a pair that is seen so often: pairs have no entries below it.
-FIRST_PAIR = int(np.searchsorted(EDGES, MIN_PAIR, side="right"))
-BITS_PER_ENTRY, PROBES, MAX_FILTER_BYTES = 14, 6, 1 << 26
+BITS_PER_ENTRY, PROBES, MAX_FILTER_BYTES = 12, 6, 1 << 27
 HEAD = 200_000
-#: Tokens counted before a task lets go of its counts, and distinct words a worker remembers.
-FLUSH, REMEMBERED = 1_000_000, 200_000
+#: Bytes of training text a hash range is made for, and counted n-grams a range merges at once.
+RANGE_BYTES, MERGE_AT_ONCE = 16 << 20, 1 << 20
+#: Tokens counted before a task lets go of its counts; distinct words a worker remembers, and bytes of them.
+FLUSH, REMEMBERED, REMEMBERED_BYTES = 1_000_000, 200_000, 32 << 20
 ROUNDS = 25
 
 U = np.uint64
 END, START = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+#: Lowest bits of word and of pair hashes that are always zero.
+UNUSED = (U(0), U(16))
 FILTER_ROWS = np.dtype("<u8")
 
 
@@ -61,7 +62,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * U(0x9FB21C651E98DF25) + (right ^ (right << U(17))))
+    """48 bits, so that sorted pairs take few bytes; up to a million million distinct pairs the filter's false positives outnumber shared hashes."""
+    return mix(left * U(0x9FB21C651E98DF25) + (right ^ (right << U(17)))) >> UNUSED[1] << UNUSED[1]
 
 
 class Words(dict):
@@ -69,18 +71,20 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes = [int(END)]
+        self.hashes, self.size = [int(END)], 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = got = len(self.hashes)
         self.hashes.append(xxhash.xxh64_intdigest(word, 0))
+        self.size += len(word)
         return got
 
     def tidy(self) -> bool:
         """Forget everything once too much is remembered."""
-        if len(self.hashes) <= REMEMBERED:
+        if len(self.hashes) <= REMEMBERED and self.size <= REMEMBERED_BYTES:
             return False
         self.clear()
+        self.size = 0
         del self.hashes[1:]
         return True
 
@@ -123,6 +127,16 @@ def expand(raw: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=U)
 
 
+def thin(x: np.ndarray) -> bytes:
+    """Whole numbers, none negative, in as few bytes each as the largest takes."""
+    wide = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * w)
+    return bytes([wide]) + x.astype(f"<u{wide}").tobytes()
+
+
+def fat(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes with their counts added up."""
     if not hashes:
@@ -164,10 +178,10 @@ def _cells(ends: np.ndarray, single: np.ndarray, pair: np.ndarray) -> tuple[np.n
 
 
 BLOBS = "range int, kind int, hashes binary, counts binary"
-MERGED = "range int, words binary, word_counts binary, pairs binary, pair_levels binary, stats array<double>"
+MERGED = "range int, words binary, word_counts binary, bits binary, blocks long, stats array<double>"
 
 
-def _count(batches: Iterator[pa.RecordBatch], text_col: str, ranges: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], text_col: str, ranges: int, most: int) -> Iterator[pa.RecordBatch]:
     words, held, size = Words(), ([], []), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -179,7 +193,7 @@ def _count(batches: Iterator[pa.RecordBatch], text_col: str, ranges: int) -> Ite
             full = np.flatnonzero(np.diff(cut))
             for some in np.array_split(full, max(1, len(full) // 32)):
                 spans = [(cut[r], cut[r + 1]) for r in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array([squeeze(h[a:b]) for a, b in spans], pa.binary()), pa.array([c[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())], names=["range", "kind", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array([squeeze(h[a:b] >> UNUSED[kind]) for a, b in spans], pa.binary()), pa.array([thin(c[a:b]) for a, b in spans], pa.binary())], names=["range", "kind", "hashes", "counts"])
 
     for part in slices(batches):
         words.tidy()
@@ -188,26 +202,33 @@ def _count(batches: Iterator[pa.RecordBatch], text_col: str, ranges: int) -> Ite
         held[0].append(h)
         held[1].append(pairs_of(h, ends))
         size += len(h)
-        if size >= FLUSH:
+        if size >= most:
             yield from flush()
             size = 0
     if size:
         yield from flush()
 
 
-def _merge(key: tuple, group: pa.Table) -> pa.Table:
-    """Exact counts of a range. stats: for words by level the types and tokens, then for pairs."""
-    got = {}
+def _merge(key: tuple, group: pa.Table, ranges: int, bits: int, at_once: int) -> pa.Table:
+    """Exact counts of a range, and its piece of the filter. stats: for words by level the types and tokens, then for pairs."""
+    got = []
     for kind in (0, 1):
         rows = group.filter(pa.compute.equal(group.column("kind"), kind))
-        got[kind] = merged([expand(x) for x in rows.column("hashes").to_pylist()], [np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("counts").to_pylist()])
-    stats = np.concatenate([np.bincount(level(c), weights=w, minlength=LEVELS)[:LEVELS] for _, c in (got[0], got[1]) for w in (None, c)])
-    (w, wc), (p, pc) = got[0], got[1]
-    use = pc >= MIN_PAIR
-    return pa.table({
-        "range": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([w.astype("<u8").tobytes()], pa.binary()), "word_counts": pa.array([wc.astype("<i8").tobytes()], pa.binary()),
-        "pairs": pa.array([p[use].astype("<u8").tobytes()], pa.binary()), "pair_levels": pa.array([level(pc[use]).astype(np.uint8).tobytes()], pa.binary()), "stats": pa.array([stats.tolist()]),
-    })
+        sums, waiting, size = merged([], []), [], 0
+        for h, c in zip(*(rows.column(x) for x in ("hashes", "counts"))):
+            waiting.append((expand(h.as_py()) << UNUSED[kind], fat(c.as_py())))
+            size += len(waiting[-1][0])
+            if size >= at_once:
+                sums, waiting, size = merged(*zip(sums, *waiting)), [], 0
+        got.append(merged(*zip(sums, *waiting)))
+    (w, wc), (p, pc) = got
+    stats = np.concatenate([np.bincount(level(c), weights=x, minlength=LEVELS)[:LEVELS] for c in (wc, pc) for x in (None, c)])
+    entries = int(level(wc).sum() + level(pc).sum())
+    piece = Filter.piece(np.zeros(8 * max(1, -(-entries * bits // 512)), FILTER_ROWS), ranges)
+    piece.add(w, level(wc))
+    piece.add(p, level(pc))
+    cols = ([key[0].as_py()], [squeeze(w)], [thin(wc)], [piece.bits.tobytes()], [len(piece.bits) // 8], [stats.tolist()])
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.float64())))], names=["range", "words", "word_counts", "bits", "blocks", "stats"])
 
 
 class Facts(NamedTuple):
@@ -220,7 +241,7 @@ class Facts(NamedTuple):
     pair_mean: np.ndarray
     #: Words of at least this level are in the head table.
     head_level: int
-    blocks: int
+    #: Bits of the filter for each of its entries.
     bits: float
 
     def unigram(self) -> np.ndarray:
@@ -229,10 +250,18 @@ class Facts(NamedTuple):
 
 
 class Filter:
-    """Blocked Bloom filter: blocks of eight 64-bit numbers, chosen by the top bits of a hash."""
+    """Blocked Bloom filter: blocks of eight 64-bit numbers. A hash's top bits choose the range, its next 32 one of the range's blocks.
+
+    starts: the first block of each range, and the end.
+    """
+
+    def __init__(self, bits: np.ndarray, starts: np.ndarray, ranges: int):
+        self.bits, self.starts, self.top = bits, starts.astype(U), ranges.bit_length() - 1
 
-    def __init__(self, bits: np.ndarray, blocks: int):
-        self.bits, self.shift = bits, U(64 - (blocks.bit_length() - 1))
+    @classmethod
+    def piece(cls, bits: np.ndarray, ranges: int) -> Filter:
+        """One range's part, to be asked only for hashes of that range."""
+        return cls(bits, np.array([0, len(bits) // 8]), ranges)
 
     @staticmethod
     def spread(hashes: np.ndarray, of_level: int) -> np.ndarray:
@@ -241,16 +270,22 @@ class Filter:
 
     def _block(self, hashes: np.ndarray) -> np.ndarray:
         """Index of the block's first number."""
-        return (hashes >> self.shift << U(3)).astype(np.int64) if self.shift < 64 else np.zeros(len(hashes), np.int64)
-
-    def add(self, hashes: np.ndarray, levels: np.ndarray, first: int = 1) -> None:
+        inside = hashes << U(self.top) >> U(32)
+        if len(self.starts) == 2:
+            return ((inside * self.starts[1] >> U(32)) << U(3)).astype(np.int64)
+        at = (hashes >> U(64 - self.top)).astype(np.int64)
+        first = self.starts[at]
+        return (first + (inside * (self.starts[at + 1] - first) >> U(32)) << U(3)).astype(np.int64)
+
+    def add(self, hashes: np.ndarray, levels: np.ndarray) -> None:
         block = self._block(hashes)
-        for j in range(first, int(levels.max(initial=0)) + 1):
-            use = levels >= j
-            g, at = self.spread(hashes[use], j), block[use]
+        for j in range(1, int(levels.max(initial=0)) + 1):
+            use = np.flatnonzero(levels >= j)
+            hashes, block, levels = hashes[use], block[use], levels[use]
+            g = self.spread(hashes, j)
             for i in range(PROBES):
                 place = (g >> U(9 * i)) & U(511)
-                np.bitwise_or.at(self.bits, at + (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+                np.bitwise_or.at(self.bits, block + (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
 
     def _there(self, hashes: np.ndarray, block: np.ndarray, of_level: int) -> np.ndarray:
         """Positions of the n-grams all of whose probes for a level succeed; most that aren't there leave at the first probes."""
@@ -263,16 +298,16 @@ class Filter:
                 at = hit if at is None else at[hit]
         return np.arange(len(hashes)) if at is None else at
 
-    def level(self, hashes: np.ndarray, first: int = 1, most: np.ndarray | None = None) -> np.ndarray:
-        """Probe level after level from `first` until one is not there; n-grams whose bound `most` lies below first aren't asked for."""
+    def level(self, hashes: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+        """Probe level after level until one is not there; n-grams whose bound `most` is zero aren't asked for."""
         got = np.zeros(len(hashes), np.int64)
-        asked = np.arange(len(hashes)) if most is None else np.flatnonzero(most >= first)
-        found = asked[self._there(hashes[asked], self._block(hashes[asked]), first)]
+        asked = np.arange(len(hashes)) if most is None else np.flatnonzero(most >= 1)
+        found = asked[self._there(hashes[asked], self._block(hashes[asked]), 1)]
         if not len(found):
             return got
         h, back = np.unique(hashes[found], return_inverse=True)
-        block, at, levels = self._block(h), np.arange(len(h)), np.full(len(h), first)
-        for j in range(first + 1, LEVELS):
+        block, at, levels = self._block(h), np.arange(len(h)), np.ones(len(h), np.int64)
+        for j in range(2, LEVELS):
             there = self._there(h, block, j)
             if not len(there):
                 break
@@ -282,18 +317,9 @@ class Filter:
         return got
 
 
-def _piece(bits: np.ndarray, blocks: int, ranges: int) -> Filter:
-    """The part of a filter of so many blocks that belongs to one range; asked only for hashes of that range."""
-    size = max(1, blocks // ranges)
-    piece = Filter(bits, size)
-    shift = U(64 - (blocks.bit_length() - 1)) if blocks > 1 else U(63)
-    piece._block = lambda h: (((h >> shift) & U(size - 1)) << U(3)).astype(np.int64)  # the range's own blocks
-    return piece
-
-
 class Model(NamedTuple):
     facts: Facts
-    filter: object  # broadcast of the filter's bytes, or None
+    filter: object  # broadcast of (the filter's bytes, its ranges' first blocks and the end), or None
     head: object  # broadcast of (hashes, counts) of the head, sorted
     #: Settled counts by range, for the words outside the head.
     counts: DataFrame
@@ -305,56 +331,58 @@ class Model(NamedTuple):
 def learn(docs: DataFrame, text_col: str = "text") -> Model:
     """Count every text of docs and build the filter. Null texts are empty; an empty table gives a model without counts."""
     spark = docs.sparkSession
-    ranges = 1 << max(0, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    blobs = docs.select(text_col).mapInArrow(lambda b: _count(b, text_col, ranges), BLOBS)
-    counts = settle(blobs.groupBy("range").applyInArrow(_merge, MERGED), "lm-counts")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    ranges = 1 << (max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES), 1) - 1).bit_length()
+    most, bits_each, at_once = FLUSH, BITS_PER_ENTRY, MERGE_AT_ONCE
+    blobs = docs.select(text_col).mapInArrow(lambda b: _count(b, text_col, ranges, most), BLOBS)
+    counts = settle(blobs.groupBy("range").applyInArrow(lambda key, group: _merge(key, group, ranges, bits_each, at_once), MERGED), "lm-counts")
     sums = counts.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     stats = np.zeros(4 * LEVELS)
     for i, x in sums:
         stats[i] = x
     word_types, word_tokens, pair_types, pair_tokens = stats.reshape(4, LEVELS)
     safe = lambda a, b: np.divide(a, b, out=np.zeros(LEVELS), where=b > 0)
-    steps = np.arange(LEVELS)
-    entries = int((word_types * steps).sum() + (pair_types * np.maximum(steps - FIRST_PAIR + 1, 0)).sum())
-    blocks = max(ranges, 1 << max(0, (-(-entries * BITS_PER_ENTRY // 512) - 1).bit_length()))
+    entries = int(((word_types + pair_types) * np.arange(LEVELS)).sum())
     above = np.cumsum(word_types[::-1])[::-1]
     head_level = int(np.argmax(above <= HEAD)) if (above <= HEAD).any() else LEVELS
-    facts = Facts(int(word_tokens.sum()), int(word_types.sum()), safe(word_tokens, word_types), safe(pair_tokens, pair_types), head_level, blocks, 512 * blocks / max(1, entries))
+    blocks = counts.agg(F.sum("blocks")).first()[0] or 0
+    facts = Facts(int(word_tokens.sum()), int(word_types.sum()), safe(word_tokens, word_types), safe(pair_tokens, pair_types), head_level, 512 * blocks / max(1, entries))
+    small = 64 * blocks <= MAX_FILTER_BYTES
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             row = part.to_pylist()[0]
-            shared = _piece(np.zeros(8 * max(1, blocks // ranges), FILTER_ROWS), blocks, ranges)
-            w, wc = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["word_counts"], "<i8")
-            shared.add(w, level(wc))
-            shared.add(np.frombuffer(row["pairs"], "<u8"), np.frombuffer(row["pair_levels"], np.uint8).astype(np.int64), FIRST_PAIR)
+            w, wc = expand(row["words"]), fat(row["word_counts"])
             top = level(wc) >= head_level
-            yield pa.RecordBatch.from_arrays([pa.array([row["range"]], pa.int32()), pa.array([shared.bits.tobytes()], pa.binary()), pa.array([w[top].tobytes()], pa.binary()), pa.array([wc[top].tobytes()], pa.binary())], names=["range", "bits", "head", "head_counts"])
+            yield pa.RecordBatch.from_arrays([part.column("range"), part.column("bits"), pa.array([w[top].tobytes()], pa.binary()), pa.array([wc[top].tobytes()], pa.binary())], names=["range", "bits", "head", "head_counts"])
 
     # At most MAX_FILTER_BYTES and HEAD entries come to the driver.
-    made = counts.mapInArrow(pieces, "range int, bits binary, head binary, head_counts binary")
-    small = 64 * blocks <= MAX_FILTER_BYTES
-    if not small:
-        made = settle(made, "lm-filter")
-    bits = np.zeros(8 * blocks if small else 0, FILTER_ROWS)
-    size = 8 * max(1, blocks // ranges)
+    made = counts.select("range", "words", "word_counts", "bits" if small else F.lit(None).cast("binary").alias("bits"))
+    made = made.mapInArrow(parts, "range int, bits binary, head binary, head_counts binary")
+    sizes = np.zeros(ranges, np.int64)
+    if small:
+        for r, n in counts.select("range", "blocks").toLocalIterator():
+            sizes[r] = n
+    # A range without an n-gram has an empty block.
+    starts = np.r_[0, np.cumsum(np.maximum(sizes, 1))]
+    bits = bytearray(64 * int(starts[-1]) if small else 0)
     head_h, head_c = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for r, raw, h, c in made.select("range", "bits" if small else F.lit(None).cast("binary"), "head", "head_counts").toLocalIterator(prefetchPartitions=True):
+    for r, raw, h, c in made.toLocalIterator(prefetchPartitions=True):
         if small:
-            bits[r * size : (r + 1) * size] = np.frombuffer(bytes(raw), FILTER_ROWS)
+            bits[64 * starts[r] : 64 * starts[r] + len(raw)] = raw
         head_h.append(np.frombuffer(bytes(h), "<u8"))
         head_c.append(np.frombuffer(bytes(c), "<i8"))
     order = np.argsort(np.concatenate(head_h))
     head = (np.concatenate(head_h)[order], np.concatenate(head_c)[order])
     context = spark.sparkContext
-    return Model(facts, context.broadcast(bits.tobytes()) if small else None, context.broadcast(head), counts, ranges, None if small else made.select("range", "bits"))
+    return Model(facts, context.broadcast((bits, starts)) if small else None, context.broadcast(head), counts.select("range", "words", "word_counts"), ranges, None if small else counts.select("range", "bits"))
 
 
 class Reader:
     """A worker's view of the model: levels (zero without a broadcast filter) and head counts by remembered word."""
 
-    def __init__(self, facts: Facts, raw: bytes | None, head: tuple[np.ndarray, np.ndarray]):
-        self.facts, self.filter, self.head = facts, None if raw is None else Filter(np.frombuffer(raw, FILTER_ROWS), facts.blocks), head
+    def __init__(self, held: tuple[bytearray, np.ndarray] | None, ranges: int, head: tuple[np.ndarray, np.ndarray]):
+        self.filter, self.head = None if held is None else Filter(np.frombuffer(held[0], FILTER_ROWS), held[1], ranges), head
         self.words = Words()
         self._seen = 0
         self.hashes, self.levels, self.counts = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -378,7 +406,7 @@ class Reader:
         if self.filter is None:
             return index, ends, single, np.zeros(len(index), np.int64)
         # A pair is no more frequent than either of its words.
-        pair = self.filter.level(pairs_of(self.hashes[index], ends), FIRST_PAIR, np.minimum(single, _before(single, ends)))
+        pair = self.filter.level(pairs_of(self.hashes[index], ends), np.minimum(single, _before(single, ends)))
         return index, ends, single, pair
 
 
@@ -452,25 +480,25 @@ def _ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBa
             full = np.flatnonzero(np.diff(cut))
             for some in np.array_split(full, max(1, len(full) // 32)):
                 n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([chunk] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([squeeze(h[cut[r] : cut[r + 1]]) for r in some], pa.binary())], names=["range", "chunk", "kind", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([chunk] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([squeeze(h[cut[r] : cut[r + 1]] >> UNUSED[kind]) for r in some], pa.binary())], names=["range", "chunk", "kind", "asked"])
 
 
 def _cells_by_range(got: DataFrame, model: Model) -> DataFrame:
     """(row, cells, cell_n) of every text in the chunks of got, read from the pieces of the filter where they lie."""
-    blocks, ranges = model.facts.blocks, model.ranges
+    ranges = model.ranges
     chunks = got.where("chunk is not null").select("chunk", *OF_CHUNK)
     asked = chunks.mapInArrow(lambda b: _ask(b, ranges), "range int, chunk long, kind int, asked binary").withColumn("bits", F.lit(None).cast("binary"))
     pieces = model.pieces.select("range", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("asked"), "bits")
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
         bits = group.filter(pa.compute.is_valid(group.column("bits"))).column("bits").to_pylist()
-        piece = _piece(np.frombuffer(bits[0], FILTER_ROWS), blocks, ranges) if bits else None
+        piece = Filter.piece(np.frombuffer(bits[0], FILTER_ROWS), ranges) if bits else None
         out = []
-        for kind, first in ((0, 1), (1, FIRST_PAIR)):
+        for kind in (0, 1):
             rows = group.filter(pa.compute.equal(group.column("kind"), kind))
-            h = [expand(x) for x in rows.column("asked").to_pylist()]
+            h = [expand(x) << UNUSED[kind] for x in rows.column("asked").to_pylist()]
             every = np.concatenate([np.zeros(0, U), *h])
-            levels = (piece.level(every, first) if piece else np.zeros(len(every), np.int64)).astype(np.uint8)
+            levels = (piece.level(every) if piece else np.zeros(len(every), np.int64)).astype(np.uint8)
             end = np.cumsum([0, *map(len, h)])
             out.append(pa.table({"chunk": rows.column("chunk"), "kind": rows.column("kind"), "range": pa.array([key[0].as_py()] * len(h), pa.int32()), "levels": pa.array([levels[a:b].tobytes() for a, b in zip(end[:-1], end[1:])], pa.binary())}))
         return pa.concat_tables(out)
@@ -488,7 +516,7 @@ def _cells_by_range(got: DataFrame, model: Model) -> DataFrame:
             levels.append(np.frombuffer(b"".join(rows.column("levels").to_pylist()), np.uint8)[at].astype(np.int64))
         single, pair = levels
         # As in Reader: a pair is no more frequent than either of its words.
-        pair = np.where(np.minimum(single, _before(single, ends)) >= FIRST_PAIR, pair, 0)
+        pair = np.where(np.minimum(single, _before(single, ends)) >= 1, pair, 0)
         text, cell, n = _cells(ends, single, pair)
         return pa.table({"row": row, "cells": _binary(cell.astype("<u4"), text, len(row)), "cell_n": _binary(n.astype("<u4"), text, len(row))})
 
@@ -511,7 +539,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 5, *((pa.int64(), *[pa.binary()] * 4) if large else ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(facts, None if large else raw.value, head.value)
+        reader = Reader(None if large else raw.value, ranges, head.value)
         rows, words, times, size = [], [], [], 0
         waiting, tokens_in = [], 0
 
@@ -577,12 +605,13 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def look_up(key: tuple, group: pa.Table) -> pa.Table:
         there = group.filter(pa.compute.is_valid(group.column("words")))
-        h = np.concatenate([np.zeros(0, U), *(np.frombuffer(x, "<u8") for x in there.column("words").to_pylist())])
-        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8") for x in there.column("word_counts").to_pylist())])
+        h = np.concatenate([np.zeros(0, U), *map(expand, there.column("words").to_pylist())])
+        c = np.concatenate([np.zeros(0, np.int64), *map(fat, there.column("word_counts").to_pylist())])
         out_r, out_l, out_k = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-        for r, w, n in zip(*(group.column(x).to_pylist() for x in ("tail_rows", "tail_words", "tail_n"))):
-            if r is None:
+        for r, w, n in zip(*(group.column(x) for x in ("tail_rows", "tail_words", "tail_n"))):
+            if not r.is_valid:
                 continue
+            r, w, n = r.as_py(), w.as_py(), n.as_py()
             r, w, n = np.frombuffer(r, "<i8"), expand(w), np.frombuffer(n, "<u4").astype(np.int64)
             at = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
             count = np.where(h[at] == w, c[at], 0) if len(h) else np.zeros(len(w), np.int64)
