@@ -23,6 +23,7 @@ entries; all others go, counted by document, to the range that has their count.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -52,6 +53,8 @@ END, START = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Lowest bits of word and of pair hashes that are always zero.
 UNUSED = (U(0), U(16))
 FILTER_ROWS = np.dtype("<u8")
+#: A broadcast bytearray's file begins with three bytes and its length; so many empty bytes put the filter's numbers behind them in step.
+BROADCAST_HEAD, SKIPPED = b"\x80\x05\x96", 5
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -317,9 +320,21 @@ class Filter:
         return got
 
 
+def _mapped(held) -> np.ndarray:
+    """The numbers of a broadcast filter. Mapped from the file Spark keeps a broadcast in, so that the workers of a machine share one copy; read where that isn't possible."""
+    path = getattr(held, "_path", None)
+    if path and os.path.exists(path):
+        with open(path, "rb") as f:
+            head, size = f.read(3), int.from_bytes(f.read(8), "little")
+        if head == BROADCAST_HEAD and size + 11 <= os.path.getsize(path):
+            return np.asarray(np.memmap(path, FILTER_ROWS, "r", 11 + SKIPPED, ((size - SKIPPED) // 8,)))
+    return np.frombuffer(held.value, FILTER_ROWS, offset=SKIPPED)
+
+
 class Model(NamedTuple):
     facts: Facts
-    filter: object  # broadcast of (the filter's bytes, its ranges' first blocks and the end), or None
+    filter: object  # broadcast of SKIPPED bytes and the filter's, or None
+    starts: np.ndarray  # the first block of each range in it, and the end
     head: object  # broadcast of (hashes, counts) of the head, sorted
     #: Settled counts by range, for the words outside the head.
     counts: DataFrame
@@ -365,24 +380,25 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
             sizes[r] = n
     # A range without an n-gram has an empty block.
     starts = np.r_[0, np.cumsum(np.maximum(sizes, 1))]
-    bits = bytearray(64 * int(starts[-1]) if small else 0)
+    bits = bytearray(SKIPPED + 64 * int(starts[-1]) if small else 0)
     head_h, head_c = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for r, raw, h, c in made.toLocalIterator(prefetchPartitions=True):
         if small:
-            bits[64 * starts[r] : 64 * starts[r] + len(raw)] = raw
+            at = SKIPPED + 64 * int(starts[r])
+            bits[at : at + len(raw)] = raw
         head_h.append(np.frombuffer(bytes(h), "<u8"))
         head_c.append(np.frombuffer(bytes(c), "<i8"))
     order = np.argsort(np.concatenate(head_h))
     head = (np.concatenate(head_h)[order], np.concatenate(head_c)[order])
     context = spark.sparkContext
-    return Model(facts, context.broadcast((bits, starts)) if small else None, context.broadcast(head), counts.select("range", "words", "word_counts"), ranges, None if small else counts.select("range", "bits"))
+    return Model(facts, context.broadcast(bits) if small else None, starts, context.broadcast(head), counts.select("range", "words", "word_counts"), ranges, None if small else counts.select("range", "bits"))
 
 
 class Reader:
     """A worker's view of the model: levels (zero without a broadcast filter) and head counts by remembered word."""
 
-    def __init__(self, held: tuple[bytearray, np.ndarray] | None, ranges: int, head: tuple[np.ndarray, np.ndarray]):
-        self.filter, self.head = None if held is None else Filter(np.frombuffer(held[0], FILTER_ROWS), held[1], ranges), head
+    def __init__(self, held: Filter | None, head: tuple[np.ndarray, np.ndarray]):
+        self.filter, self.head = held, head
         self.words = Words()
         self._seen = 0
         self.hashes, self.levels, self.counts = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -530,7 +546,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     base_score: the add-one-half unigram log10 probability with exact counts. A null or empty text is one token, its end. Repeated rows give
     repeated rows, a null id stays null; other columns are ignored. An empty table gives no rows.
     """
-    facts, raw, head, ranges = model.facts, model.filter, model.head, model.ranges
+    facts, raw, starts, head, ranges = model.facts, model.filter, model.starts, model.head, model.ranges
     kind = docs.schema[id_col]
     large = raw is None
     schema = docs.sparkSession.createDataFrame([], f"{SCORED}, {CHUNK}" if large else SCORED).schema
@@ -539,7 +555,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 5, *((pa.int64(), *[pa.binary()] * 4) if large else ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(None if large else raw.value, ranges, head.value)
+        reader = Reader(None if large else Filter(_mapped(raw), starts, ranges), head.value)
         rows, words, times, size = [], [], [], 0
         waiting, tokens_in = [], 0
 
