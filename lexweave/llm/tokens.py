@@ -1,13 +1,13 @@
 """Exact token counts under a unigram vocabulary, without building tokens.
 
 Best segmentation by dynamic programming: an Aho-Corasick automaton over the vocabulary reports every piece ending at each
-character, and for every prefix only the best score and its number of pieces are carried, nothing to trace back. Ties follow the
+character, and for the prefixes that a piece may still reach only the best score and its number of pieces are carried, nothing to trace back. Ties follow the
 unigram tokenizer of the `tokenizers` library: a later candidate must score strictly more, and candidates for a position come by
 start, longest piece first; a character without a piece of its own may be unknown, at the least score less 10; a run of
 unknown characters is one unknown token, or one token per byte if the vocabulary has every byte. Scores add up in double precision, left to right.
 
 Text is cut before each space mark, as the tokenizer's Metaspace step does, so a word's count doesn't depend on its neighbours and is
-remembered (at most REMEMBERED words a worker).
+remembered (at most REMEMBERED words and REMEMBERED_BYTES of them a worker).
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from .common import texts_of, with_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 300_000
+REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
+#: Prefixes kept before those out of every piece's reach are let go.
+WINDOW = 1 << 14
 
 
 class UnigramCounter:
@@ -37,49 +39,60 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score, i == unknown))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in vocabulary), default=0)
         self.known: dict[str, int] = {}
         self.scores: dict[str, float] = {}
+        self.size = 0
 
     def segment(self, word: str) -> tuple[float, int]:
-        """(score, pieces) of the best segmentation."""
-        n = len(word)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        #: Where the run of unknown pieces that ends here begins; the position itself without one.
-        run = list(range(n + 1))
-        reached = [True] + [False] * n
+        """(score, pieces) of the best segmentation. Keeps at most WINDOW prefixes and the longest piece's length, whatever the word's."""
+        n, base, reach = len(word), 0, self.longest + 1
+        # By prefix, from `base` on: best score (None: none yet), pieces, and of the run of unknown characters that ends there
+        # the pieces before it, its characters and its bytes.
+        best, count = [0.0], [0]
+        before, chars, size_of = [0], [0], [0]
         matches = self.automaton.iter(word)
         end, item = next(matches, (n, None))
         for stop in range(1, n + 1):
-            alone, chosen, is_unknown = False, 0, False
+            alone, top, chosen, is_unknown = False, None, 0, False
             while end == stop - 1:
                 size, score, unk = item
-                start = stop - size
                 alone |= size == 1
-                candidate = best[start] + score
-                if not reached[stop] or candidate > best[stop]:
-                    reached[stop], best[stop], chosen, is_unknown = True, candidate, start, unk
+                candidate = best[stop - size - base] + score
+                if top is None or candidate > top:
+                    top, chosen, is_unknown = candidate, stop - size, unk
                 end, item = next(matches, (n, None))
             if not alone:
-                candidate = best[stop - 1] + self.floor
-                if not reached[stop] or candidate > best[stop]:
-                    reached[stop], best[stop], chosen, is_unknown = True, candidate, stop - 1, True
+                candidate = best[stop - 1 - base] + self.floor
+                if top is None or candidate > top:
+                    top, chosen, is_unknown = candidate, stop - 1, True
+            best.append(top)
+            at = chosen - base
             if is_unknown:
-                run[stop] = chosen = run[chosen]
-                count[stop] = count[chosen] + self._unknown(word[chosen:stop])
+                first = before[at] if chars[at] else count[at]
+                run, raw = chars[at] + stop - chosen, size_of[at] + len(word[chosen:stop].encode("utf-8", "surrogatepass"))
+                # Unknown characters fuse; a run that is no piece itself is spelled in bytes.
+                spelled = self.bytes and (run > self.longest or word[stop - run : stop] not in self.automaton)
+                count.append(first + (raw if spelled else 1))
+                before.append(first)
+                chars.append(run)
+                size_of.append(raw)
             else:
-                count[stop] = count[chosen] + 1
-        return best[n], count[n]
-
-    def _unknown(self, text: str) -> int:
-        """Tokens of a run of unknown characters: they fuse, and a run that is no piece itself is spelled in bytes."""
-        return len(text.encode("utf-8", "surrogatepass")) if self.bytes and text not in self.automaton else 1
+                count.append(count[at] + 1)
+                before.append(0)
+                chars.append(0)
+                size_of.append(0)
+            if len(best) > WINDOW + reach:
+                cut = len(best) - reach
+                base += cut
+                for held in (best, count, before, chars, size_of):
+                    del held[:cut]
+        return best[-1], count[-1]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.scores.clear()
         for w in words:
             self.scores[w], self.known[w] = self.segment(MARK + w)
+            self.size += len(w)
 
     def count(self, text: str) -> tuple[int, float]:
         """(tokens, score) of a whole text; none for an empty one."""
@@ -88,8 +101,10 @@ class UnigramCounter:
         words = text.replace(MARK, " ").removeprefix(" ").split(" ")
         new = set(words).difference(self.known)
         if new:
-            if len(self.known) > REMEMBERED:
-                new = set(words)
+            if len(self.known) > REMEMBERED or self.size > REMEMBERED_BYTES:
+                self.known.clear()
+                self.scores.clear()
+                self.size, new = 0, set(words)
             self._learn(new)
         return sum(map(self.known.__getitem__, words)), sum(map(self.scores.__getitem__, words))
 
@@ -108,7 +123,7 @@ def counter(path: str) -> UnigramCounter:
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (the columns in keep, all by default) with n_tokens long and unigram_score double.
+    """docs (the columns in keep, all by default) with n_tokens long and unigram_score double: a unigram model's, whatever kind of model the file was made for.
 
     A null text is an empty one and has no tokens and score 0. White space other than the space is part of words. Rows pass through one by one,
     repeats included; an input column named n_tokens or unigram_score is replaced. The path must be readable on every worker.
