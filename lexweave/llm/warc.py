@@ -30,8 +30,8 @@ LEAST_REVISIT = 1000
 #: Uncompressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 256 << 20
 LEVEL, CHUNK = 6, 1 << 20
-#: Groups of equal payloads up to which their table is broadcast (some 30 MB); beyond, pages are shuffled to it.
-BROADCAST_GROUPS = 200_000
+#: Groups of equal payloads up to which their table is broadcast (some 30 MB); beyond, pages are shuffled to it, each group over SALTS tasks.
+BROADCAST_GROUPS, SALTS = 200_000, 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = 16 + zlib.MAX_WBITS
@@ -140,14 +140,19 @@ def resolve(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", u
     stored; a null id never is the largest. If all ids of a group are null, all its rows are stored.
     """
     rows = pages.select(F.col(id_col).alias("ident"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    groups = rows.where("digest is not null").groupBy("digest").agg(F.max("ident").alias("stored"), F.count("*").alias("n")).where("n > 1 and stored is not null").select(F.col("digest").alias("d"), "stored")
+    stored_again = rows.where(F.octet_length("payload") < least)
+    rows = rows.where(F.octet_length("payload") >= least).withColumn("digest", F.sha2("payload", 256))
+    groups = rows.groupBy("digest").agg(F.max("ident").alias("stored"), F.count("*").alias("n")).where("n > 1 and stored is not null").select(F.col("digest").alias("d"), "stored")
     groups = settle(groups, "warc-groups")
+    same = F.col("digest") == F.col("d")
     if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    joined = rows.join(groups, F.col("digest") == F.col("d"), "left")
+        joined = rows.join(F.broadcast(groups), same, "left")
+    else:
+        groups = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("ident", "url"), F.lit(SALTS)).cast("int")).join(groups, same & (F.col("salt") == F.col("s")), "left")
     revisit = F.col("stored").isNotNull() & ~F.col("ident").eqNullSafe(F.col("stored"))
-    return joined.select("ident", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("stored")).alias("refers_to"))
+    joined = joined.select("ident", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("stored")).alias("refers_to"))
+    return joined.unionByName(stored_again.select("*", F.lit(False).alias("revisit"), F.lit(None).cast(rows.schema["ident"].dataType).alias("refers_to")))
 
 
 def write(records: DataFrame, root: str, date: str = DATE, level: int = LEVEL) -> DataFrame:
@@ -203,14 +208,15 @@ def normalised(archives: DataFrame, root: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     _rows: Callable = lambda held: pa.RecordBatch.from_arrays([pa.array([x[n] for x in held], k) for n, k in zip(names, kinds)], names=names)
-    spread = archives.repartition("archive")
+    # A task an archive: paths are few and short, so adaptive execution would put them all into one.
+    spread = archives.repartitionByRange(max(1, archives.count()), "archive")
     return settle(spread.mapInArrow(run, schema), "warc-index")
 
 
 def read(index: DataFrame, root: str) -> DataFrame:
     """Read every record of normalised()'s index by its range: (ident string, payload_bytes, payload_digest, record_type, refers_to string).
 
-    A response whose body does not match its digest or length fails the job.
+    A response whose body does not match its digest or length fails the job. Each archive is read by one task, from its start to its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +241,9 @@ def read(index: DataFrame, root: str) -> DataFrame:
         if opened:
             opened.close()
 
-    return index.select("archive", "offset", "length").mapInArrow(run, "ident string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    archives = index.select(F.count_distinct("archive")).first()[0]
+    spread = index.select("archive", "offset", "length").repartitionByRange(max(1, archives), "archive").sortWithinPartitions("archive", "offset")
+    return spread.mapInArrow(run, "ident string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", url_col: str = "url", root: str | None = None) -> tuple[DataFrame, str]:
