@@ -26,6 +26,8 @@ from .common import with_columns
 WIDTH, ROWS = 64, 65535 // 8
 #: Payload bytes encoded or decoded at once in a worker.
 BATCH_BYTES = 1 << 21
+#: Payload bytes whose Huffman codes are made at once, and restart intervals decoded at once: bound what a very long text takes.
+BAND_BYTES, LANES = 1 << 19, 1 << 13
 #: DC categories 0 to 8 in order of code: seven codes of three bits, one of four, one of five.
 DC_SYMBOLS, DC_BITS = (2, 3, 4, 5, 6, 7, 0, 1, 8), (0, 0, 7, 1, 1)
 
@@ -113,19 +115,38 @@ def encode_samples(payloads: list[bytes]) -> list[bytes]:
             jobs.setdefault(wide, []).append((i, k, data[at : at + wide * high].reshape(high, wide)))
             at += wide * high
     for wide, work in jobs.items():
-        coded, begins = _scans(np.concatenate([x for *_, x in work]), wide)
-        raw, row = coded.tobytes(), 0
-        for i, k, x in work:
-            scan = bytearray()
-            for r in range(len(x)):
-                if r:
-                    scan += bytes([0xFF, 0xD0 + (r - 1) % 8])
-                scan += raw[begins[row + r] : begins[row + r + 1]]
-            row += len(x)
-            parts[i][k] = _head(wide, len(x)) + bytes(scan) + b"\xff\xd9"
+        scans = [bytearray() for _ in work]
+        for band in _bands([len(x) for *_, x in work], max(1, BAND_BYTES // wide)):
+            coded, begins = _scans(np.concatenate([work[w][2][a:b] for w, a, b in band]), wide)
+            raw, row = coded.tobytes(), 0
+            for w, a, b in band:
+                for r in range(a, b):
+                    if r:
+                        scans[w] += bytes([0xFF, 0xD0 + (r - 1) % 8])
+                    scans[w] += raw[begins[row] : begins[row + 1]]
+                    row += 1
+        for (i, k, x), scan in zip(work, scans):
+            parts[i][k] = b"".join((_head(wide, len(x)), scan, b"\xff\xd9"))
     return [b"".join(x) for x in parts]
 
 
+def _bands(sizes: list[int], most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs (item, from, to) through items of these sizes, in bands of at most `most` in all."""
+    band, room = [], most
+    for i, n in enumerate(sizes):
+        at = 0
+        while at < n:
+            to = min(n, at + room)
+            band.append((i, at, to))
+            room -= to - at
+            at = to
+            if not room:
+                yield band
+                band, room = [], most
+    if band:
+        yield band
+
+
 class Frame(NamedTuple):
     width: int
     height: int
@@ -228,10 +249,8 @@ def _unstuffed(data: bytes, frame: Frame, base: int) -> tuple[np.ndarray, _Lanes
     mark = np.flatnonzero(raw[:-1] == 0xFF) if len(raw) else np.zeros(0, int)
     after = raw[mark + 1]
     restarts = mark[(after >= 0xD0) & (after <= 0xD7)]
-    keep = np.ones(len(raw), bool)
-    keep[mark[after == 0] + 1] = False
-    keep[restarts] = keep[restarts + 1] = False
-    kept = np.r_[0, np.cumsum(keep)]
+    gone = np.sort(np.concatenate([mark[after == 0] + 1, restarts, restarts + 1]))
+    kept = lambda at: at - np.searchsorted(gone, at)
     hs, vs = max(c[1] for c in frame.components), max(c[2] for c in frame.components)
     if len(frame.components) == 1:
         hs = vs = 1
@@ -239,23 +258,42 @@ def _unstuffed(data: bytes, frame: Frame, base: int) -> tuple[np.ndarray, _Lanes
     each = frame.restart or mcus
     counts = np.full(-(-mcus // each), each)
     counts[-1] -= counts.sum() - mcus
-    starts = base + np.r_[0, kept[restarts + 2]]
+    starts = base + np.r_[0, kept(restarts + 2)]
     if len(starts) != len(counts):
         raise ValueError("restart markers don't fit the frame")
-    return raw[keep], _Lanes(frame, mcus, starts, np.r_[base + kept[restarts], base + kept[-1]], counts)
+    return np.delete(raw, gone), _Lanes(frame, mcus, starts, np.r_[base + kept(restarts), base + len(raw) - len(gone)], counts)
 
 
 def _decode(stream: np.ndarray, lanes: list[_Lanes]) -> list[np.ndarray]:
-    """DC coefficients of the first component's blocks, in scan order, for frames that share components' tables and sampling."""
+    """Levels, 0 to 255, of the first component's blocks, in scan order, for frames that share components' tables and sampling."""
     parts = lanes[0].frame.components
+    each = parts[0][1] * parts[0][2] if len(parts) > 1 else 1
+    got = [np.zeros(x.mcus * each, np.uint8) for x in lanes]
+    for band in _bands([len(x.counts) for x in lanes], LANES):
+        start, end, count = (np.concatenate([getattr(lanes[i], n)[a:b] for i, a, b in band]) for n in ("starts", "ends", "counts"))
+        dc, row = _decode_band(stream, parts, start, end, count), 0
+        for i, a, b in band:
+            rows, n = dc[row : row + b - a], lanes[i].counts[a:b]
+            row += b - a
+            level = np.clip(np.floor(rows * lanes[i].frame.components[0][3] / 8 + 128.5), 0, 255).astype(np.uint8)
+            # All intervals but an image's last are of one length.
+            at, width = a * int(lanes[i].counts[0]) * each, int(n[0]) * each
+            whole = level[:-1, :width].ravel()
+            got[i][at : at + len(whole)] = whole
+            got[i][at + len(whole) : at + len(whole) + int(n[-1]) * each] = level[-1, : int(n[-1]) * each]
+    return got
+
+
+def _decode_band(stream: np.ndarray, parts: list[tuple], start: np.ndarray, end: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """DC coefficients of the first component's blocks, a row an interval; intervals in lockstep."""
     layout = [(i, 1) if len(parts) == 1 else (i, c[1] * c[2]) for i, c in enumerate(parts)]
-    start, end, count = (np.concatenate([getattr(x, n) for x in lanes]) for n in ("starts", "ends", "counts"))
     order = np.argsort(-count, kind="stable")
-    bit, left = start[order] * 8, count[order]
+    bit, left = (start[order] - start.min()) * 8, count[order]
+    last = end[order] - start.min()
     of_first = layout[0][1]
     out = np.zeros((len(order), int(left[0]) * of_first), np.int32)
     previous = np.zeros((len(parts), len(order)), np.int64)
-    padded = np.r_[stream, np.zeros(16, np.uint8)]
+    padded = np.r_[stream[start.min() : end.max()], np.zeros(16, np.uint8)]
     # Eight bytes from each byte on, as one big-endian number.
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
 
@@ -266,7 +304,7 @@ def _decode(stream: np.ndarray, lanes: list[_Lanes]) -> list[np.ndarray]:
 
     for mcu in range(int(left[0])):
         n = int(np.searchsorted(-left, -mcu, side="left"))  # lanes that still have a block
-        at = bit[:n]
+        at = np.minimum(bit[:n], 8 * (len(padded) - 8))
         for c, times in layout:
             dc, ac = parts[c][4], parts[c][5]
             for k in range(times):
@@ -296,22 +334,22 @@ def _decode(stream: np.ndarray, lanes: list[_Lanes]) -> list[np.ndarray]:
                     more = done < 64
                     open_, done = open_[more], done[more]
         bit[:n] = at
-    if (bit > 8 * end[order]).any():
+    if (bit > 8 * last).any():
         raise ValueError("scan ends early")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    out, got, lane = out[back], [], 0
-    for x in lanes:
-        rows = out[lane : lane + len(x.counts)]
-        whole = rows[:-1].ravel() if len(x.counts) > 1 else rows[:0].ravel()
-        width = int(x.counts[0]) * of_first
-        got.append(np.r_[rows[:-1, :width].ravel() if len(x.counts) > 1 else whole, rows[-1, : int(x.counts[-1]) * of_first]])
-        lane += len(x.counts)
-    return got
+    return out[back]
 
 
 def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
-    """The DC-only luminance thumbnail (rows x columns, uint8) of each image in each file, files decoded together."""
+    """The DC-only luminance thumbnail (rows x columns, uint8) of each image in each file, files decoded together. A file that isn't what is read raises ValueError."""
+    try:
+        return _thumbnails(files)
+    except (IndexError, KeyError, ZeroDivisionError, OverflowError) as e:
+        raise ValueError(f"malformed image: {e!r}") from e
+
+
+def _thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
     groups: dict[tuple, list[tuple[int, int, _Lanes]]] = {}
     streams: list[np.ndarray] = []
     base, found = 0, []
@@ -326,33 +364,34 @@ def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
             found[f].append(None)
     stream = np.concatenate(streams) if streams else np.zeros(0, np.uint8)
     for work in groups.values():
-        for (f, k, lanes), dc in zip(work, _decode(stream, [x for *_, x in work])):
+        for (f, k, lanes), level in zip(work, _decode(stream, [x for *_, x in work])):
             frame = lanes.frame
-            _, h, v, q, *_ = frame.components[0]
+            _, h, v, *_ = frame.components[0]
             hs, vs = max(c[1] for c in frame.components), max(c[2] for c in frame.components)
             if len(frame.components) == 1:
                 h = v = hs = vs = 1
             across = -(-frame.width // (8 * hs))
-            grid = dc.reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
+            grid = level.reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
             wide, high = -(-(-(-frame.width * h // hs)) // 8), -(-(-(-frame.height * v // vs)) // 8)
-            level = np.floor(grid[:high, :wide] * q / 8 + 128.5)
-            found[f][k] = np.clip(level, 0, 255).astype(np.uint8)
+            found[f][k] = grid[:high, :wide]
     return found
 
 
 def feature(thumbs: list[np.ndarray]) -> str:
-    """Dimensions and hashes of a file's first thumbnail: `WxH:average hash:difference hash`, and the count of images if several."""
-    t = thumbs[0]
+    """Dimensions and hashes of a file's thumbnails, each `WxH:average hash:difference hash`, joined by plus signs."""
+    return "+".join(map(_feature, thumbs))
+
+
+def _feature(t: np.ndarray) -> str:
     rows, cols = (np.linspace(0, n, k + 1).astype(int) for n, k in ((t.shape[0], 8), (t.shape[1], 9)))
-    sums = np.zeros((t.shape[0] + 1, t.shape[1] + 1))
-    sums[1:, 1:] = t.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-    low_r, high_r = np.minimum(rows[:-1], t.shape[0] - 1), np.maximum(rows[1:], np.minimum(rows[:-1], t.shape[0] - 1) + 1)
-    low_c, high_c = np.minimum(cols[:-1], t.shape[1] - 1), np.maximum(cols[1:], np.minimum(cols[:-1], t.shape[1] - 1) + 1)
-    area = (high_r - low_r)[:, None] * (high_c - low_c)
-    small = (sums[high_r][:, high_c] - sums[low_r][:, high_c] - sums[high_r][:, low_c] + sums[low_r][:, low_c]) / area
+    span = lambda at, n: [(min(a, n - 1), max(b, min(a, n - 1) + 1)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    cells = span(cols, t.shape[1])
+    # Sums of columns within a row of cells first: no copy of the whole thumbnail.
+    lines = [(t[a:b].sum(axis=0, dtype=np.float64), b - a) for a, b in span(rows, t.shape[0])]
+    small = np.array([[line[c:d].sum() / (high * (d - c)) for c, d in cells] for line, high in lines])
     average = np.packbits(small[:, :8] > small[:, :8].mean()).tobytes().hex()
     difference = np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
-    return f"{8 * t.shape[1]}x{8 * t.shape[0]}:{average}:{difference}" + (f":{len(thumbs)}" if len(thumbs) > 1 else "")
+    return f"{8 * t.shape[1]}x{8 * t.shape[0]}:{average}:{difference}"
 
 
 FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
