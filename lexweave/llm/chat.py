@@ -77,8 +77,12 @@ def paths(value: object, at: str = "") -> set[str]:
     return {f"{at}:{kind}"}
 
 
+def _digest(there: set[str]) -> int:
+    return xxhash.xxh64_intdigest("\n".join(sorted(there)).encode("utf-8", "surrogatepass"), 0) - (1 << 63)
+
+
 def fingerprint(value: object) -> int:
-    return xxhash.xxh64_intdigest("\n".join(sorted(paths(value))), 0) - (1 << 63)
+    return _digest(paths(value))
 
 
 class Layouts:
@@ -89,9 +93,11 @@ class Layouts:
 
     def of(self, value: object) -> tuple[int, Mapping | None]:
         there = paths(value)
-        mark = xxhash.xxh64_intdigest("\n".join(sorted(there)), 0) - (1 << 63)
+        mark = _digest(there)
         if mark not in self.known:
             strings = {p.removesuffix(":string") for p in there if p.endswith(":string")}
+            # A text may be a list of parts.
+            strings |= {p.removesuffix(suffix) for p in strings for suffix in ("[].text", "[]") if p.endswith(suffix)}
             self.known[mark] = next((m for m in self.mappings if m.required() <= strings), None)
         return mark, self.known[mark]
 
@@ -102,16 +108,28 @@ def _get(value: object, path: str) -> object:
     return value
 
 
+def said(value: object) -> str:
+    """A text, or the texts of a list of parts end to end (strings, and objects with a text; other parts have none); anything else as JSON. Null is empty.
+
+    A surrogate without its partner, which no UTF-8 text can hold, becomes U+FFFD.
+    """
+    if isinstance(value, list):
+        return "".join(said(x.get("text") if isinstance(x, dict) else x) for x in value if isinstance(x, (str, dict)))
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def turns_of(value: object, mapping: Mapping) -> list[tuple[str, str]]:
     """(role, text) of each turn. A missing text is empty, an optional part without text gives no turn; neighbours of an instruction join by a blank line."""
     found: list[tuple[str, str]] = []
     for p in mapping.parts:
-        for item in (_get(value, p.each) or []) if p.each else [value]:
+        items = _get(value, p.each) if p.each else [value]
+        for item in items if isinstance(items, list) else []:
             text = _get(item, p.text)
             if p.optional and not text:
                 continue
-            role = p.fixed or str(_get(item, p.role) or "")
-            role, text = mapping.roles.get(role, role), "" if text is None else str(text)
+            role = p.fixed or said(_get(item, p.role))
+            role, text = mapping.roles.get(role, role), said(text)
             if p.optional and p.fixed and found and found[-1][0] == role:
                 found[-1] = (role, f"{found[-1][1]}\n\n{text}")
             else:
@@ -122,7 +140,8 @@ def turns_of(value: object, mapping: Mapping) -> list[tuple[str, str]]:
 def canonical(records: DataFrame, json_col: str, keep: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(keep..., fingerprint long, layout string, turns array<struct<role, text>>) of records with JSON text in json_col.
 
-    Null, malformed or unmapped records have layout null and no turns. Columns of keep that share an output's name are left out.
+    Null, malformed or unmapped records, and records nested deeper than Python reads, have layout null and no turns. Columns of keep that
+    share an output's name are left out.
     """
     new = records.sparkSession.createDataFrame([], "fingerprint long, layout string, turns array<struct<role:string,text:string>>").schema
     keep = [c for c in keep if c not in new.names]
@@ -134,14 +153,17 @@ def canonical(records: DataFrame, json_col: str, keep: list[str], mappings: tupl
         for part in slices(batches):
             marks, names, turns = [], [], []
             for raw in part.column(json_col).to_pylist():
+                mark, mapping, found = None, None, []
                 try:
                     value = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    value = None
-                mark, mapping = layouts.of(value) if value is not None else (None, None)
+                    if value is not None:
+                        mark, mapping = layouts.of(value)
+                        found = turns_of(value, mapping) if mapping else []
+                except (ValueError, RecursionError):
+                    mark, mapping, found = None, None, []
                 marks.append(mark)
                 names.append(mapping and mapping.name)
-                turns.append([{"role": r, "text": t} for r, t in turns_of(value, mapping)] if mapping else [])
+                turns.append([{"role": r, "text": t} for r, t in found])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(marks, pa.int64()), pa.array(names, pa.string()), pa.array(turns, kind)], names=[*keep, *new.names])
 
     return records.select(*dict.fromkeys([*keep, json_col])).mapInArrow(run, schema)
@@ -237,6 +259,39 @@ def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
     return digests(formatted(turns), "conv_id", ["turn", "within", "role", "text"])
 
 
+def chat_layouts(spark, sf_dir: str) -> DataFrame:
+    """Each turn as a record in one of five layouts, by conversation, mapped back: what comes out depends on the mapping its fingerprint selects."""
+    from .common import table
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    field = lambda a, b: F.struct(F.col("role").alias(a), F.col("text").alias(b))
+    kinds = (
+        field("role", "text"),
+        F.struct(F.array(field("role", "content")).alias("messages")),
+        F.struct(F.lit("rules").alias("system"), F.array(F.struct(F.when(F.col("role") == "user", "human").otherwise("gpt").alias("from"), F.col("text").alias("value"))).alias("conversations")),
+        F.struct(F.col("text").alias("question"), F.col("role").alias("answer")),
+        F.struct(F.col("role").alias("who"), F.col("text").alias("what")),
+    )
+    record = F.lit(None).cast("string")
+    for k, kind in enumerate(kinds):
+        record = F.when(F.pmod("conv_id", F.lit(5)) == k, F.to_json(kind)).otherwise(record)
+    got = canonical(rows.select("conv_id", "turn", record.alias("record")), "record", ["conv_id", "turn"])
+    got = got.select("conv_id", "turn", "layout", F.size("turns").cast("long").alias("n_turns"), F.concat_ws("|", F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))).alias("said"))
+    return got.select("conv_id", "turn", "layout", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("said_sha256"))
+
+
+CHAT_LAYOUTS_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, conv_id % 5 AS k FROM conversations),
+s AS (SELECT conv_id, turn,
+    CASE k WHEN 0 THEN 'row' WHEN 1 THEN 'messages' WHEN 2 THEN 'conversations' WHEN 3 THEN 'question_answer' END AS layout,
+    CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 0 END::BIGINT AS n_turns,
+    CASE k WHEN 0 THEN role || ':' || text WHEN 1 THEN role || ':' || text
+      WHEN 2 THEN 'system:rules|' || CASE WHEN role = 'user' THEN 'user:' ELSE 'assistant:' END || text
+      WHEN 3 THEN 'user:' || text || '|assistant:' || role ELSE '' END AS said FROM c)
+SELECT conv_id, turn, layout, n_turns, sha256(said) AS said_sha256 FROM s
+"""
+
+
 OP5_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

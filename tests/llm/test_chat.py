@@ -33,6 +33,20 @@ def test_layouts(spark):
     assert got[90].layout is None and got[91].turns == [] and got[90].fingerprint is None
 
 
+def test_broken_and_odd_records(spark):
+    deep, lists = '{"a":' * 3000 + "1" + "}" * 3000, "[" * 100_000 + "]" * 100_000
+    parts = {"messages": [{"role": "user", "content": [{"type": "text", "text": "see "}, {"type": "image", "url": "u"}, "this"]}, {"role": "assistant", "content": "ok"}]}
+    rows = [(0, deep), (1, lists), (2, '{"role": "user", "text": "a\\ud800b"}'), (3, '{"\\udc00": 1}'), (4, json.dumps(parts)), (5, '{"prompt": "x", "completion": "\\ud83d\\ude42"}'), (6, '{"messages": [{"role": "user", "content": "a"}, {"role": 3, "content": {"b": 1}}]}')]
+    got = {r.id: r for r in chat.canonical(spark.createDataFrame(rows, "id int, record string"), "record", ["id"]).collect()}
+    assert [got[i].layout for i in range(7)] == [None, None, "row", None, "messages", "prompt_completion", "messages"]
+    assert [tuple(t) for t in got[2].turns] == [("user", "a\ufffdb")] and [tuple(t) for t in got[5].turns] == [("user", "x"), ("assistant", "🙂")]
+    assert [tuple(t) for t in got[4].turns] == [("user", "see this"), ("assistant", "ok")] and tuple(got[6].turns[1]) == ("3", '{"b": 1}')
+
+
+def test_layout_query(spark, data):
+    compare(spark, data, chat.chat_layouts, chat.CHAT_LAYOUTS_SQL)
+
+
 def test_fingerprints_see_paths_not_values():
     a, b = {"x": [{"y": "1"}, {"y": "2"}], "n": None}, {"x": [{"y": "zzz"}]}
     assert chat.fingerprint(a) == chat.fingerprint(b) != chat.fingerprint({"x": [{"y": 1}]})
@@ -57,3 +71,5 @@ def test_edges(spark):
     got = {r.c: r for r in chat.digests(chat.formatted(rows), "c", ["t", "role", "text"]).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 2 and got[None].n_turns == 1 and got[None].loss_chars == 0
     assert chat.digests(chat.formatted(rows.where(F.lit(False))), "c", ["t"]).count() == 0
+    clash = chat.formatted(rows.withColumns({"formatted": F.lit("x"), "loss_end": F.lit(0), "n_turns": F.lit(8)}))
+    assert {r.c: r.n_turns for r in chat.digests(clash, "c", ["t"]).collect()} == {1: 3, None: 1}
