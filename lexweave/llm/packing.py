@@ -3,7 +3,8 @@
 Documents are tokenised, cut only where longer than a sequence, and the pieces dealt by hash to shards of about SHARD pieces. A shard
 holds only lengths and ids. It rounds lengths up to BINS bins, enumerates every way of filling a sequence with at most DEPTH
 bins, and fits how often to use each pattern to the shard's histogram by non-negative least squares. The rounded-down repeats are
-carried out; a pattern's last document is the longest one that still fits, by exact length. What is left, and what rounding left,
+carried out; a pattern's last document is the longest one that still fits, by exact length. A pattern that finds no more documents of its bins
+stops, and the repeats are fitted again to what is left, as long as a round places at least a share of LEAST_ROUND of it. The rest
 is packed longest first, each sequence filled with the longest piece that fits. Shards grow in number with the input, never in size; a shard
 wastes at most about one sequence more than a global packing would.
 """
@@ -29,8 +30,10 @@ CAPACITY = 4096
 END_ID = 1
 SHARD = 1 << 17
 BINS, DEPTH = 128, 3
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 450_000
+#: The share of the pieces left that a round of patterns must place for another to follow.
+LEAST_ROUND = 0.02
+#: Distinct words whose ids a worker remembers, and bytes of words and ids.
+REMEMBERED, REMEMBERED_BYTES = 450_000, 48 << 20
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -53,10 +56,11 @@ class ByteSpelling(dict):
 
 
 class WordIds:
-    """ids of whole texts, word by word: this tokenizer never joins text across white space, so a word's ids don't depend on its neighbours.
+    """ids of whole texts, word by word, for tokenizers that never join text across white space: a word's ids don't depend on its neighbours.
 
-    Words are remembered (at most REMEMBERED of them and as many of their parts), so that byte-pair merging runs once for a word, not once for
-    each occurrence. Texts with characters other than printable ASCII and Latin letters below U+0250, for which normal forms and classes of
+    That is so for byte-level BPE with word ends over lower-cased text cut by a pattern (see by_words); files of any other kind go through the tokenizer
+    whole. Words are remembered (at most REMEMBERED of them and as many of their parts, REMEMBERED_BYTES each), so that byte-pair merging runs once for a
+    word, not once for each occurrence. Texts with characters other than printable ASCII and Latin letters below U+0250, for which normal forms and classes of
     characters are simple, and texts that spell a special token go to the tokenizer whole.
     """
 
@@ -68,36 +72,42 @@ class WordIds:
         self.full = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.full.get_added_tokens_decoder().values())
         self.plain = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+").fullmatch
-        rule = json.loads(self.full.to_str())["pre_tokenizer"]["pretokenizers"][0]
-        self.parts = regex.compile(rule["pattern"]["Regex"]).findall
+        parsed = json.loads(self.full.to_str())
+        self.by_words = by_words(parsed)
+        if self.by_words:
+            self.parts = regex.compile(parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.spelling = ByteSpelling()
         self.known: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
+        self.size = self.parts_size = 0
 
     def _learn(self, words: set[str]) -> None:
         known, parts, merge, spelling = self.known_parts, self.parts, self.full.model.tokenize, self.spelling
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.parts_size > REMEMBERED_BYTES:
             known.clear()
+            self.parts_size = 0
         for word in words:
             ids = []
             for x in parts(word.lower()):
                 got = known.get(x)
                 if got is None:
                     got = known[x] = array("I", [t.id for t in merge(x.translate(spelling))]).tobytes()
+                    self.parts_size += len(x) + len(got)
                 ids.append(got)
-            self.known[word] = b"".join(ids)
+            self.known[word] = got = b"".join(ids)
+            self.size += len(word) + len(got)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
         for x in texts:
-            if self.plain(x) and not any(s in x for s in self.special):
+            if self.by_words and self.plain(x) and not any(s in x for s in self.special):
                 words = x.split()
                 new = set(words).difference(self.known)
                 if new:
-                    if len(self.known) > REMEMBERED:
+                    if len(self.known) > REMEMBERED or self.size > REMEMBERED_BYTES:
                         self.known.clear()
-                        new = set(words)
+                        self.size, new = 0, set(words)
                     self._learn(new)
                 out.append(b"".join(map(self.known.__getitem__, words)))
             else:
@@ -105,6 +115,24 @@ class WordIds:
         return out
 
 
+def by_words(parsed: dict) -> bool:
+    """Whether a tokenizer file works on words alone: composes, folds white space and lower-cases; cuts by a pattern that drops what lies between; BPE of bytes with word ends."""
+    steps = (parsed.get("normalizer") or {}).get("normalizers", [])
+    cuts = (parsed.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = parsed["model"]
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+")
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+        and model["type"] == "BPE"
+        and bool(model["end_of_word_suffix"])
+        and not model["dropout"]
+    )
+
+
 @functools.cache
 def tokenizer(path: str) -> WordIds:
     return WordIds(path)
@@ -226,29 +254,33 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, bins: int = BINS, depth:
         made.append([capacity])
     left[capacity] = 0
     have &= ~(1 << capacity)
-    wanted = np.bincount(bin_of, weights=left, minlength=bins + 1)[1:]
     ways = patterns(bins, depth)
-    for way, repeats in zip(ways.tolist(), np.floor(fit(ways, wanted) + 1e-6).astype(int).tolist()):
-        heads = [b for b in way if b][:-1]
-        for _ in range(repeats):
-            seq, room = [], capacity
-            for b in heads:
-                size = longest(min(room, b * width))
-                if size <= (b - 1) * width:
+    while True:
+        waiting = sum(left)
+        wanted = np.bincount(bin_of, weights=left, minlength=bins + 1)[1:]
+        for way, repeats in zip(ways.tolist(), np.floor(fit(ways, wanted) + 1e-6).astype(int).tolist()):
+            heads = [b for b in way if b][:-1]
+            for _ in range(repeats):
+                seq, room = [], capacity
+                for b in heads:
+                    size = longest(min(room, b * width))
+                    if size <= (b - 1) * width:
+                        break
+                    take(size)
+                    seq.append(size)
+                    room -= size
+                if len(seq) == len(heads) and (size := longest(room)) > room - width:
+                    take(size)
+                    seq.append(size)
+                    fill(seq, room - size)
+                    made.append(seq)
+                else:  # what the pattern needs has gone: its documents wait for the next fit
+                    for size in seq:
+                        left[size] += 1
+                        have |= 1 << size
                     break
-                take(size)
-                seq.append(size)
-                room -= size
-            if len(seq) == len(heads) and (size := longest(room)) > room - width:
-                take(size)
-                seq.append(size)
-                fill(seq, room - size)
-                made.append(seq)
-            else:  # what the pattern needs has gone: its documents wait for the residual packing
-                for size in seq:
-                    left[size] += 1
-                    have |= 1 << size
-                break
+        if waiting - sum(left) <= LEAST_ROUND * waiting:
+            break
     while size := longest(capacity):
         take(size)
         seq = [size]

@@ -41,6 +41,35 @@ def test_ids_of_odd_texts():
     assert packing.tokenizer(PATH)(ODD) == [np.array(x, "<u4").tobytes() for x in ids(ODD)]
 
 
+def test_other_tokenizers_are_used_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    full = Tokenizer.from_file(path)
+    mine = packing.WordIds(path)
+    assert packing.tokenizer(PATH).by_words and not mine.by_words
+    assert mine(ODD) == [np.array(full.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ODD]
+
+
+def test_memory_of_words_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 2000)
+    mine = packing.WordIds(PATH)
+    texts = [f"w{i} " + f"{i}" * 200 for i in range(40)]
+    assert mine(texts) == [np.array(x, "<u4").tobytes() for x in ids(texts)]
+    assert mine.size <= 4000 and mine.parts_size <= 4000
+
+
+def test_patterns_are_fitted_again_to_what_is_left():
+    """Patterns go on until a round of them places hardly anything; short documents are left to fill sequences up."""
+    lengths = np.clip(np.random.default_rng(0).lognormal(6.4, 1.1, 5000).astype(int), 1, 4096)
+    fitted = []
+    whole = packing.fit
+    packing.fit = lambda ways, wanted: fitted.append(wanted.sum()) or whole(ways, wanted)
+    try:
+        check(lengths, *packing.pack(lengths))
+    finally:
+        packing.fit = whole
+    assert len(fitted) > 2 and fitted[1] < 0.6 * fitted[0] and fitted[-1] > 0.95 * fitted[-2], fitted
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 4096), max_size=200))
 def test_packs_gapless(lengths):
