@@ -5,8 +5,8 @@ beginnings, so unseen inflections of a known stem still count. A document is tox
 1 - prod(1 - p_sentence). The gradient of the document likelihood flows through the noisy-or to sentences, which is what lets
 the model find the offending ones although it never saw a labelled sentence.
 
-The classifier is fitted on a bounded sample: at most MAX_SAMPLE labelled documents, those whose hashed id is smallest. Every document is
-scored whole.
+The classifier is fitted on a bounded sample: at most MAX_SAMPLE labelled documents, those whose hashed id is smallest, and of them no more than
+MAX_SAMPLE_CHARS characters; a longer text than that isn't in it. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ EPOCHS, RATE, SPARSITY = 120, 0.15, 1e-4
 #: The bias before training: a long text of clean sentences must not add up to a toxic one.
 START = -10.0
 THRESHOLD = 0.3
-#: Distinct words whose weight a worker remembers.
-REMEMBERED = 150_000
+#: Distinct words whose weight a worker remembers, and characters of them.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 16 << 20
 
 sentence_end = re.compile(r"[.!?\n\r…。]+")
 word_parts = re.compile(r"\w+").findall
@@ -59,6 +59,7 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
         self._words: dict[str, float] = {}
+        self._size = 0
 
     def __reduce__(self):
         return Model, (self.weights, self.bias)
@@ -66,8 +67,10 @@ class Model:
     def _weight(self, chunk: str) -> float:
         got = self._words.get(chunk)
         if got is None:
-            if len(self._words) > REMEMBERED:
+            if len(self._words) > REMEMBERED or self._size > REMEMBERED_CHARS:
                 self._words.clear()
+                self._size = 0
+            self._size += len(chunk)
             got = self._words[chunk] = float(sum(self.weights[features(w)].sum(dtype=np.float64) for w in word_parts(chunk)))
         return got
 
@@ -154,6 +157,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column | None = N
     chosen = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_SAMPLE)
     got = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col)
     got = settle(got.select(F.xxhash64(id_col).alias("_order"), F.col("_text").alias("text"), F.col("_label").alias("label")), "toxicity-sample")
+    got = got.where(F.length("text") <= MAX_SAMPLE_CHARS)
     size = got.agg(F.sum(F.length("text"))).first()[0] or 0
     share = min(1.0, MAX_SAMPLE_CHARS / max(1, size))
     return got.where(F.pmod(F.xxhash64("_order", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("_order", "text").limit(MAX_SAMPLE).select("text", "label")
