@@ -55,14 +55,15 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): fp holds the 64 bits as a signed integer. Null and empty texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id or the columns in keep, fp long): fp holds the 64 bits as a signed integer. Null and empty texts get 0."""
 
     def add(part: pa.RecordBatch) -> dict[str, pa.Array]:
         got = np.array([fingerprint(x) for x in texts_of(part, text_col)], dtype=np.uint64)
         return {"fp": pa.array(got.view(np.int64))}
 
-    return with_columns(docs.select(id_col, text_col), add, "fp long", [id_col])
+    keep = [id_col] if keep is None else keep
+    return with_columns(docs.select(*dict.fromkeys([*keep, text_col])), add, "fp long", keep)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -122,6 +123,10 @@ class GrayIndex:
             start, stop = self.child[level - 1]
             na, nb = stop[a] - start[a], stop[b] - start[b]
             size = na * nb
+            if size.sum() > 8 * PAIRS_AT_ONCE and len(a) > 1:
+                half = len(a) // 2
+                stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+                continue
             which = np.repeat(np.arange(len(a)), size)
             off = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
             x, y = start[a][which] + off // nb[which], start[b][which] + off % nb[which]
@@ -203,21 +208,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows. Other columns are ignored. An empty table gives an empty result.
     """
     got = settle(fingerprints(docs, id_col, text_col), "simhash")
-    entries = settle(got.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-entries")
+    of = groups(got, id_col, radius)
+    return got.join(of.select("fp", F.col("least").alias("component_id")), "fp").select(id_col, "fp", "component_id")
+
+
+def groups(got: DataFrame, order: str, radius: int = RADIUS) -> DataFrame:
+    """(fp, least): for each fingerprint of got(fp, order) the smallest `order` in its component."""
+    entries = settle(got.groupBy("fp").agg(F.min(order).alias("least")), "simhash-entries")
     stars = components(links(entries.select("fp"), radius), "simhash-links")
     named = entries.join(stars, entries.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "root").select("fp", "component_id")
-    return got.join(of, "fp").select(id_col, "fp", "component_id")
+    return named.join(named.groupBy("root").agg(F.min("least").alias("smallest")), "root").select("fp", F.col("smallest").alias("least"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose id names its component, one row for an id; rows with a null id stay, one for a text."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
-    return named.select(docs.columns).unionByName(nameless.select(docs.columns))
+    """One row of docs for each component: that with the smallest id, null ids last, and of different texts with that id one decided by hash.
+
+    So rows that share an id but not a component each stand for their own component, and rows without an id take part like any other. Columns keep
+    their names whatever these are.
+    """
+    named = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    ident, text = F.col(named[id_col]), F.col(named[text_col])
+    rows = docs.withColumnsRenamed(named).withColumns({"_id": F.concat(F.when(ident.isNull(), "n").otherwise("i"), F.coalesce(ident.cast("string"), F.lit(""))), "_text": F.xxhash64(F.coalesce(text, F.lit("")))})
+    got = settle(fingerprints(rows, "_id", named[text_col], ["_id", "_text", named[id_col]]), "simhash")
+    got = got.select("fp", F.struct(ident.isNull().alias("nameless"), ident.alias("ident"), "_text", "_id").alias("order"))
+    kept = groups(got, "order", radius).select("least._id", "least._text").distinct()
+    return rows.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select([F.col(v).alias(k) for k, v in named.items()])
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from lexweave.llm import mixing, toxicity
+from lexweave.llm import mixing, simhash, toxicity
 from lexweave.llm.common import settle
 
 
@@ -56,6 +56,14 @@ def test_one_document_of_each_group_stays(stages):
     assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in rows}
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a, 0), (1, b, 0), (1, a, 0), (2, b, 0), (None, c, 0), (None, c, 0), (3, None, 0), (None, "", 0), (None, a, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    got = sorted(tuple(map(str, r)) for r in simhash.keep_one(docs).collect())
+    assert got == sorted([("1", a, "0"), ("1", b, "0"), ("None", c, "0"), ("3", "None", "0")])
+
+
 def test_the_mix_meets_its_targets(stages):
     docs, out = stages[2]
     size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
