@@ -2,11 +2,12 @@
 
 Each source gets a target number of words. Document rates stay as close (in bounded entropy) to one common base rate as the token
 constraint of their source allows; the dual has one multiplier a source, rates are exponential tilts of the base odds by document size,
-and all multipliers are found together by safeguarded Newton steps, each one aggregation over the (source, size) histogram. Rates become whole
+and all multipliers are found together by safeguarded Newton steps, each one aggregation over the (source, size) histogram. The histogram lies by
+source, so STEPS_AT_ONCE steps are one plan without a shuffle between them. Rates become whole
 copies by dithering: a hash of the document moves its rate up to the next integer or not, and a shift common to the source, found by
-three histogram passes over the documents' turning points, makes the copies' words meet the target to within about one document.
+histogram passes over the documents' turning points, makes the copies' words meet the target to within about one document.
 
-Only per-source figures reach the driver: at most MAX_SOURCES rows, checked.
+What is known of a source is a row of a settled table, however many sources there are; the driver sees sums over all of them alone.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import dense_index
 from .common import n_words, settle
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2
-MAX_SOURCES = 100_000
-STEPS, TOLERANCE = 60, 1e-7
-BINS, PASSES = 4096, 3
+STEPS, STEPS_AT_ONCE, TOLERANCE = 60, 6, 1e-7
+BINS, PASSES = 1 << 16, 2
 #: Rounds of rounding, and how near a target, relative to it, ends them.
 ROUNDS, NEAR = 3, 1e-3
 
@@ -32,27 +33,21 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, limit: float = LIMIT) -> list[float]:
-    """share times all sizes, split by weight; none above limit times its size, the excess shared again among the others."""
-    caps = [limit * s for s in sizes]
-    got, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = share * sum(sizes)
-    while open_:
-        total = sum(weights[i] for i in sorted(open_))
-        over = {i for i in open_ if left * weights[i] / total > caps[i]}
-        if not over:
-            for i in open_:
-                got[i] = left * weights[i] / total
-            break
-        for i in over:
-            got[i] = float(caps[i])
-        open_ -= over
-        left = share * sum(sizes) - sum(got[i] for i in range(len(sizes)) if i not in open_)
-    return got
-
-
-def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))
+def targets(sources: DataFrame, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+    """sources(key, size, weight) with target: share times all sizes, split by weight; none above limit times its size, the excess shared again among the others."""
+    cap = F.col("size") * float(limit)
+    got = sources.withColumns({"target": F.lit(None).cast("double")})
+    while True:
+        # One row: what is left for sources below their limit, and their weights.
+        open_ = F.col("target").isNull()
+        every, given, weights = got.agg(F.sum("size"), F.coalesce(F.sum("target"), F.lit(0.0)), F.sum(F.when(open_, F.col("weight")))).first()
+        if not weights:
+            return got
+        part = F.lit(share * every - given) * F.col("weight") / F.lit(weights)
+        over = got.where(open_ & (part > cap))
+        if over.isEmpty():
+            return got.withColumn("target", F.coalesce("target", part))
+        got = settle(got.withColumn("target", F.coalesce("target", F.when(part > cap, cap))), "mixing-targets")
 
 
 def _rate(size: Column, tilt: Column, mean: Column, base: float, limit: float) -> Column:
@@ -60,64 +55,82 @@ def _rate(size: Column, tilt: Column, mean: Column, base: float, limit: float) -
     return limit / (1 + F.exp(-F.least(F.greatest(odds + tilt * size / mean, F.lit(-500.0)), F.lit(500.0))))
 
 
-def _tilts(spark, histogram: DataFrame, sources: dict[str, tuple[int, int, float]], base: float, limit: float) -> dict[str, float]:
-    """The multiplier of each source whose target lies strictly between nothing and everything; sources: key -> (size, docs, target)."""
-    live = {k: [0.0, -math.inf, math.inf] for k, (s, _, t) in sources.items() if 0 < t < limit * s * (1 - 1e-12)}
-    done: dict[str, float] = {}
-    for _ in range(STEPS):
-        if not live:
+def _tilted(histogram: DataFrame, sources: DataFrame, base: float, limit: float) -> DataFrame:
+    """sources with tilt, their multiplier, and whole: the target is all a source may give. Sources without a target keep tilt 0."""
+    live = (F.col("target") > 0) & (F.col("target") < F.col("size") * (limit * (1 - 1e-12)))
+    infinite = F.lit(math.inf)
+    state = sources.withColumns({"whole": (F.col("target") > 0) & ~live, "done": ~live, "tilt": F.lit(0.0), "low": -infinite, "high": infinite})
+    kept = state.columns
+    by_key = histogram.select(F.col("key").alias("k"), F.col("size").alias("s"), "n")
+
+    def step(state: DataFrame) -> DataFrame:
+        rate = _rate(F.col("s"), F.col("tilt"), F.col("mean"), base, limit)
+        words = F.col("n") * F.col("s") * rate
+        rows = by_key.join(state, F.col("k") == F.col("key"))
+        sums = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in kept if c != "key"], F.sum(words).alias("words"), F.sum(words * F.col("s") / F.col("mean") * (1 - rate / limit)).alias("slope"))
+        miss = F.col("target") - F.col("words")
+        done = F.col("done") | (F.abs(miss) <= TOLERANCE * F.col("target"))
+        low = F.when(done | (miss <= 0), F.col("low")).otherwise(F.col("tilt"))
+        high = F.when(done | (miss > 0), F.col("high")).otherwise(F.col("tilt"))
+        newton = F.when(F.col("slope") > 0, F.col("tilt") + miss / F.col("slope"))
+        # Outside what is known to hold the root: halve, or reach out.
+        halved = F.when((low > -infinite) & (high < infinite), (low + high) / 2).otherwise((2 * F.abs("tilt") + 1) * F.when(miss > 0, 1.0).otherwise(-1.0))
+        then = F.least(F.greatest(F.when((newton > low) & (newton < high), newton).otherwise(halved), F.lit(-1e6)), F.lit(1e6))
+        now = {"done": done, "low": low, "high": high, "tilt": F.when(done, F.col("tilt")).otherwise(then)}
+        return sums.select(*[now[c].alias(c) if c in now else F.col(c) for c in kept])
+
+    for _ in range(STEPS // STEPS_AT_ONCE):
+        for _ in range(STEPS_AT_ONCE):
+            state = step(state)
+        state = settle(state, "mixing-tilts")
+        if state.where("not done").isEmpty():
             break
-        at = _table(spark, [(k, x[0], sources[k][0] / sources[k][1]) for k, x in live.items()], "key string, tilt double, mean double")
-        rate = _rate(F.col("size"), F.col("tilt"), F.col("mean"), base, limit)
-        sums = histogram.join(at, "key").select("key", (F.col("n") * F.col("size")).alias("w"), rate.alias("r"), (F.col("size") / F.col("mean")).alias("x"))
-        sums = sums.groupBy("key").agg(F.sum(F.col("w") * F.col("r")), F.sum(F.col("w") * F.col("x") * F.col("r") * (1 - F.col("r") / limit)))
-        for key, words, slope in sums.collect():
-            x, low, high = live[key]
-            miss = sources[key][2] - words
-            if abs(miss) <= TOLERANCE * sources[key][2]:
-                done[key] = round(x, 9)
-                del live[key]
-                continue
-            low, high = (x, high) if miss > 0 else (low, x)
-            step = x + miss / slope if slope > 0 else math.nan
-            if not low < step < high:  # outside what is known to hold the root: halve, or reach out
-                step = (low + high) / 2 if math.isfinite(low) and math.isfinite(high) else (2 * abs(x) + 1) * (1 if miss > 0 else -1)
-            live[key] = [max(-1e6, min(1e6, step)), low, high]
-    return done | {k: round(x[0], 9) for k, x in live.items()}
-
-
-def _shifts(points: DataFrame, sources: dict[str, tuple[float, float, float, float]], width: float, nearest: bool) -> dict[str, tuple[float, float]]:
-    """By source the shift up to which its words stay within its target, and its words there.
-
-    points(key, size, turn): a shift of `turn` or more takes the row's words. sources: key -> (shift so far, words so far, target, largest
-    size considered). PASSES histograms of BINS bins, each inside the bin in which the one before passed the target. If nearest is
-    true, the row that passes it is taken where that comes nearer.
+    return state.withColumn("tilt", F.round("tilt", 9)).drop("done", "low", "high")
+
+
+def _rated(rows: DataFrame, base: float, limit: int) -> DataFrame:
+    """Adds _rate and _chance to rows that have _id, _size and their source's tilt, mean and whole."""
+    rate = F.when(F.col("whole"), F.lit(float(limit))).otherwise(_rate(F.col("_size"), F.col("tilt"), F.col("mean"), base, limit))
+    chance = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string"), "_size"), 11).cast("double") / float(1 << 53)
+    return rows.withColumns({"_rate": rate, "_chance": chance})
+
+
+def _shifted(sized: DataFrame, sources: DataFrame, base: float, limit: int, nearest: bool) -> DataFrame:
+    """sources with at, the shift up to which a source's words stay within its target, and words, its words there; only those with in_round change.
+
+    A document takes its k-th copy once the shift reaches k - rate - chance. PASSES histograms of BINS bins, each inside the bin in which the one before
+    passed the target. If nearest is true, the row that passes it is taken where that comes nearer.
     """
-    spark = points.sparkSession
-    low = {k: (a, words) for k, (a, words, *_) in sources.items()}
-    of = "key string, low double, before double, target double, room double"
-    open_ = set(low)
+    width = 2.0 * limit + 2
+    turning = F.explode(F.array(*[F.lit(float(k)) - F.col("_rate") - F.col("_chance") for k in range(1, limit + 1)]))
+    rows = sized.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size")).where("_size > 0")
+
+    def points(state: DataFrame) -> DataFrame:
+        """Turning points not yet taken, of sources still open. One at the shift itself has been taken by the round before."""
+        of = rows.join(state.where("open"), F.col("_key") == F.col("key")).where("_size <= room")
+        return _rated(of, base, limit).select("key", "at", "words", "target", "_size", turning.alias("turn")).where("turn > at")
+
+    state = sources.withColumn("open", F.col("in_round"))
     for _ in range(PASSES):
-        start = _table(spark, [(k, a, float(w), *sources[k][2:]) for k, (a, w) in low.items() if k in open_], of)
-        place = F.floor((F.col("turn") - F.col("low")) / F.lit(width / BINS))
-        # A turning point at the start itself has been taken by the round before.
-        within = points.join(start, "key").where("size <= room and turn > low").withColumn("bin", place).where(F.col("bin").between(0, BINS - 1))
-        binned = within.groupBy("key", "low", "before", "target", "bin").agg(F.sum("size").cast("double").alias("words"))
-        after = F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("bin"))
-        ends = binned.withColumn("after", after).groupBy("key", "low").agg(F.max("after"), F.min(F.when(F.col("after") > F.col("target"), F.struct("bin", (F.col("after") - F.col("words")).alias("upto")))))
-        for key, a, most, crossed in ends.collect():
-            low[key] = (a + crossed[0] * width / BINS, crossed[1]) if crossed else (a + width, most)
-            open_ -= set() if crossed else {key}
-        width /= BINS
-        if not open_:
-            break
-    if nearest and open_:
-        last = _table(spark, [(k, *low[k], *sources[k][2:]) for k in open_], of)
-        edge = points.join(last, "key").where((F.col("size") <= F.col("room")) & (F.col("turn") > F.col("low")) & (F.col("turn") < F.col("low") + width))
-        for key, before, target, words in edge.groupBy("key", "before", "target").agg(F.sum("size")).collect():
-            if abs(before + words - target) < abs(target - before):
-                low[key] = (low[key][0] + width, before + words)
-    return low
+        one = width / BINS
+        place = F.floor((F.col("turn") - F.col("at")) / F.lit(one))
+        binned = points(state).withColumn("bin", place).where(F.col("bin").between(0, BINS - 1)).groupBy("key", "words", "target", "bin").agg(F.sum("_size").cast("double").alias("mine"))
+        after = F.col("words") + F.sum("mine").over(Window.partitionBy("key").orderBy("bin"))
+        ends = binned.withColumn("after", after).groupBy(F.col("key").alias("k")).agg(F.max("after").alias("most"), F.min(F.when(F.col("after") > F.col("target"), F.struct("bin", (F.col("after") - F.col("mine")).alias("upto")))).alias("crossed"))
+        crossed, there = F.col("crossed").isNotNull(), F.col("most").isNotNull()
+        state = state.join(ends, F.col("key") == F.col("k"), "left").withColumns({
+            "at": F.when(crossed, F.col("at") + F.col("crossed.bin") * F.lit(one)).when(there, F.col("at") + F.lit(width)).otherwise(F.col("at")),
+            "words": F.coalesce("crossed.upto", "most", "words"),
+            "open": F.col("open") & (crossed | ~there),
+        })
+        state = settle(state.drop("k", "most", "crossed"), "mixing-shifts")
+        width = one
+    if nearest:
+        edge = points(state).where(F.col("turn") < F.col("at") + F.lit(width)).groupBy(F.col("key").alias("k")).agg(F.sum("_size").cast("double").alias("more"))
+        state = state.join(edge, F.col("key") == F.col("k"), "left")
+        nearer = F.coalesce(F.abs(F.col("words") + F.col("more") - F.col("target")) < F.abs(F.col("target") - F.col("words")), F.lit(False))
+        state = state.withColumns({"at": F.when(nearer, F.col("at") + F.lit(width)).otherwise(F.col("at")), "words": F.when(nearer, F.col("words") + F.col("more")).otherwise(F.col("words"))}).drop("k", "more")
+    return state.drop("open")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
@@ -125,57 +138,39 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Sources ordered by code point (null is a source, last) take `weights` in turn. A null or empty text has size 0 and gets no words
     whatever its copies. A source that must give everything it may has all rates at the limit. Equal rows get equal copies; a null id is hashed
-    like any other. An empty table gives no rows. More than MAX_SOURCES sources raise ValueError.
+    like any other. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     sized = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("key"), n_words(F.col(text_col)).alias("size"))
     sized = settle(sized, "mixing-sizes")
     histogram = settle(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "mixing-histogram")
-    rows = histogram.groupBy("key").agg(F.sum(F.col("n") * F.col("size")), F.sum("n")).orderBy("key").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = targets([r[1] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share, limit)
-    sources = {r[0]: (r[1], r[2], t) for r, t in zip(rows, wanted, strict=True)}
-    tilts = _tilts(spark, histogram, sources, min(share, limit * 0.999), limit)
+    sums = histogram.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("docs"))
+    index = dense_index(sums.select(F.lit("").alias("type"), F.col("key").alias("id")))
+    sums = sums.join(index.select(F.col("id").alias("key"), "idx"), "key")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
+    mean = F.when(F.col("size") > 0, F.col("size") / F.col("docs")).otherwise(1.0)
+    sources = targets(settle(sums.select("key", "size", weight.alias("weight"), mean.alias("mean")), "mixing-sources"), share, limit)
     base = min(share, limit * 0.999)
-    facts = [(k, s, t, tilts.get(k, 0.0), s / n if s else 1.0, t > 0 and k not in tilts) for k, (s, n, t) in sources.items()]
-    of = "key string, source_size long, target double, tilt double, mean double, whole boolean"
-
-    def rated(rows: DataFrame) -> DataFrame:
-        """Adds rate and chance to rows that have _id, _size and their source's facts."""
-        rate = F.when(F.col("_whole"), F.lit(float(limit))).otherwise(_rate(F.col("_size"), F.col("_tilt"), F.col("_mean"), base, limit))
-        chance = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string"), "_size"), 11).cast("double") / float(1 << 53)
-        return rows.withColumns({"_rate": rate, "_chance": chance})
-
-    def source_facts(rounds: list = ()) -> DataFrame:
-        rows = [(*f, [(room[f[0]], shift[f[0]]) for room, shift in reversed(rounds) if f[0] in room]) for f in facts]
-        got = spark.createDataFrame(rows, of + ", shifts array<struct<room:double,shift:double>>")
-        return F.broadcast(got.select([F.col(c).alias(f"_{c}") for c in got.columns]))
-
-    # A document takes its k-th copy once the shift reaches k - rate - chance. Find the shift that brings a source's words nearest its target.
-    turning = F.explode(F.array(*[F.lit(float(k)) - F.col("_rate") - F.col("_chance") for k in range(1, limit + 1)]))
-    points = sized.select([F.col(c).alias(f"_{c}") for c in sized.columns]).join(source_facts(), "_key").where("not _whole and _size > 0")
-    points = rated(points).select(F.col("_key").alias("key"), F.col("_size").alias("size"), turning.alias("turn"))
-    # Each round stops short of the document that would overshoot; the next one goes on among documents no larger than what is missing.
-    at = {k: (-float(limit) - 1, 0.0) for k, *_, whole in facts if not whole}
-    rounds: list[tuple[dict[str, float], dict[str, float]]] = []
+    state = _tilted(histogram, sources.drop("weight"), base, limit)
+    # shifts: the rounds' rooms and shifts, the last first.
+    state = state.withColumns({"at": F.lit(-float(limit) - 1), "words": F.lit(0.0), "room": F.lit(math.inf), "in_round": ~F.col("whole"), "shifts": F.array().cast("array<struct<room:double,shift:double>>")})
     for last in [False] * (ROUNDS - 1) + [True]:
-        room = {k: float(sources[k][2] - taken) if rounds else math.inf for k, (_, taken) in at.items()}
-        room = {k: x for k, x in room.items() if x > NEAR * sources[k][2]}
-        if not room:
+        # Each round stops short of the document that would overshoot; the next one goes on among documents no larger than what is missing.
+        state = _shifted(sized, state, base, limit, last)
+        state = state.withColumn("shifts", F.when(F.col("in_round"), F.concat(F.array(F.struct("room", F.col("at").alias("shift"))), "shifts")).otherwise(F.col("shifts")))
+        left = F.col("target") - F.col("words")
+        state = settle(state.withColumns({"room": F.when(F.col("in_round"), left).otherwise(F.col("room")), "in_round": F.col("in_round") & (left > NEAR * F.col("target"))}), "mixing-rounds")
+        if last or state.where("in_round").isEmpty():
             break
-        found = _shifts(points, {k: (*at[k], sources[k][2], room[k]) for k in room}, 2.0 * limit + 2, last)
-        at |= found
-        rounds.append((room, {k: found[k][0] for k in room}))
     own = {"size", "source_size", "target", "rate", "copies"}
     kept = [c for c in docs.columns if c not in own]
-    out = docs.select(*kept, F.col(id_col).alias("_id"), source_key(F.col(source_col)).alias("_key"), n_words(F.col(text_col)).alias("_size"))
-    out = rated(out.join(source_facts(rounds), "_key"))
-    shift = F.filter("_shifts", lambda x: F.col("_size") <= x["room"])
+    named = {c: f"_in_{i}" for i, c in enumerate(kept)}
+    out = docs.select(*[F.col(c).alias(n) for c, n in named.items()], F.col(id_col).alias("_id"), source_key(F.col(source_col)).alias("_key"), n_words(F.col(text_col)).alias("_size"))
+    out = _rated(out.join(state, F.col("_key") == F.col("key")), base, limit)
+    shift = F.filter("shifts", lambda x: F.col("_size") <= x["room"])
     shift = F.coalesce(F.try_element_at(shift, F.lit(1))["shift"], F.lit(0.0))
     copies = F.floor(F.col("_rate") + F.col("_chance") + shift)
-    copies = F.when(F.col("_whole"), F.lit(limit)).otherwise(F.least(F.greatest(copies, F.lit(0)), F.lit(limit))).cast("int")
-    return out.select(*kept, *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "rate")], copies.alias("copies"))
+    copies = F.when(F.col("whole"), F.lit(limit)).otherwise(F.least(F.greatest(copies, F.lit(0)), F.lit(limit))).cast("int")
+    return out.select(*[F.col(n).alias(c) for c, n in named.items()], F.col("_size").alias("size"), F.col("size").alias("source_size"), "target", F.col("_rate").alias("rate"), copies.alias("copies"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

@@ -10,6 +10,8 @@ import corpus_pipeline
 from lexweave.llm import mixing, simhash, toxicity
 from lexweave.llm.common import settle
 
+from .test_mixing import targets
+
 
 @pytest.fixture(scope="module")
 def stages(spark, data):
@@ -73,7 +75,7 @@ def test_the_mix_meets_its_targets(stages):
     for r in out.collect():
         took[r.source] += size(r)
     names = sorted(have)
-    for n, t in zip(names, mixing.targets([have[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])):
+    for n, t in zip(names, targets([have[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])):
         assert abs(took[n] - t) <= 0.1 * t + 1
     assert max(Counter(tuple(r) for r in out.collect()).values()) <= 2
 
