@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
@@ -36,23 +36,39 @@ class Element:
     def elements(self) -> Iterator[Element]:
         return (c for c in self.children if isinstance(c, Element))
 
+    def walk(self, without: Element | None = None) -> Iterator[Element | str]:
+        """All that lies inside, in the page's order, however deep; what lies in `without` is left out."""
+        waiting = self.children[::-1]
+        while waiting:
+            c = waiting.pop()
+            if c is without:
+                continue
+            yield c
+            if isinstance(c, Element):
+                waiting += c.children[::-1]
+
     def every(self, tag: str) -> Iterator[Element]:
-        for c in self.elements():
-            if c.tag == tag:
-                yield c
-            yield from c.every(tag)
+        return (c for c in self.walk() if isinstance(c, Element) and c.tag == tag)
 
     def text(self, without: Element | None = None) -> str:
-        return "".join(c if isinstance(c, str) else "" if c is without else c.text(without) for c in self.children)
+        return "".join(c for c in self.walk(without) if isinstance(c, str))
 
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
     def same(self, other: Element) -> bool:
         """Equal in structure, as two prints of one element are."""
-        if self.tag != other.tag or self.attrs != other.attrs or len(self.children) != len(other.children):
-            return False
-        return all(a == b if isinstance(a, str) or isinstance(b, str) else a.same(b) for a, b in zip(self.children, other.children))
+        waiting: list[tuple[Element | str, Element | str]] = [(self, other)]
+        while waiting:
+            a, b = waiting.pop()
+            if isinstance(a, str) or isinstance(b, str):
+                if a != b:
+                    return False
+            elif a.tag != b.tag or a.attrs != b.attrs or len(a.children) != len(b.children):
+                return False
+            else:
+                waiting += zip(a.children, b.children)
+        return True
 
 
 class Tree(HTMLParser):
@@ -140,42 +156,44 @@ def anchor_rows(page: str) -> Iterator[tuple[str | None, str, bool]]:
 
 
 def extract(pages: DataFrame, id_col: str = "celex", body_col: str = "body") -> DataFrame:
-    """(celex, seq, para_num, text, is_header, error): raw rows of every page of a known layout; others give none.
+    """(celex, seq, para_num, text, is_header, error, layout, page): raw rows of every page of a known layout; others give none.
 
-    body: text or UTF-8 bytes; bytes that aren't UTF-8, and pages that break their layout, give one row with the error.
+    body: text or UTF-8 bytes; bytes that aren't UTF-8, and pages that break their layout, give one row with the error. page: a hash of the body.
     """
 
-    def rows_of(body: object) -> tuple[list[tuple], str | None]:
+    def rows_of(body: object) -> tuple[list[tuple], str | None, int]:
         try:
             page = body.decode("utf-8") if isinstance(body, bytes) else body
             kind = layout(page)
-            return list((table_rows, anchor_rows)[kind - 1](page)) if kind else [], None
-        except (ValueError, IndexError, KeyError) as e:
-            return [], f"{type(e).__name__}: {e}"
+            return list((table_rows, anchor_rows)[kind - 1](page)) if kind else [], None, kind
+        except (ValueError, IndexError, KeyError, RecursionError) as e:
+            return [], f"{type(e).__name__}: {e}", 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out = []
-            for ident, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                found, error = rows_of(body)
+            for ident, body, page in zip(*(part.column(c).to_pylist() for c in range(3))):
+                found, error, kind = rows_of(body)
                 if error:
-                    out.append((ident, 0, None, None, False, error))
-                out += [(ident, k, number, text, head, None) for k, (number, text, head) in enumerate(found)]
-            cols = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["celex", "seq", "para_num", "text", "is_header", "error"])
+                    out.append((ident, 0, None, None, False, error, None, page))
+                out += [(ident, k, number, text, head, None, kind, page) for k, (number, text, head) in enumerate(found)]
+            cols = list(zip(*out)) if out else [()] * 8
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["celex", "seq", "para_num", "text", "is_header", "error", "layout", "page"])
 
-    return pages.select(F.col(id_col).cast("string"), F.col(body_col)).mapInArrow(run, "celex string, seq int, para_num string, text string, is_header boolean, error string")
+    schema = "celex string, seq int, para_num string, text string, is_header boolean, error string, layout int, page long"
+    return pages.select(F.col(id_col).cast("string"), F.col(body_col), F.xxhash64(body_col)).mapInArrow(run, schema)
 
 
 def case_paragraphs(pages: DataFrame, id_col: str = "celex", body_col: str = "body", process: bool = True, operative: bool = False) -> DataFrame:
     """(celex, key, text, seq) of all pages; use paragraphs.articles() for one text a document.
 
     Layout 1 pages start at paragraph 1 and lose dash and signature rows; the operative part of layout 2 takes the number before it. Pages with
-    errors and unknown pages give no rows: extract() has the errors.
+    errors and unknown pages give no rows: extract() has the errors. Of several pages with one id one counts, repeats or not, decided by hash.
     """
-    kind = pages.select(F.col(id_col).cast("string").alias("celex"), F.when(F.col(body_col).cast("string").contains(ANCHOR), 2).otherwise(1).alias("layout"))
-    rows = P.merge_continuations(extract(pages, id_col, body_col).where("error is null")).join(kind, "celex")
+    rows = extract(pages, id_col, body_col).where("error is null").withColumn("_one", F.max("page").over(Window.partitionBy("celex")))
+    rows = rows.where(F.col("page") == F.col("_one")).dropDuplicates(["celex", "seq"])
+    rows = P.merge_continuations(rows, keep=("layout",))
     tables = P.from_first_paragraph(P.without_marks(rows.where("layout = 1")))
     rows = tables.unionByName(rows.where("layout = 2")).select(*[c for c in PARAGRAPHS.names if c != "error"])
     if process:

@@ -28,14 +28,14 @@ def from_first_paragraph(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_first", first).where(F.col("seq") >= F.col("_first")).drop("_first")
 
 
-def merge_continuations(rows: DataFrame, header: str = "is_header", separator: str = " ") -> DataFrame:
-    """Join every row that is no header to the text of the last header before it; rows before any header are dropped."""
+def merge_continuations(rows: DataFrame, header: str = "is_header", separator: str = " ", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Join every row that is no header to the text of the last header before it; rows before any header are dropped. keep: columns alike in all of a document's rows."""
     island = F.sum(F.col(header).cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     grouped = rows.withColumn("_island", island).where("_island > 0").groupBy("celex", "_island")
     parts = F.sort_array(F.collect_list(F.struct("seq", "para_num", "text")))
-    merged = grouped.agg(parts.alias("_parts"))
+    merged = grouped.agg(parts.alias("_parts"), *[F.first(c).alias(c) for c in keep])
     text = F.array_join(F.transform("_parts", lambda x: x["text"]), separator)
-    return merged.select("celex", F.col("_parts")[0]["seq"].alias("seq"), F.col("_parts")[0]["para_num"].alias("para_num"), text.alias("text"))
+    return merged.select("celex", F.col("_parts")[0]["seq"].alias("seq"), F.col("_parts")[0]["para_num"].alias("para_num"), text.alias("text"), *keep)
 
 
 def fill_numbers(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import importlib
 import json
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -27,35 +28,40 @@ AGENT = "Mozilla/5.0"
 
 def http(url: str, query: str) -> str:
     request = urllib.request.Request(f"{url}?{urllib.parse.urlencode({'query': query})}", headers={"Accept": "application/sparql-results+json"})
+    return _answer(request).decode("utf-8")
+
+
+def _answer(request: urllib.request.Request, any_status: bool = False, wait: float = 1.0) -> bytes:
+    """The answer's body; what fails on the way is tried TRIES times."""
     for k in range(TRIES):
         try:
             with urllib.request.urlopen(request, timeout=TIMEOUT) as got:
-                return got.read().decode("utf-8")
-        except OSError:
+                return got.read()
+        except OSError as e:
+            if any_status and isinstance(e, urllib.error.HTTPError):
+                return e.read()
             if k + 1 == TRIES:
                 raise
-            time.sleep(2**k)
+            time.sleep(wait * 2**k)
     raise AssertionError
 
 
-def fetch(url: str) -> bytes:
-    """The English page of a document, whatever the status."""
-    request = urllib.request.Request(url, headers={"User-Agent": AGENT, "Accept-Language": "eng"})
+def fetch(url: str) -> bytes | None:
+    """The English page of a document, whatever the status; None if no answer comes."""
     try:
-        with urllib.request.urlopen(request, timeout=TIMEOUT) as got:
-            return got.read()
-    except urllib.error.HTTPError as e:
-        return e.read()
+        return _answer(urllib.request.Request(url, headers={"User-Agent": AGENT, "Accept-Language": "eng"}), any_status=True)
+    except OSError:
+        return None
 
 
 def fetched(ids: DataFrame, base: str, id_col: str = "celex", get=fetch) -> DataFrame:
-    """(celex, body binary): one request a row, on executors. Ids that are URIs count by their last segment."""
+    """(celex, body binary): one request a row, on executors. Ids that are URIs count by their last segment; a null id, or a page that doesn't come, has a null body."""
     import pyarrow as pa
 
     def run(batches):
         for part in batches:
-            names = [str(x).rsplit("/", 1)[-1] if str(x).startswith("http") else str(x) for x in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([get(base + urllib.parse.quote(n)) for n in names], pa.binary())], names=["celex", "body"])
+            names = [x if x is None else str(x).rsplit("/", 1)[-1] if str(x).startswith("http") else str(x) for x in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([None if n is None else get(base + urllib.parse.quote(n)) for n in names], pa.binary())], names=["celex", "body"])
 
     return ids.select(id_col).mapInArrow(run, "celex string, body binary")
 

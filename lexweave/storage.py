@@ -13,12 +13,14 @@ PARAGRAPHS = T.StructType([T.StructField("celex", T.StringType()), T.StructField
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The folder in spark.checkpoint.dir; a local one is set only where that is unset and the master is this machine, else ValueError."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = set_already.get() if set_already.isDefined() else None
     if not where:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lexweave-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -29,3 +31,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lexweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables that nothing will read again; a table of any other kind, or one not in the shared folder, stays."""
+    for df in settled:
+        spark = df.sparkSession
+        base = f"{shared_dir(spark)}/lexweave/"
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+            if place.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath()):
+                files.delete(place, True)

@@ -38,6 +38,17 @@ def test_layouts(spark):
     assert {r.key for r in html.case_paragraphs(pages(spark).where("celex = 'B'"), operative=True).collect()} == {"3_1_B", "3_2_B", "3_3_B"}
 
 
+def test_repeated_and_deep_pages(spark):
+    once = html.case_paragraphs(pages(spark).where("celex < 'C'"))
+    twice = html.case_paragraphs(pages(spark).where("celex < 'C'").union(pages(spark).where("celex < 'C'")))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    deep = '<html><body class="sum-title-1">' + "<div>" * 5000 + '<table><col width="5%"><tr><td>1</td><td>x</td></tr></table>' + "</div>" * 5000
+    nested = ONE.replace("Second", "<i>" * 3000 + "Second" + "</i>" * 3000)
+    rows = spark.createDataFrame([("X", deep.replace('class="sum-title-1"', "") + 'class="sum-title-1"'), ("Y", nested)], "celex string, body string")
+    got = html.extract(rows)
+    assert got.where("error is not null").count() == 0 and got.where("celex = 'Y' and text = 'Second'").count() == 1
+
+
 def test_broken_page_is_an_error_row(spark):
     got = html.extract(pages(spark).where("celex = 'F'")).collect()
     assert len(got) == 1 and "sibling" in got[0].error

@@ -39,9 +39,44 @@ def test_filters_go_into_the_query(spark):
 
 def test_fetcher(spark):
     got = endpoint.fetched(spark.createDataFrame([("http://a/b/62000CJ0001",), ("X 1",)], "celex string"), "base/", get=lambda u: u.encode())
+    lost = endpoint.fetched(spark.createDataFrame([(None,), ("a",)], "celex string"), "base/", get=lambda u: None)
+    assert {(r.celex, r.body) for r in lost.collect()} == {(None, None), ("a", None)}
     assert {r.celex: bytes(r.body) for r in got.collect()} == {"62000CJ0001": b"base/62000CJ0001", "X 1": b"base/X%201"}
 
 
+def test_an_answer_is_tried_for(monkeypatch):
+    import io
+    import urllib.request
+
+    tries = []
+
+    def open_(request, timeout):
+        tries.append(timeout)
+        if len(tries) < 3:
+            raise TimeoutError
+        return io.BytesIO(b"page")
+
+    monkeypatch.setattr(urllib.request, "urlopen", open_)
+    monkeypatch.setattr(endpoint.time, "sleep", lambda s: None)
+    assert endpoint.fetch("http://none/x") == b"page" and len(tries) == 3
+    tries[:] = [0] * -9
+    monkeypatch.setattr(urllib.request, "urlopen", lambda request, timeout: (_ for _ in ()).throw(ConnectionRefusedError()))
+    assert endpoint.fetch("http://none/x") is None
+
+
+def test_superseded_tables_go(spark, tmp_path):
+    from lexweave.storage import discard, settle
+
+    kept, gone = settle(spark.range(3).toDF("x"), "kept"), settle(spark.range(4).toDF("x"), "gone")
+    outside = str(tmp_path / "mine")
+    spark.range(2).write.parquet(outside)
+    files = gone.inputFiles()
+    discard(gone, spark.read.parquet(outside))
+    import os
+
+    assert kept.count() == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in files) and spark.read.parquet(outside).count() == 2
+
+
 def test_landed(spark, tmp_path):
     docs = spark.createDataFrame([("61", "6", "2001", "JUDG", "CJ", "REFER_PREL"), ("61", "6", "2001", "JUDG", "CJ", "REFER_PREL"), ("62", "6", "2002", "JUDG", "TJ", "OTHER"), ("63", "6", "2002", "JUDG", "CJ", None), ("31", "3", "2002", None, None, None), ("32", "3", None, None, None, None)], "id string, sector string, year string, form string, type string, procedure string")
     ids = lambda d: sorted(r.id for r in d.collect())
