@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import settle, shared_dir
+from ..storage import discard, settle, shared_dir
 
 #: Rows, and bytes unless one row has more, handled at once inside a Python worker; bounds its memory, changes no result.
 SLICE, SLICE_BYTES = 512, 1 << 23
@@ -89,7 +89,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        pairs = settle(small, name)
+        last, pairs = pairs, settle(small, name)
+        discard(last)
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("b", "a"))).first()
         if now == before:
             break
