@@ -384,11 +384,13 @@ def feature(thumbs: list[np.ndarray]) -> str:
 
 def _feature(t: np.ndarray) -> str:
     rows, cols = (np.linspace(0, n, k + 1).astype(int) for n, k in ((t.shape[0], 8), (t.shape[1], 9)))
-    span = lambda at, n: [(min(a, n - 1), max(b, min(a, n - 1) + 1)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-    cells = span(cols, t.shape[1])
-    # Sums of columns within a row of cells first: no copy of the whole thumbnail.
-    lines = [(t[a:b].sum(axis=0, dtype=np.float64), b - a) for a, b in span(rows, t.shape[0])]
-    small = np.array([[line[c:d].sum() / (high * (d - c)) for c, d in cells] for line, high in lines])
+    (low_r, high_r), (low_c, high_c) = ((np.minimum(at[:-1], n - 1), np.maximum(at[1:], np.minimum(at[:-1], n - 1) + 1)) for at, n in ((rows, t.shape[0]), (cols, t.shape[1])))
+    # Rows of cells first: no copy of the whole thumbnail.
+    sums = np.zeros((8, t.shape[1] + 1))
+    for i in range(8):
+        t[low_r[i] : high_r[i]].sum(axis=0, dtype=np.float64, out=sums[i, 1:])
+    sums = sums.cumsum(axis=1)
+    small = (sums[:, high_c] - sums[:, low_c]) / ((high_r - low_r)[:, None] * (high_c - low_c))
     average = np.packbits(small[:, :8] > small[:, :8].mean()).tobytes().hex()
     difference = np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
     return f"{8 * t.shape[1]}x{8 * t.shape[0]}:{average}:{difference}"
