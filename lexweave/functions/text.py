@@ -6,6 +6,7 @@ Character classes are spelled out because Java's \\w, \\d, \\s are ASCII by defa
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.ml.feature import StopWordsRemover
@@ -56,7 +57,7 @@ def clean(c: Column, collapse: bool = True) -> Column:
 def terms(c: Column, stop: list[str] | None = None, least: int = 2) -> Column:
     """Lower-cased words without ASCII punctuation, stop words and words shorter than `least`. Null gives null.
 
-    stop: none by default; english_stop_words() has Spark's list.
+    stop: none by default; see stop_words().
     """
     words = F.split(F.translate(F.lower(c), string.punctuation, ""), f"{SPACE}+")
     words = F.filter(words, lambda w: F.length(w) >= least)
@@ -65,10 +66,32 @@ def terms(c: Column, stop: list[str] | None = None, least: int = 2) -> Column:
     return words
 
 
+# Common English function words, as terms() spells words.
+FUNCTION_WORDS = tuple(
+    """a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down
+    during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself
+    no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then
+    there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours
+    yourself yourselves""".split()
+)
+
+
+def stop_words(*lists: Iterable[str]) -> list[str]:
+    """The union of stop lists in any spelling, as terms() spells words, sorted; FUNCTION_WORDS is always in it."""
+    drop = str.maketrans("", "", string.punctuation)
+    return sorted({w.lower().translate(drop) for words in (FUNCTION_WORDS, *lists) for w in words} - {""})
+
+
 def english_stop_words() -> list[str]:
+    """Spark's list; needs a session."""
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
+def joined_terms(c: Column) -> Column:
+    """An array of terms as one text again."""
+    return F.array_join(c, " ")
+
+
 def last_segment(c: Column, mark: str = "/") -> Column:
     return F.substring_index(c, mark, -1)
 

@@ -73,6 +73,22 @@ def nodes_of(graph: DataFrame) -> DataFrame:
     return ends.distinct()
 
 
+def numbered(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows with pos, their 0-based place by `order` among rows that agree on `by`, and degree, how many these are.
+
+    A range-partitioned sort, so a group of any size spreads over tasks: partitions number themselves, and only one row a group and
+    partition is added up. Equal rows are numbered in any order.
+    """
+    ordered = rows.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
+    ordered = settle(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "numbered")
+    parts = ordered.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*by, "_part", "_first", before.alias("_before"), F.sum("_n").over(group).alias("degree"))
+    joined = ordered.join(parts, [*by, "_part"])
+    return joined.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("pos"), "degree")
+
+
 def dense_index(nodes: DataFrame) -> DataFrame:
     """(type, id, idx): 0-based rank of id among its type, sorted.
 
@@ -168,9 +184,7 @@ def neighbours_by_type(nodes: DataFrame, simple: DataFrame) -> DataFrame:
 
 def numbered_neighbours(nodes: DataFrame, simple: DataFrame) -> DataFrame:
     """(node, nbr_type, pos, degree, nbr): neighbours of a type numbered from 0 in sorted order."""
-    near = typed_neighbours(nodes, simple)
-    w = Window.partitionBy("node", "nbr_type")
-    return near.select("node", "nbr_type", (F.row_number().over(w.orderBy("nbr")) - 1).cast("long").alias("pos"), F.count("*").over(w).alias("degree"), "nbr")
+    return numbered(typed_neighbours(nodes, simple).select("node", "nbr_type", "nbr"), ["node", "nbr_type"], "nbr").select("node", "nbr_type", "pos", "degree", "nbr")
 
 
 def drawn(size: Column, *key: Column) -> Column:
@@ -233,11 +247,10 @@ def neighbourhood(citations: DataFrame, sources: DataFrame, cites_depth: int = 1
 
 def sampled_in_edges(edges: DataFrame, fan_out: int, seed: int = 0) -> DataFrame:
     """(source, target, draw): fan_out in-edges of every target, with replacement; targets without in-edges give none."""
-    numbered = edges.select("target", "source", (F.row_number().over(Window.partitionBy("target").orderBy("source")) - 1).cast("long").alias("pos"))
-    numbered = settle(numbered, "in-edges")
-    picks = numbered.groupBy("target").agg(F.count("*").alias("degree")).select("target", "degree", F.explode(F.sequence(F.lit(0), F.lit(fan_out - 1))).alias("draw"))
+    near = settle(numbered(edges.select("target", "source"), ["target"], "source"), "in-edges")
+    picks = near.where("pos = 0").select("target", "degree", F.explode(F.sequence(F.lit(0), F.lit(fan_out - 1))).alias("draw"))
     picks = picks.withColumn("pos", drawn(F.col("degree"), F.lit(seed), F.col("target"), F.col("draw")))
-    return picks.join(numbered, ["target", "pos"]).select("source", "target", "draw")
+    return picks.join(near.drop("degree"), ["target", "pos"]).select("source", "target", "draw")
 
 
 def code_hierarchy(codes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -38,58 +38,58 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
-def _graph(c: Corpus) -> DataFrame:
+def typed(c: Corpus) -> DataFrame:
     return graph.typed_graph(c.citations(), c.subjects(), c.case_ids(), c.leg_ids())
 
 
-def _relation(c: Corpus, k: int) -> DataFrame:
+def relation(c: Corpus, k: int) -> DataFrame:
     r = graph.FORWARD[k]
     return graph.citation_edges(c.subjects() if r[2] == "subject_matter" else c.citations(), r, c.case_ids(), c.leg_ids())
 
 
 @query("SELECT source, target FROM cc")
 def case_case_edges(c):
-    return _relation(c, 0)
+    return relation(c, 0)
 
 
 @query("SELECT source, target FROM cl")
 def case_leg_edges(c):
-    return _relation(c, 1)
+    return relation(c, 1)
 
 
 @query("SELECT source, target FROM cs")
 def case_subject_edges(c):
-    return _relation(c, 2)
+    return relation(c, 2)
 
 
 @query("SELECT source, target FROM ll")
 def leg_leg_edges(c):
-    return _relation(c, 3)
+    return relation(c, 3)
 
 
 @query("SELECT source, target FROM ls")
 def leg_subject_edges(c):
-    return _relation(c, 4)
+    return relation(c, 4)
 
 
 @query("SELECT * FROM graph WHERE (src_type, rel) IN (('legislation', 'cited_by'), ('subject_matter', 'related_to'))")
 def reverse_edges(c):
-    return _graph(c).where((F.col("rel") == "cited_by") | (F.col("rel") == "related_to"))
+    return typed(c).where((F.col("rel") == "cited_by") | (F.col("rel") == "related_to"))
 
 
 @query("SELECT type, id, idx FROM idx")
 def node_index(c):
-    return graph.dense_index(graph.nodes_of(_graph(c)))
+    return graph.dense_index(graph.nodes_of(typed(c)))
 
 
 @query("SELECT src_type, rel, dst_type, s.idx AS src, d.idx AS dst FROM graph JOIN idx s ON s.type = src_type AND s.id = source JOIN idx d ON d.type = dst_type AND d.id = target")
 def encoded_edges(c):
-    g = _graph(c)
+    g = typed(c)
     return graph.encode(g, graph.dense_index(graph.nodes_of(g)))
 
 
 @query("SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM (SELECT source, target FROM graph)")
-def undirected_simple_graph(c):
+def undirected_simpletyped(c):
     return graph.judgment_graph(c.citations(), c.subjects(), c.case_ids())[1]
 
 
@@ -99,23 +99,23 @@ SELECT node, n.type AS nbr_type, count(*) AS n, min(nbr) AS first, max(nbr) AS l
 """)
 def neighbors_by_type(c):
     nodes, edges = graph.judgment_graph(c.citations(), c.subjects(), c.case_ids())
-    got = graph.neighbours_by_type(nodes, edges)
-    return got.select("node", "nbr_type", F.size("nbrs").cast("long").alias("n"), F.col("nbrs")[0].alias("first"), F.element_at("nbrs", -1).alias("last"))
+    got = graph.numbered_neighbours(nodes, edges)
+    return got.groupBy("node", "nbr_type").agg(F.max("degree").alias("n"), F.min("nbr").alias("first"), F.max("nbr").alias("last"))
 
 
 @query('SELECT DISTINCT a.source AS start, b.source AS "end" FROM cl a JOIN cl b USING (target)')
 def metapath_case_leg_case(c):
-    return graph.metapath_pairs(_graph(c), CLC)
+    return graph.metapath_pairs(typed(c), CLC)
 
 
 @query('SELECT DISTINCT a.source AS start, b.source AS "end" FROM cs a JOIN cs b USING (target)')
 def metapath_case_subject_case(c):
-    return graph.metapath_pairs(_graph(c), CSC)
+    return graph.metapath_pairs(typed(c), CSC)
 
 
 @query('SELECT DISTINCT a.source AS start, b.source AS "end" FROM cl a JOIN ll ON a.target = ll.source JOIN cl b ON b.target = ll.target')
 def metapath_case_leg_leg_case(c):
-    return graph.metapath_pairs(_graph(c), CLLC)
+    return graph.metapath_pairs(typed(c), CLLC)
 
 
 @query("""
@@ -163,7 +163,7 @@ SELECT DISTINCT para AS source, target FROM cl JOIN pp ON doc = source
 def para_leg_edges(c):
     doc = F.concat(F.lit("6"), F.col("l_orderkey").cast("string"))
     paras = c.lineitem.join(c.orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(doc.alias("doc"), F.concat(doc, F.lit("_"), F.col("l_linenumber").cast("string")).alias("para"))
-    return graph.paragraph_legislation(_relation(c, 1), paras)
+    return graph.paragraph_legislation(relation(c, 1), paras)
 
 
 @query("SELECT celex, seq, para, text FROM filled")
@@ -215,11 +215,6 @@ def text_clean(c):
     return c.documents.select("doc_id", X.clean(F.col("text")).alias("text"))
 
 
-@query()
-def html_paragraphs(c):
-    return html.extract(c.pages, "page_id", "html")
-
-
 @query(
     r"""
 , t AS (SELECT CAST(conv_id AS VARCHAR) AS celex, turn, turn // 3 + 1 AS para, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations)
@@ -238,9 +233,13 @@ def html_case_paragraphs(c):
 
 
 _PUNCTUATION = string.punctuation.replace("'", "''")
-_TERMS = f"""
-t AS (SELECT doc_id AS doc, unnest(string_split_regex(translate(lower(text), '{_PUNCTUATION}', ''), '[\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+')) AS term FROM documents),
-tf AS (SELECT doc, term, count(*) AS tf FROM t WHERE length(term) > 1 GROUP BY doc, term),
+STOP = X.stop_words()
+_LISTED = ", ".join(f"'{w}'" for w in STOP)
+TERMS_SQL = f"""
+split AS (SELECT doc_id AS doc, string_split_regex(translate(lower(text), '{_PUNCTUATION}', ''), '[\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+') AS list FROM documents),
+t AS (SELECT doc, unnest(list) AS term, unnest(range(len(list))) AS place FROM split),
+words AS (SELECT * FROM t WHERE length(term) > 1 AND term NOT IN ({_LISTED})),
+tf AS (SELECT doc, term, count(*) AS tf FROM words GROUP BY doc, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 n AS (SELECT count(*) AS n FROM documents),
 voc AS (SELECT term, df, ln((1.0e0 + n) / (1.0e0 + df)) + 1.0e0 AS idf FROM df, n WHERE df >= 2 AND df <= 0.95e0 * n),
@@ -250,7 +249,7 @@ weights AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS we
 
 
 def _counts(c: Corpus) -> DataFrame:
-    return tfidf.term_counts(c.documents.select("doc_id", X.terms(F.col("text")).alias("terms")), "doc_id", "terms")
+    return tfidf.term_counts(c.documents.select("doc_id", X.terms(F.col("text"), STOP).alias("terms")), "doc_id", "terms")
 
 
 def _weights(c: Corpus) -> DataFrame:
@@ -258,12 +257,12 @@ def _weights(c: Corpus) -> DataFrame:
     return tfidf.transform(counts, tfidf.fit(counts, c.documents.count()))
 
 
-@query(f"WITH {_TERMS} SELECT term, df FROM df", prelude=False)
+@query(f"WITH {TERMS_SQL} SELECT term, df FROM df", prelude=False)
 def doc_frequency(c):
     return tfidf.document_frequency(_counts(c))
 
 
-@query(f"WITH {_TERMS} SELECT doc, term, round(weight, 6) AS weight FROM weights", prelude=False)
+@query(f"WITH {TERMS_SQL} SELECT doc, term, round(weight, 6) AS weight FROM weights", prelude=False)
 def tfidf_weights(c):
     return _weights(c).select("doc", "term", F.round("weight", 6).alias("weight"))
 
@@ -294,13 +293,13 @@ def cosine_topk(c):
     return _dense(c).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_TERMS}, {_SPARSE} SELECT query_id, rank, id, round(score, 6) AS score FROM sparse", prelude=False)
+@query(f"WITH {TERMS_SQL}, {_SPARSE} SELECT query_id, rank, id, round(score, 6) AS score FROM sparse", prelude=False)
 def tfidf_topk(c):
     return _sparse(c).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query(
-    f"""WITH {_TERMS}, {_SPARSE}, {_DENSE},
+    f"""WITH {TERMS_SQL}, {_SPARSE}, {_DENSE},
 lists AS (SELECT query_id, 0 AS list_id, rank, id FROM sparse UNION ALL SELECT query_id, 1, rank, id FROM dense),
 f AS (SELECT query_id, id AS doc, sum(CASE list_id WHEN 0 THEN 1.0e0 ELSE 0.5e0 END / (60.0e0 + rank)) AS score, min(list_id * 1000000 + rank) AS met FROM lists GROUP BY ALL)
 SELECT query_id, doc, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, met) AS rank FROM f""",
@@ -361,7 +360,7 @@ SELECT f.node, round(coalesce(g.h, 0), 5) AS h0, round(coalesce(g.k, 0), 5) AS h
 """)
 def gcn_norm_aggregate(c):
     features = c.orders.select(F.concat(F.lit("6"), F.col("o_orderkey").cast("string")).alias("node"), F.array(F.col("o_totalprice").cast("double") / 1e5, F.lit(1.0)).alias("vec"))
-    got = network.convolve(graph.metapath_pairs(_graph(c), CLC), features, 2)
+    got = network.convolve(graph.metapath_pairs(typed(c), CLC), features, 2)
     return got.select("node", F.round(F.col("vec")[0], 5).alias("h0"), F.round(F.col("vec")[1], 5).alias("h1"))
 
 
@@ -372,7 +371,7 @@ SELECT src, dst, round(x / sum(x) OVER (PARTITION BY dst), 6) AS alpha FROM x
 """)
 def gat_edge_softmax(c):
     score = c.orders.select(F.concat(F.lit("6"), F.col("o_orderkey").cast("string")).alias("src"), F.log(1 + F.col("o_totalprice").cast("double") / 1e5).alias("e"))
-    edges = _relation(c, 1).select(F.col("source").alias("src"), F.col("target").alias("dst")).join(score, "src")
+    edges = relation(c, 1).select(F.col("source").alias("src"), F.col("target").alias("dst")).join(score, "src")
     return network.edge_softmax(edges).select("src", "dst", F.round("alpha", 6).alias("alpha"))
 
 
@@ -393,27 +392,30 @@ def contrastive_loss(c):
     return network.contrast_loss_blocks(*_halves(c)).select(F.round("loss", 6).alias("loss"))
 
 
-_W, _B, _Q = np.array([[0.5, -0.25], [0.125, 1.0]]), np.array([0.1, -0.2]), np.array([1.5, -0.75])
+_W, _B, _Q = np.cos(np.arange(128.0)).round(3).reshape(64, 2), np.array([0.1, -0.2]), np.array([1.5, -0.75])
+_HIDDEN = [f"tanh({_B[j]}::DOUBLE + list_dot_product(vec, {_W[:, j].tolist()}::DOUBLE[]))" for j in range(2)]
 
 
 @query(
-    """WITH v AS (SELECT unnest(['a', 'b', 'c']) AS view, vec_id AS node, unnest([embedding[1:2], embedding[3:4], embedding[5:6]])::DOUBLE[] AS vec FROM embeddings),
-m AS (SELECT view, avg(tanh(0.1e0 + 0.5e0 * vec[1] + 0.125e0 * vec[2])) AS p, avg(tanh(-0.2e0 - 0.25e0 * vec[1] + vec[2])) AS q FROM v GROUP BY view),
-e AS (SELECT view, exp(1.5e0 * p - 0.75e0 * q) AS e FROM m), s AS (SELECT view, e / sum(e) OVER () AS share FROM e)
-SELECT node, round(sum(vec[1] * share), 6) AS x, round(sum(vec[2] * share), 6) AS y FROM v JOIN s USING (view) GROUP BY node""",
+    f"""WITH v AS (SELECT unnest(['a', 'b', 'c']) AS view, vec_id AS node, unnest([embedding, list_reverse(embedding), list_transform(embedding, lambda x: x * x)])::DOUBLE[] AS vec FROM embeddings),
+m AS (SELECT view, avg({_HIDDEN[0]}) AS p, avg({_HIDDEN[1]}) AS q FROM v GROUP BY view),
+e AS (SELECT view, exp(1.5e0 * p - 0.75e0 * q) AS e FROM m), s AS (SELECT view, e / sum(e) OVER () AS share FROM e),
+u AS (SELECT node, unnest(vec) * share AS x, unnest(range(1, 65)) AS dim FROM v JOIN s USING (view))
+SELECT node, dim, round(sum(x), 5) + 0.0e0 AS x FROM u GROUP BY node, dim""",
     prelude=False,
 )
 def semantic_attention(c):
-    views = [c.embeddings.select(F.lit(n).alias("view"), F.col("vec_id").alias("node"), F.slice("embedding", at, 2).cast("array<double>").alias("vec")) for n, at in (("a", 1), ("b", 3), ("c", 5))]
+    vec = F.col("embedding")
+    views = [c.embeddings.select(F.lit(n).alias("view"), F.col("vec_id").alias("node"), v.cast("array<double>").alias("vec")) for n, v in (("a", vec), ("b", F.reverse(vec)), ("c", F.transform(vec, lambda x: x * x)))]
     got = network.semantic_attention(views[0].unionByName(views[1]).unionByName(views[2]), _W, _B, _Q)
-    return got.select("node", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
+    return got.select("node", F.posexplode("vec").alias("at", "x")).select("node", (F.col("at") + 1).cast("long").alias("dim"), (F.round("x", 5) + 0.0).alias("x"))
 
 
-_PAIRS = "z AS (SELECT label AS pair, vec_id AS token, embedding[1:8]::DOUBLE[] AS v FROM embeddings), m AS (SELECT a.pair, a.token AS i, b.token AS j, list_dot_product(a.v, b.v) AS d FROM z a JOIN z b ON a.pair = b.pair AND a.token % 2 = 0 AND b.token % 2 = 1)"
+_PAIRS = "z AS (SELECT label AS pair, vec_id AS token, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT a.pair, a.token AS i, b.token AS j, list_dot_product(a.v, b.v) AS d FROM z a JOIN z b ON a.pair = b.pair AND a.token % 2 = 0 AND b.token % 2 = 1)"
 
 
 def _sides(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    rows = c.embeddings.select(F.col("label").alias("pair"), F.col("vec_id").alias("token"), F.slice("embedding", 1, 8).cast("array<double>").alias("vec"))
+    rows = c.embeddings.select(F.col("label").alias("pair"), F.col("vec_id").alias("token"), F.col("embedding").cast("array<double>").alias("vec"))
     return rows.where("token % 2 = 0"), rows.where("token % 2 = 1")
 
 
@@ -434,24 +436,25 @@ def pairwise_mse(c):
     return explain.squared_error(rows, "a", "b", "label").select(F.round("mse", 6).alias("mse"))
 
 
-def _walks(c: Corpus) -> DataFrame:
-    nodes, edges = graph.judgment_graph(c.citations(), c.subjects(), c.case_ids())
+def walks(c: Corpus, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.walks(nodes, edges, ["case", "legislation", "case"], 2)
 
 
 @query()
 def metapath_walks(c):
-    return _walks(c)
+    return walks(c, *graph.judgment_graph(c.citations(), c.subjects(), c.case_ids()))
 
 
 @query()
 def sampled_neighbours(c):
-    return graph.sampled_in_edges(_relation(c, 1), 2)
+    return graph.sampled_in_edges(relation(c, 1), 2)
 
 
 @query()
 def walk_embeddings(c):
-    return network.walk_embeddings(_walks(c), size=32, epochs=1, partitions=4)
+    return network.walk_embeddings(metapath_walks(c), partitions=4)
+
 
+from . import scans  # noqa: E402  registers its queries
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "cosine"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "cosine", "scans"]

@@ -65,3 +65,14 @@ def test_sampling(spark):
     e = edges(spark, ("a", "t"), ("b", "t"), ("c", "u"))
     got = rows(G.sampled_in_edges(e, 2))
     assert len(got) == 4 and {r[:2] for r in got} <= {("a", "t"), ("b", "t"), ("c", "u")} and got == rows(G.sampled_in_edges(e, 2))
+
+
+def test_numbering_spreads_a_hub(spark):
+    e = edges(spark, *[(f"s{i:03d}", "hub") for i in range(300)], ("a", "t"), ("b", "t"))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = G.numbered(e.select("target", "source"), ["target"], "source").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.pos, r.source) for r in got if r.target == "hub") == [(i, f"s{i:03d}") for i in range(300)]
+    assert {r.degree for r in got if r.target == "hub"} == {300} and sorted((r.pos, r.source, r.degree) for r in got if r.target == "t") == [(0, "a", 2), (1, "b", 2)]

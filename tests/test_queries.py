@@ -6,10 +6,8 @@ from lexweave.plans import catalogue
 
 from .oracle import compare
 
-SLOW = {"walk_embeddings"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, data, name):
     if name in catalogue.ORACLE:
         compare(spark, data, catalogue.QUERIES[name], catalogue.ORACLE[name])

@@ -60,3 +60,12 @@ def test_terms_and_codes(spark):
     row = spark.createDataFrame([("01.10.20", "7", "http://x/y/z", "12th")], "a string, b string, c string, d string")
     row = row.select(X.code_parent(F.col("a")), X.code_parent(F.col("b")), X.last_segment(F.col("c")), X.leading_digits(F.col("d")), X.without_leading_digits(F.col("d"))).first()
     assert tuple(row) == ("01.10", None, "z", "12", "th")
+
+
+def test_stop_words(spark):
+    from lexweave.functions import text as X
+
+    stop = X.stop_words(["Don't", "zebra"], X.english_stop_words())
+    assert {"dont", "zebra", "the", "isnt"} <= set(stop) and stop == sorted(set(stop))
+    got = spark.createDataFrame([("The zebra, I don't see!",), (None,)], "t string").select(X.joined_terms(X.terms(F.col("t"), stop))).collect()
+    assert [r[0] for r in got] == ["see", None]

@@ -150,3 +150,39 @@ def test_whole_forward_pass(spark):
     value, gate = explain.detached_gelu(np.array([-1.0, 0.0, 2.0]))
     assert np.allclose(value, V.gelu_new(np.array([-1.0, 0.0, 2.0])))
     assert explain.EncoderConfig(6, layers=2).encoder()(np.ones((2, 6)) * [[1], [2]])[1].shape == (6, 2)
+
+
+def test_sparse_top_k_against_brute_force(spark, monkeypatch):
+    from lexweave.operators import tfidf
+
+    rng = np.random.default_rng(5)
+    vectors = {i: {f"t{int(t)}": float(w) for t, w in zip(rng.integers(0, 30, 8), rng.random(8))} | {"common": 1.0} for i in range(90)}
+    vectors[90] = {"alone": 1.0}
+    weights = spark.createDataFrame([(i, t, w) for i, v in vectors.items() for t, w in v.items()], "doc long, term string, weight double")
+    queries = spark.createDataFrame([(i,) for i in (0, 7, 7, 90, 999)], "id long")
+    want = []
+    for q in (0, 7, 90):
+        scores = [(round(sum(w * v.get(t, 0) for t, w in vectors[q].items()), 9), i) for i, v in vectors.items() if i != q]
+        want += [(q, k, i) for k, (s, i) in enumerate(sorted((-s, i) for s, i in scores if s > 0)[:6], 1)]
+    for size in (2048, 11):
+        monkeypatch.setattr(tfidf, "DOCS", size)
+        monkeypatch.setattr(tfidf, "QUERIES", size // 10 or 1)
+        got = sorted((r.query_id, r.rank, r.id) for r in tfidf.sparse_top_k(weights, queries, 6).collect())
+        assert got == want
+    assert tfidf.sparse_top_k(weights.limit(0), queries, 6).count() == 0
+
+
+def test_initial_dropout(spark):
+    rows = spark.createDataFrame([(str(i), [1.0] * 50) for i in range(40)], "node string, vec array<double>")
+    got = network.initial_dropout(rows, 0.2).collect()
+    kept = [x for r in got for x in r.vec]
+    assert set(kept) == {0.0, 1.25} and abs(kept.count(0.0) / len(kept) - 0.2) < 0.03
+    assert got == network.initial_dropout(rows.repartition(3), 0.2).orderBy(F.col("node").cast("int")).collect()
+
+
+def test_lemmas(spark):
+    from lexweave.operators import tfidf
+
+    terms = spark.createDataFrame([(1, "cats", 2), (1, "cat", 1), (2, "dog", 1), (2, None, 1)], "doc int, term string, tf int")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("cats", "feline"), ("x", "y")], "term string, lemma string")
+    assert sorted((r.doc, str(r.term), r.tf) for r in tfidf.lemmatised(terms, lemmas).collect()) == [(1, "cat", 1), (1, "cat", 2), (2, "None", 1), (2, "dog", 1)]
