@@ -140,19 +140,21 @@ def resolve(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", u
     stored; a null id never is the largest. If all ids of a group are null, all its rows are stored.
     """
     rows = pages.select(F.col(id_col).alias("ident"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
-    stored_again = rows.where(F.octet_length("payload") < least)
-    rows = rows.where(F.octet_length("payload") >= least).withColumn("digest", F.sha2("payload", 256))
-    groups = rows.groupBy("digest").agg(F.max("ident").alias("stored"), F.count("*").alias("n")).where("n > 1 and stored is not null").select(F.col("digest").alias("d"), "stored")
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
+    groups = rows.where("digest is not null").groupBy("digest").agg(F.max("ident").alias("stored"), F.count("*").alias("n")).where("n > 1 and stored is not null").select(F.col("digest").alias("d"), "stored")
     groups = settle(groups, "warc-groups")
-    same = F.col("digest") == F.col("d")
-    if groups.count() <= BROADCAST_GROUPS:
+    same, few = F.col("digest") == F.col("d"), groups.count() <= BROADCAST_GROUPS
+    if few:
         joined = rows.join(F.broadcast(groups), same, "left")
-    else:
+    else:  # small payloads have no digest and stay where they are
+        apart, rows = rows.where("digest is null"), rows.where("digest is not null")
         groups = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("ident", "url"), F.lit(SALTS)).cast("int")).join(groups, same & (F.col("salt") == F.col("s")), "left")
     revisit = F.col("stored").isNotNull() & ~F.col("ident").eqNullSafe(F.col("stored"))
     joined = joined.select("ident", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("stored")).alias("refers_to"))
-    return joined.unionByName(stored_again.select("*", F.lit(False).alias("revisit"), F.lit(None).cast(rows.schema["ident"].dataType).alias("refers_to")))
+    if few:
+        return joined
+    return joined.unionByName(apart.select("ident", "url", "payload", F.lit(False).alias("revisit"), F.lit(None).cast(rows.schema["ident"].dataType).alias("refers_to")))
 
 
 def write(records: DataFrame, root: str, date: str = DATE, level: int = LEVEL) -> DataFrame:
