@@ -2,12 +2,13 @@
 
 Each source gets a target number of words. Document rates stay as close (in bounded entropy) to one common base rate as the token
 constraint of their source allows; the dual has one multiplier a source, rates are exponential tilts of the base odds by document size,
-and all multipliers are found together by safeguarded Newton steps, each one aggregation over the (source, size) histogram. The histogram lies by
-source, so STEPS_AT_ONCE steps are one plan without a shuffle between them. Rates become whole
+and all multipliers are found together by safeguarded Newton steps, each one aggregation over the (source, size) histogram, summed up where its rows
+lie before sources meet; STEPS_AT_ONCE steps are one plan. Rates become whole
 copies by dithering: a hash of the document moves its rate up to the next integer or not, and a shift common to the source, found by
 histogram passes over the documents' turning points, makes the copies' words meet the target to within about one document.
 
-What is known of a source is a row of a settled table, however many sources there are; the driver sees sums over all of them alone.
+What is known of a source is a row of a settled table, however many sources there are; the driver sees sums over all of them alone. The table is
+broadcast to the histogram if it has at most BROADCAST_SOURCES rows (some 20 MB), else joined by source.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2
 STEPS, STEPS_AT_ONCE, TOLERANCE = 60, 6, 1e-7
 BINS, PASSES = 1 << 16, 2
+BROADCAST_SOURCES = 100_000
 #: Rounds of rounding, and how near a target, relative to it, ends them.
 ROUNDS, NEAR = 3, 1e-3
 
@@ -61,12 +63,13 @@ def _tilted(histogram: DataFrame, sources: DataFrame, base: float, limit: float)
     infinite = F.lit(math.inf)
     state = sources.withColumns({"whole": (F.col("target") > 0) & ~live, "done": ~live, "tilt": F.lit(0.0), "low": -infinite, "high": infinite})
     kept = state.columns
+    held = F.broadcast if sources.count() <= BROADCAST_SOURCES else lambda rows: rows
     by_key = histogram.select(F.col("key").alias("k"), F.col("size").alias("s"), "n")
 
     def step(state: DataFrame) -> DataFrame:
         rate = _rate(F.col("s"), F.col("tilt"), F.col("mean"), base, limit)
         words = F.col("n") * F.col("s") * rate
-        rows = by_key.join(state, F.col("k") == F.col("key"))
+        rows = by_key.join(held(state), F.col("k") == F.col("key"))
         sums = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in kept if c != "key"], F.sum(words).alias("words"), F.sum(words * F.col("s") / F.col("mean") * (1 - rate / limit)).alias("slope"))
         miss = F.col("target") - F.col("words")
         done = F.col("done") | (F.abs(miss) <= TOLERANCE * F.col("target"))

@@ -63,12 +63,14 @@ def test_mix(spark):
     assert mix.columns == docs.columns and mix.count() == sum(r.copies for r in got)
 
 
-def test_edges(spark):
+def test_edges(spark, monkeypatch):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (None, "one two", None), (3, "x", "b"), (3, "x", "b")], "doc_id long, text string, source string")
     got = mixing.mixed(docs).collect()
     assert [r["size"] for r in sorted(got, key=lambda r: str(r.doc_id))] == [0, 0, 1, 1, 2]
     assert {r.target for r in got if r.source == "a"} == {0.0}
     assert mixing.mixed(docs.limit(0)).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, got))
     clash = docs.withColumns({c: F.lit(7) for c in ("key", "at", "words", "room", "tilt", "_id", "_size", "size", "rate")})
     assert sorted(map(str, (r.copies for r in mixing.mixed(clash).collect()))) == sorted(map(str, (r.copies for r in got)))
     long = spark.createDataFrame([(1, "x " * 2_000_000, "a"), (2, "y", "a")], "doc_id long, text string, source string")
