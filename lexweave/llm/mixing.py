@@ -24,7 +24,7 @@ from .common import n_words, settle
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2
 STEPS, STEPS_AT_ONCE, TOLERANCE = 60, 6, 1e-7
-BINS, PASSES = 1 << 16, 2
+BINS, PASSES = 1 << 12, 2
 BROADCAST_SOURCES = 100_000
 #: Rounds of rounding, and how near a target, relative to it, ends them.
 ROUNDS, NEAR = 3, 1e-3
