@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import TINY_TOKENS, position_table
 
 CLS, PAD = 101, 0
 Encoder = Callable[[list[str]], np.ndarray]
+Tokenizer = Callable[[list[str]], list[list[int]]]
 
 
 def hashing_encoder(dim: int = 128) -> Callable[[], Encoder]:
@@ -40,7 +41,10 @@ def hashing_encoder(dim: int = 128) -> Callable[[], Encoder]:
 
 
 def encode(docs: DataFrame, text_col: str, factory: Callable[[], Encoder], out_col: str = "embedding", batch: int = 256) -> DataFrame:
-    """docs with out_col array<double>; null texts are empty ones. An input column of that name is replaced."""
+    """docs with out_col array<double>; null texts are empty ones. An input column of that name is replaced.
+
+    Within an Arrow batch the model gets texts longest first, so that those of a call are of like length; rows keep their order.
+    """
     keep = [c for c in docs.columns if c != out_col]
     new = docs.sparkSession.createDataFrame([], f"{out_col} array<double>").schema
     schema = type(new)([*(docs.schema[c] for c in keep), *new.fields])
@@ -48,14 +52,72 @@ def encode(docs: DataFrame, text_col: str, factory: Callable[[], Encoder], out_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
         for part in batches:
-            for at in range(0, part.num_rows, batch):
-                rows = part.slice(at, batch)
-                got = model([x or "" for x in rows.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(list(np.asarray(got, np.float64)))], names=[*keep, out_col])
+            texts = [x or "" for x in part.column(text_col).to_pylist()]
+            order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+            vectors: list = [None] * len(texts)
+            for at in range(0, len(order), batch):
+                some = order[at : at + batch]
+                for i, v in zip(some, np.asarray(model([texts[i] for i in some]), np.float64)):
+                    vectors[i] = v
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(vectors, pa.list_(pa.float64()))], names=[*keep, out_col])
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
+def encode_texts(spark: SparkSession, texts: str | list[str], factory: Callable[[], Encoder]) -> DataFrame:
+    """(at, text, embedding) of one text or of several, in their order."""
+    return encode(spark.createDataFrame([(i, x) for i, x in enumerate([texts] if isinstance(texts, str) else texts)], "at int, text string"), "text", factory)
+
+
+def word_tokenizer(size: int = 30_000) -> Callable[[], Tokenizer]:
+    """Words as hashed ids from CLS + 1 on: a stand-in for a model's tokenizer."""
+    return lambda: lambda texts: [[CLS + 1 + xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 0) % size for w in x.split()] for x in texts]
+
+
+def file_tokenizer(path: str) -> Callable[[], Tokenizer]:
+    """A tokenizers file's ids, without special tokens. The path must be readable on every worker."""
+
+    def factory() -> Tokenizer:
+        from tokenizers import Tokenizer as File
+
+        use = File.from_file(path)
+        return lambda texts: [x.ids for x in use.encode_batch(texts, add_special_tokens=False)]
+
+    return factory
+
+
+class LongTokenizer:
+    """Texts of any length as chunks of token ids.
+
+    factory builds a tokenizer in each worker. A document keeps at most max_document_tokens of its tokens, all by default; chunks have at most
+    max_chunk_tokens, the leading CLS included.
+    """
+
+    def __init__(self, factory: Callable[[], Tokenizer], max_document_tokens: int | None = None, max_chunk_tokens: int = 512):
+        if max_chunk_tokens < 2 or (max_document_tokens or 1) < 1:
+            raise ValueError("a chunk has at least 2 tokens, a document at least 1")
+        self.factory, self.most, self.chunk = factory, max_document_tokens, max_chunk_tokens
+
+    def ids(self, docs: DataFrame, text_col: str, out_col: str = "ids") -> DataFrame:
+        """docs with out_col array<int>: CLS, then the tokens. A null text is an empty one. An input column of that name is replaced."""
+        keep = [c for c in docs.columns if c != out_col]
+        schema = type(docs.schema)([*(docs.schema[c] for c in keep), *docs.sparkSession.createDataFrame([], f"{out_col} array<int>").schema.fields])
+        factory, most = self.factory, self.most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            use = factory()
+            for part in batches:
+                got = [[CLS, *x[:most]] for x in use([x or "" for x in part.column(text_col).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.list_(pa.int32()))], names=[*keep, out_col])
+
+        return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+
+    def chunks(self, docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+        """(keep..., chunk, ids, mask), a row a chunk."""
+        got = self.ids(docs, text_col, "_ids").select(*keep, F.explode(chunks(F.col("_ids"), self.chunk)).alias("_c"))
+        return got.select(*keep, "_c.chunk", "_c.ids", "_c.mask")
+
+
 def padded_length(length: int, chunk: int) -> int:
     """Tokens (without the leading one) after padding so that windows of chunk - 1 at steps of that less a tenth cover all."""
     overlap, width = chunk // 10, chunk - 1

@@ -186,3 +186,62 @@ def test_lemmas(spark):
     terms = spark.createDataFrame([(1, "cats", 2), (1, "cat", 1), (2, "dog", 1), (2, None, 1)], "doc int, term string, tf int")
     lemmas = spark.createDataFrame([("cats", "cat"), ("cats", "feline"), ("x", "y")], "term string, lemma string")
     assert sorted((r.doc, str(r.term), r.tf) for r in tfidf.lemmatised(terms, lemmas).collect()) == [(1, "cat", 1), (1, "cat", 2), (2, "None", 1), (2, "dog", 1)]
+
+
+def test_attention_kinds():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((7, 8))
+    assert explain.attention_reach(4, "causal").sum() == 10 and explain.attention_reach(4, "local", 2).sum() == 7
+    with pytest.raises(ValueError):
+        explain.attention_reach(3, "other")
+    for options in ({"heads": 2}, {"attention": "causal"}, {"attention": ("causal", "local"), "window": 2, "layers": 3}, {"feed_forward": 16, "heads": 4}, {"pooling": "first", "upto": 1, "layers": 2}):
+        model = explain.DetachedAttention(8, seed=1, **options)
+        pooled, relevance = model(x)
+        # No biases, and all that isn't linear is held constant: relevance sums to the features.
+        assert np.allclose(relevance.sum(1), pooled, atol=1e-6), options
+    # The first token of a causal encoder sees nothing but itself; with a window, a token sees no further back than layers reach.
+    first = explain.DetachedAttention(8, 2, attention="causal", pooling="first")
+    assert np.allclose(first(x)[0], first(np.vstack([x[:1], x[1:] * 3]))[0]) and np.abs(first(x)[1][:, 1:]).max() == 0
+    one, full = explain.DetachedAttention(8, 1, heads=1), explain.DetachedAttention(8, 1, heads=2)
+    assert not np.allclose(one(x)[0], full(x)[0])
+
+
+def test_checkpoints_with_other_names(tmp_path):
+    rng = np.random.default_rng(4)
+    path = str(tmp_path / "w.npz")
+    np.savez(path, **{"module.encoder.0.q": rng.standard_normal((4, 4)), "0.bias": np.ones(4), "module.encoder.0.up": rng.standard_normal((4, 6)), "module.encoder.0.down": rng.standard_normal((6, 4))})
+    state = explain.load_state(path, (("module.encoder.", ""), ("module.", "x.")))
+    assert sorted(state) == ["0.bias", "0.down", "0.q", "0.up"]
+    model, x = explain.DetachedAttention(4), rng.standard_normal((3, 4))
+    before = model(x)[0]
+    model.load(state)
+    assert (model.weights[0][0] == state["0.q"]).all() and not np.allclose(before, model(x)[0])
+    with pytest.raises(KeyError):
+        model.load({"0.other": x})
+    with pytest.raises(ValueError):
+        explain.load_state(path, (("module.encoder.0.q", "0.bias"),))
+
+
+def test_long_tokenizer(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "w " * 300)], "doc_id int, text string")
+    long = encoders.LongTokenizer(encoders.word_tokenizer(), max_document_tokens=100, max_chunk_tokens=32)
+    ids = {r.doc_id: r.ids for r in long.ids(docs, "text").collect()}
+    assert [len(ids[i]) for i in (1, 2, 3)] == [4, 1, 101] and all(x[0] == encoders.CLS and min(x[1:], default=999) > encoders.CLS for x in ids.values())
+    rows = long.chunks(docs, "text", ["doc_id"]).collect()
+    assert max(len(r.ids) for r in rows) == 32 and {r.doc_id for r in rows} == {1, 2, 3} and sum(r.doc_id == 3 for r in rows) > 3
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert len(encoders.LongTokenizer(encoders.file_tokenizer(path)).ids(docs, "text").where("doc_id = 1").first().ids) == 4
+
+
+def test_encoding_keeps_order_and_takes_one_text(spark):
+    lengths = []
+
+    def factory():
+        return lambda texts: np.array([[len(x), texts.index(x)] for x in texts], float)
+
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([3, 9, 1, 7, 0])], "i int, text string").coalesce(1)
+    got = encoders.encode(docs, "text", factory, batch=2).orderBy("i").collect()
+    assert [r.embedding for r in got] == [[3, 0], [9, 0], [1, 1], [7, 1], [0, 0]] and not lengths
+    assert encoders.encode_texts(spark, "one", encoders.hashing_encoder(4)).count() == 1 and encoders.encode_texts(spark, ["a", "b"], encoders.hashing_encoder(4)).count() == 2
