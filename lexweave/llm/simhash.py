@@ -14,7 +14,7 @@ a spanning star of each component it sees, never all pairs; the stars are joined
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +79,7 @@ class GrayIndex:
 
     def __init__(self, key: np.ndarray, fp: np.ndarray):
         order = np.lexsort((gray_rank(fp), key))
-        self.key, self.fp = key[order], fp[order]
+        self.order, self.key, self.fp = order, key[order], fp[order]
         n = len(fp)
         key, lo, hi = self.key, np.arange(n), np.arange(1, n + 1)
         self.levels = [(lo, hi, self.fp, np.full(n, ~np.uint64(0)))]
@@ -101,6 +101,15 @@ class GrayIndex:
         """(fp, smaller fp of its component) for every entry that links to another."""
         n = len(self.fp)
         label = np.arange(n)
+        self.walk(radius, label, lambda a, b: self._join(label, a, b))
+        linked = np.flatnonzero(label != np.arange(n))
+        return self.fp[linked], self.fp[label[linked]]
+
+    def walk(self, radius: int, label: np.ndarray, leaf: Callable[[np.ndarray, np.ndarray], None]) -> None:
+        """Give leaf() the pairs of entries within `radius` bits, block by block, but for those that label says are in one component.
+
+        leaf() may unite components in label; what it unites is pruned from then on.
+        """
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top][0]))
         stack = [(top, roots, roots)]
@@ -114,7 +123,7 @@ class GrayIndex:
             near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius
             a, b = a[near], b[near]
             if level == 0:
-                self._join(label, a[a != b], b[a != b])
+                leaf(a[a != b], b[a != b])
                 continue
             # Pairs of nodes that lie in one component already hold nothing new.
             least, most = np.minimum.reduceat(label, lo), np.maximum.reduceat(label, lo)
@@ -135,8 +144,6 @@ class GrayIndex:
             x, y = x[go], y[go]
             if len(x):
                 stack.append((level - 1, x, y))
-        linked = np.flatnonzero(label != np.arange(n))
-        return self.fp[linked], self.fp[label[linked]]
 
     @staticmethod
     def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -220,21 +227,6 @@ def groups(got: DataFrame, order: str, radius: int = RADIUS) -> DataFrame:
     return named.join(named.groupBy("root").agg(F.min("least").alias("smallest")), "root").select("fp", F.col("smallest").alias("least"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each component: that with the smallest id, null ids last, and of different texts with that id one decided by hash.
-
-    So rows that share an id but not a component each stand for their own component, and rows without an id take part like any other. Columns keep
-    their names whatever these are.
-    """
-    named = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    ident, text = F.col(named[id_col]), F.col(named[text_col])
-    rows = docs.withColumnsRenamed(named).withColumns({"_id": F.concat(F.when(ident.isNull(), "n").otherwise("i"), F.coalesce(ident.cast("string"), F.lit(""))), "_text": F.xxhash64(F.coalesce(text, F.lit("")))})
-    got = settle(fingerprints(rows, "_id", named[text_col], ["_id", "_text", named[id_col]]), "simhash")
-    got = got.select("fp", F.struct(ident.isNull().alias("nameless"), ident.alias("ident"), "_text", "_id").alias("order"))
-    kept = groups(got, "order", radius).select("least._id", "least._text").distinct()
-    return rows.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select([F.col(v).alias(k) for k, v in named.items()])
-
-
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -4,13 +4,13 @@ import re
 from collections import Counter
 
 import pytest
-import xxhash
 
 import corpus_pipeline
-from lexweave.llm import mixing, simhash, toxicity
+from lexweave.llm import mixing, similar, toxicity
 from lexweave.llm.common import settle
 
 from .test_mixing import targets
+from .test_similar import survivors
 
 
 @pytest.fixture(scope="module")
@@ -42,19 +42,8 @@ def test_one_document_of_each_group_stays(stages):
     docs, out = stages[1]
     rows = docs.collect()
 
-    def fp(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))] if words else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    fps = {r.doc_id: fp(r.text) for r in rows}
-    root = {i: i for i in fps}
-    for _ in fps:
-        new = {i: min(root[j] for j in fps if bin(fps[i] ^ fps[j]).count("1") <= 3) for i in fps}
-        if new == root:
-            break
-        root = new
-    assert sorted(r.doc_id for r in out.collect()) == sorted(set(root.values()))
+    want = survivors([(r.doc_id, r.text) for r in rows])
+    assert {r.doc_id for r in out.collect()} == want and out.count() == len(want)
     assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in rows}
 
 
@@ -62,7 +51,7 @@ def test_rows_that_share_an_id_or_have_none(spark):
     a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
     rows = [(1, a, 0), (1, b, 0), (1, a, 0), (2, b, 0), (None, c, 0), (None, c, 0), (3, None, 0), (None, "", 0), (None, a, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
-    got = sorted(tuple(map(str, r)) for r in simhash.keep_one(docs).collect())
+    got = sorted(tuple(map(str, r)) for r in similar.keep_one(docs).collect())
     assert got == sorted([("1", a, "0"), ("1", b, "0"), ("None", c, "0"), ("3", "None", "0")])
 
 

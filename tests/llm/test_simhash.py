@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexweave.llm import simhash
+from lexweave.llm import similar, simhash
 from lexweave.llm.common import components
 
 
@@ -86,7 +86,7 @@ def test_documents(spark):
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, fp int")
     got = sorted(((r.doc_id if r.doc_id is not None else -1), r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(-1, 3), (1, 1), (2, 1), (3, 3), (5, 3), (7, 7), (7, 7), (8, 1), (9, 3)]
-    kept = simhash.keep_one(docs)
+    kept = similar.keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "7"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
