@@ -5,9 +5,12 @@ label's unit vectors, so that labels whose vectors lie close together are told a
 lexicographically, and each one is compared with the WINDOW that follow it. Vectors travel as they came and are normalised in double precision where they are compared. Pairs at
 or above the threshold unite; what unites over all passes is a candidate class.
 
-Recall. After each round of passes, QUERIES rows of each label (all, if it has no more) are compared with every row of their label; while more
-than a share of 1 - RECALL of the links so seen joins two classes, the label gets another round with hyperplanes of its own. Labels that
-ROUNDS rounds do not settle are compared in full, in blocks. Links the queries saw count whether a pass found them or not.
+Rounds. A label of more than QUERIES rows gets further rounds of passes, each with hyperplanes of its own, up to ROUNDS and for as long as a round
+adds more than a share of 1 - RECALL to the rows that joined a class; this is counted over all rows. Rounds only make the next step cheaper.
+
+The rest, exactly. Every pair of classes of a label that passes left apart is compared, in blocks: by their balls (mean and largest distance from
+it), and row by row where the balls are close enough for a link. So no link is missed, however few passes met it. A label's distinct vectors
+are compared in full this way, whose work grows with the square of its classes.
 
 The window bounds comparisons, not partners: afterwards every class is compared in full, in blocks of at most BLOCK rows spread over
 tasks, so a vector's links inside its class are exact however many there are. A pass and the blocks report spanning links and counts,
@@ -29,8 +32,8 @@ THRESHOLD = 0.98
 PASSES, HASH_BITS, WINDOW = 8, 60, 64
 #: Rows of a class compared at once; smaller classes are cut into up to LEAST_BLOCKS blocks of LEAST_BLOCK rows all the same, so that they spread over tasks.
 BLOCK, LEAST_BLOCK, LEAST_BLOCKS = 1024, 256, 4
-#: Rows of a label, and queries, compared at once to measure recall; in steps of STEP rows.
-SEEN_BLOCK, STEP = 4096, 512
+#: The rest of a label is compared in up to SEEN_BLOCKS blocks of at least SEEN_BLOCK rows, more only where a block would be over SEEN_BYTES; in steps of STEP rows or CELLS cells.
+SEEN_BLOCK, SEEN_BLOCKS, SEEN_BYTES, STEP, CELLS = 4096, 12, 1 << 24, 512, 1 << 22
 QUERIES, RECALL, ROUNDS = 4096, 0.98, 8
 SEED = 20240229
 
@@ -198,32 +201,50 @@ def _count_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
         yield count(group)
 
 
+def _balls(x: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows sorted by class; for each class its name, first row, mean and largest distance from it."""
+    order = np.argsort(cls, kind="stable")
+    x, cls = x[order], cls[order]
+    first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+    size = np.diff(np.r_[first, len(cls)])
+    centre = np.add.reduceat(x, first) / size[:, None]
+    away = x - np.repeat(centre, size, axis=0)
+    return x, cls[first], first, size, centre, np.sqrt(np.maximum.reduceat((away * away).sum(axis=1), first))
+
+
 def _see(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (code, asked, block), queries of a block and rows of one: spanning links, and of all links how many join two classes."""
-    for group in _groups(batches, ("code", "asked", "block")):
-        rep, cls, query = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "class", "query"))
-        left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-        table = group.combine_chunks().to_batches()[0]
-        for rows, x in _by_dim(table):
-            r = np.flatnonzero(~query[rows])
-            asked = np.flatnonzero(query[rows])
-            for at in range(0, len(asked), STEP):
-                q = asked[at : at + STEP]
-                i, j = np.nonzero(x[q] @ x[r].T >= threshold)
-                i, j = rows[q][i], rows[r][j]
-                other = rep[i] != rep[j]
-                left.append(i[other])
-                right.append(j[other])
+    """Rows sorted by (code, low, high): spanning pairs of the classes that a link joins."""
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold))
+    for group in _groups(batches, ("code", "low", "high")):
+        cls, mine = (group.column(c).to_numpy() for c in ("class", "mine"))
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        x, p, q = _matrix(group.column("vec").combine_chunks()), mine == low, mine == high
+        if not (p.any() and q.any()):
+            continue
+        xa, name_a, first, size, mean_a, far_a = _balls(x[p], cls[p])
+        xb, name_b, _, size_b, mean_b, far_b = _balls(x[q], cls[q])
+        of_b = np.repeat(np.arange(len(name_b)), size_b)
+        norm_a, norm_b = (mean_a * mean_a).sum(axis=1), (mean_b * mean_b).sum(axis=1)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, min(STEP, CELLS // len(xb)))
+        for at in range(0, len(name_a), step):
+            a = slice(at, at + step)
+            gap = norm_a[a, None] + norm_b - 2 * (mean_a[a] @ mean_b.T)
+            near = gap <= (far_a[a, None] + far_b + reach) ** 2 + 1e-9
+            near &= name_a[a, None] < name_b if low == high else name_a[a, None] != name_b
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                rows = np.flatnonzero(near[k][of_b])
+                there, begin, end = np.zeros(len(name_b), bool), first[at + k], first[at + k] + size[at + k]
+                for lo in range(begin, end, step):
+                    there[of_b[rows[(xa[lo : min(end, lo + step)] @ xb[rows].T >= threshold).any(axis=0)]]] = True
+                other = name_b[there]
+                left.append(np.full(len(other), name_a[at + k]))
+                right.append(other)
         i, j = np.concatenate(left), np.concatenate(right)
-        # A query that is a row of the block as well stands there twice, with one rep.
-        _, name = np.unique(rep, return_inverse=True)
-        first = np.unique(name, return_index=True)[1]
-        root = _unite(len(first), name[i], name[j])
-        linked = np.flatnonzero(root != np.arange(len(first)))
-        n = len(linked)
-        code = group.column("code")[0].as_py()
-        cols = ([code] * (n + 1), [None, *rep[first[linked]].tolist()], [None, *rep[first[root[linked]]].tolist()], [len(i), *[None] * n], [int((cls[i] != cls[j]).sum()), *[None] * n])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["code", "a", "b", "links", "missed"])
+        names, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        root = _unite(len(names), place[: len(i)], place[len(i) :])
+        linked = np.flatnonzero(root != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], names=["a", "b"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -242,20 +263,26 @@ def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[
         yield held
 
 
-def seen(reps: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, queries: int | None) -> DataFrame:
-    """(code, a, b) of spanning links and (code, links, missed) of each block: `queries` rows a label (None: all) against all rows of labels(label, rows, code)."""
-    rows = reps.select("label", "rep", "vec").join(labels, "label").join(classes, F.col("rep") == F.col("node"), "left")
-    asked = F.col("rows") if queries is None else F.least("rows", F.lit(queries))
-    blocks, asked_blocks = F.ceil(F.col("rows") / SEEN_BLOCK).cast("int"), F.ceil(asked / SEEN_BLOCK).cast("int")
-    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    # The queries: as large a share of the hash values as asked for.
-    chosen = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20)) < F.ceil(asked * (1 << 20) / F.col("rows"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = [F.col("rep"), F.coalesce("root", "rep").alias("class"), "vec"]
-    dealt = rows.select("code", upto(asked_blocks).alias("asked"), place(blocks).alias("block"), F.lit(False).alias("query"), *own)
-    dealt = dealt.unionByName(rows.where(chosen).select("code", place(asked_blocks).alias("asked"), upto(blocks).alias("block"), F.lit(True).alias("query"), *own))
-    dealt = dealt.repartition("code", "asked", "block").sortWithinPartitions("code", "asked", "block")
-    return settle(dealt.mapInArrow(lambda b: _see(b, threshold), "code long, a long, b long, links long, missed long"), "embeddings-seen")
+def merged(reps: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels(label, dim, rows, code) with merged: how many rows of each joined another's class."""
+    moved = reps.select("label", "rep", F.size("vec").alias("dim")).join(classes.where("node <> root"), F.col("rep") == F.col("node"))
+    of = moved.groupBy("label", "dim").agg(F.count("*").alias("merged"))
+    return settle(labels.join(of, ["label", "dim"], "left").select(*labels.columns, F.coalesce("merged", F.lit(0)).cast("long").alias("merged")), "embeddings-merged")
+
+
+def seen(reps: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): spanning links between the classes of labels(label, dim, rows, code, merged), from all pairs of rows whose classes differ."""
+    sizes = classes.groupBy("root").agg(F.count("*").alias("size"))
+    known = classes.join(sizes, "root").select("node", "root", "size")
+    rows = reps.select("label", F.size("vec").alias("dim"), "rep", "vec").join(labels.where(F.col("rows") - F.col("merged") > 1), ["label", "dim"])
+    rows = rows.join(known, F.col("rep") == F.col("node"), "left").withColumns({"class": F.coalesce("root", "rep"), "size": F.coalesce("size", F.lit(1))})
+    rows = rows.withColumn("blocks", F.least(F.ceil(F.col("rows") / SEEN_BLOCK), F.greatest(F.lit(SEEN_BLOCKS), F.ceil(F.col("rows") * F.col("dim") * 8 / SEEN_BYTES))).cast("int"))
+    # Members of a class lie in one block, or in one for each LEAST_BLOCK of them, so that blocks hold few balls.
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / LEAST_BLOCK))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("class", part), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("code", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "vec")
+    dealt = dealt.repartition("code", "low", "high").sortWithinPartitions("code", "low", "high")
+    return settle(dealt.mapInArrow(lambda b: _see(b, threshold), "a long, b long"), "embeddings-seen")
 
 
 def _passes(rows: DataFrame, found: DataFrame | None, threshold: float, passes: int, window: int) -> DataFrame:
@@ -276,25 +303,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     ignored; an empty table gives no rows.
     """
     reps = representatives(vectors, id_col, vec_col, label_col)
-    # A label of no more rows than a window is compared in full by any pass.
-    counted = reps.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") > window + 1)
+    counted = reps.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("rows")).where("rows > 1")
     labels = settle(counted.withColumn("code", F.monotonically_increasing_id()), "embeddings-labels")
     means = centres(reps)
-    found, checked, waiting, rows = None, None, labels, hashed(reps, means, passes)
+    found, before, rows = None, None, hashed(reps, means, passes)
     for turn in range(ROUNDS):
         found = _passes(rows, found, threshold, passes, window)
         classes = settle(components(found, "embeddings-links"), "embeddings-classes")
-        looked = seen(reps, classes, waiting, threshold, QUERIES)
-        checked = looked if checked is None else checked
-        short = looked.groupBy("code").agg(F.sum("links").alias("links"), F.sum("missed").alias("missed")).where(F.col("missed") > (1 - RECALL) * F.col("links"))
-        waiting = settle(waiting.join(short.select("code"), "code", "left_semi").select("label", "rows", "code"), "embeddings-waiting")
-        if waiting.isEmpty():
+        labels = merged(reps, classes, labels.select("label", "dim", "rows", "code"))
+        gained = labels.where(F.col("rows") > QUERIES)
+        if before is not None:
+            gained = gained.join(before, "code").where(F.col("merged") - F.col("earlier") > (1 - RECALL) * F.col("merged"))
+        waiting = settle(gained.where("merged > 0").select("label", "code", F.col("merged").alias("earlier")), "embeddings-waiting")
+        if turn + 1 == ROUNDS or waiting.isEmpty():
             break
-        if turn + 1 < ROUNDS:
-            rows = hashed(reps.join(waiting.select("label"), "label", "left_semi"), means, passes, turn + 1)
-    else:
-        found = found.unionByName(seen(reps, classes, waiting, threshold, None).where("a is not null").select("a", "b"))
-    found = found.unionByName(checked.where("a is not null").select("a", "b"))
+        before = waiting.select("code", "earlier")
+        rows = hashed(reps.join(waiting.select("label").distinct(), "label", "left_semi"), means, passes, turn + 1)
+    found = found.unionByName(seen(reps, classes, labels, threshold))
     classes = settle(components(found, "embeddings-links"), "embeddings-classes")
     members = reps.select("rep", "n", "vec").join(classes, reps.rep == classes.node)
     size = F.count("*")

@@ -113,3 +113,52 @@ def test_recall_in_a_tight_label(spark, monkeypatch, rounds):
     table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = sum(r.n_links for r in E.near_duplicates(table, window=4).select("n_links").collect())
     assert links > 1000 and (0.9 * links <= got <= links if rounds > 1 else got == links)
+
+
+@pytest.mark.parametrize("partitions", ["4", "211"])
+def test_links_that_no_query_sample_meets(spark, monkeypatch, partitions):
+    """A label whose rare links the passes miss, besides a large class: every link counts, however many rows were looked at."""
+    monkeypatch.setattr(E, "QUERIES", 100)
+    monkeypatch.setattr(E, "SEEN_BLOCK", 700)
+    monkeypatch.setattr(E, "LEAST_BLOCK", 64)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 32)) / np.sqrt(32) * 0.4
+    x[:, 0] += 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1:120:2] = x[:120:2] + rng.standard_normal((60, 32)) / np.sqrt(32) * 0.19
+    x[5000:5400] = x[5000] + rng.standard_normal((400, 32)) / np.sqrt(32) * 0.13
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.vec_id: r for r in E.near_duplicates(table, passes=1, window=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert near.sum() > 5000 and [got[i].n_links for i in range(6000)] == near.sum(axis=1).tolist()
+    least = np.arange(6000)
+    while True:
+        now = np.minimum(least, np.where(near, least, 6000).min(axis=1))
+        if np.array_equal(now, least):
+            break
+        least = now
+    assert [got[i].component_id for i in range(6000)] == least.tolist()
+
+
+def test_balls_hide_no_link():
+    """Classes as balls, split over blocks or not, give the components of all pairs."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((40, 8))
+    x = np.repeat(base, 6, axis=0) + rng.standard_normal((240, 8)) * rng.uniform(0.02, 0.3, (240, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cls = np.where(rng.random(240) < 0.5, np.arange(240) // 6 * 6, np.arange(240))
+    near = unit @ unit.T >= 0.98
+    rows = [(0, min(m, o), max(m, o), m, int(c), v.tolist()) for m, c, v in zip(np.arange(240) % 3, cls, x) for o in range(3)]
+    rows.sort(key=lambda r: r[:3])
+    batch = E.pa.RecordBatch.from_pylist([dict(zip(("code", "low", "high", "mine", "class", "vec"), r)) for r in rows])
+    i, j = np.nonzero(near)
+    want = E._unite(240, np.r_[i, np.arange(240)], np.r_[j, cls])
+    got = E.pa.Table.from_batches(E._see(iter([batch.slice(at, 37) for at in range(0, len(rows), 37)]), 0.98))
+    a, b = (got.column(c).to_numpy() for c in "ab")
+    assert len(np.unique(want)) < 200 and np.array_equal(E._unite(240, np.r_[a, np.arange(240)], np.r_[b, cls]), want)
