@@ -11,9 +11,13 @@ Two texts are linked when the sets of their five-word shingles have a Jaccard si
 * Below a top node a GrayIndex is walked at growing radii over 64 bits, pairs of leaves are compared over 128. Only pairs that unite two
   components of that task are kept: a spanning forest of the nearest pairs, not all pairs of a group.
 * The forests' edges are checked exactly against the shingle sets, and the links found are joined across tasks by components().
+* The rest, exactly. Sort every set by one order of all shingles: two sets with a Jaccard similarity of at least t share one of their first
+  n - ceil(t n) + 1. Texts of different components that share such a shingle, and whose sizes and places of it leave room for t, are
+  compared: first one pair for each two components, so that large groups join, then every pair that still lies in two. Any order gives
+  the same links; shingles common among up to COMMON_TEXTS texts come last, which only saves work.
 
-What can be missed: a pair that agrees in no deal, that differs in more bits than the radii, or whose place in every forest was taken by
-nearer pairs of which one fails the exact check. Nothing below the similarity is ever linked directly. Hashes of words, shingles and whole texts have 64 bits.
+So every pair at or above the similarity lies in one component, whatever the index missed, and nothing below it is ever linked directly. Hashes of words,
+shingles and whole texts have 64 bits.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle, split_words, texts_of, with_columns
+from .common import components, discard, settle, slices, split_words, texts_of, with_columns
 from .simhash import ENTRIES_AT_ONCE, HOT_ENTRIES, SEED, GrayIndex
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -43,6 +47,14 @@ RADII, TREE_RADIUS = (4, 8, 12, 16, 20, 24, 28), 16
 RUN = 4 * ENTRIES_AT_ONCE
 #: Keys up to which a table of keys alone is broadcast (16 to 40 bytes each).
 BROADCAST_KEYS = 500_000
+#: Texts whose common shingles are put last, and how many of these; no result depends on either.
+COMMON_TEXTS, COMMON = 20_000, 200_000
+#: Texts with one shingle that are paired at once; a shingle of more is dealt in pairs of blocks.
+HOLDERS = 2048
+#: Texts of a component that look for another one, for each shingle, before all of them do.
+FEW = 4
+#: Texts a task remembers so as not to repeat their shingles.
+REMEMBERED = 1 << 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _OFFSETS = np.arange(1, SKETCH + 1, dtype=np.uint64) * _STEP
 
@@ -191,7 +203,153 @@ def verified(edges: DataFrame, texts: DataFrame, text_col: str, width: int = WID
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     both = edges.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared / (F.size("of_a") + F.size("of_b") - shared) >= similarity).select("a", "b")
+    found = settle(both.where(shared / (F.size("of_a") + F.size("of_b") - shared) >= similarity).select("a", "b"), "similar-linked")
+    discard(sets)
+    return found
+
+
+def common_shingles(rows: DataFrame, text_col: str, n: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several of about COMMON_TEXTS texts have, at most COMMON, and in how many: what the order of shingles puts last."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = [], set()
+
+        def out() -> pa.RecordBatch:
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token[times > 1].view(np.int64)), pa.array(times[times > 1])], names=["token", "times"])
+
+        for part in slices(batches):
+            for text in set(texts_of(part, text_col)) - known:
+                held.append(shingle_set(split_words(text), width))
+                known.add(text)
+            if sum(map(len, held)) > 1 << 22:
+                yield out()
+                held.clear()
+                known.clear()
+        if held:
+            yield out()
+
+    some = rows.select(text_col).where(F.pmod(F.xxhash64(text_col, F.lit(2)), F.lit(max(1, n // COMMON_TEXTS))) == 0).repartition(8)
+    top = some.mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(COMMON).toArrow()
+    token, times = top.column("token").to_numpy().view(np.uint64), top.column("times").to_numpy()
+    order = np.argsort(token)
+    return token[order], times[order]
+
+
+def prefixes(rows: DataFrame, text_col: str, common: tuple[np.ndarray, np.ndarray], width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(token, node, place): the first shingles of every text's set; place is the set's size and the shingle's rank in it. Texts of fewer than `width` words have none."""
+    names, times = rows.sparkSession.sparkContext.broadcast(common[0]), common[1]
+    times = rows.sparkSession.sparkContext.broadcast(times)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        last, often = names.value, times.value
+        for part in slices(batches):
+            token, node, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text in texts_of(part, text_col):
+                words = split_words(text)
+                name = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+                if len(words) < width or name in known:
+                    continue
+                known.add(name)
+                got = shingle_set(words, width)
+                n = len(got)
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, got), len(last) - 1)
+                    got = got[np.argsort(np.where(last[at] == got, often[at], 0), kind="stable")]
+                first = min(n, n - math.ceil(similarity * n - 1e-9) + 1)
+                token.append(got[:first])
+                node.append(np.full(first, name, np.uint64))
+                place.append((np.int64(n) << np.int64(32)) + np.arange(first))
+            if len(known) > REMEMBERED:
+                known.clear()
+            cols = [np.concatenate(token).view(np.int64), np.concatenate(node).view(np.int64), np.concatenate(place)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "node", "place"])
+
+    return rows.select(text_col).mapInArrow(run, "token long, node long, place long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], by: int) -> Iterator[np.ndarray]:
+    """Integer columns of sorted batches, in runs of at least ENTRIES_AT_ONCE rows that part no group of the first `by` columns."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy() for c in columns]))
+        if sum(x.shape[1] for x in held) >= ENTRIES_AT_ONCE:
+            rows = np.concatenate(held, axis=1)
+            same = (rows[:by] == rows[:by, -1:]).all(axis=0)
+            cut = rows.shape[1] - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield rows[:, :cut]
+            held = [rows[:, cut:]]
+    if held and (rows := np.concatenate(held, axis=1)).shape[1]:
+        yield rows
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token and node: those of tokens that several nodes have, once a node."""
+    for rows in _runs(batches, ("token", "node", "place"), 1):
+        rows = rows[:, np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]]
+        same = rows[0, 1:] == rows[0, :-1]
+        rows = rows[:, np.r_[same, False] | np.r_[False, same]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows], names=["token", "node", "place"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch], similarity: float, few: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (token, low, high, root): pairs of nodes of different roots that may be similar; if few, once in a while one for two roots."""
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(found, axis=1)
+        order = np.lexsort(rows[2:] if few else rows[:2])
+        rows = rows[:, order]
+        key = rows[2:] if few else rows[:2]
+        rows = rows[:, np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]] if rows.shape[1] else rows
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows], names=["a", "b", "root_a", "root_b"])
+
+    for rows in _runs(batches, ("token", "low", "high", "mine", "node", "root", "place"), 3):
+        mine, node, root, size, at = rows[3], rows[4], rows[5], rows[6] >> 32, rows[6] & 0xFFFFFFFF
+        new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]
+        end = np.append(np.flatnonzero(new)[1:], rows.shape[1])[np.cumsum(new) - 1]
+        # Each row meets those after its root's run; of a run only the first rows if few are wanted.
+        turn = new | np.r_[True, root[1:] != root[:-1]]
+        run = np.cumsum(turn) - 1
+        after = np.append(np.flatnonzero(turn)[1:], rows.shape[1])[run]
+        whole = rows[1] == rows[2]
+        i, gap, found, held = np.arange(rows.shape[1]), 0, [np.zeros((4, 0), np.int64)], 0
+        if few:
+            i = i[i - np.flatnonzero(turn)[run] < FEW]
+        while len(i := i[after[i] + gap < end[i]]):
+            j = after[i] + gap
+            gap += 1
+            near = whole[i] | (mine[i] != mine[j])
+            x, y = i[near], j[near]
+            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            room = np.minimum(size[x] - at[x], size[y] - at[y])
+            near = (small >= similarity * large - 1e-6) & (room * (1 + similarity) >= similarity * (small + large) - 1e-6)
+            x, y = x[near], y[near]
+            swap = node[x] < node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            found.append(np.stack([node[x], node[y], root[x], root[y]]))
+            held += len(x)
+            if held >= RUN:
+                yield out(found)
+                found, held = [], 0
+        if held:
+            yield out(found)
+
+
+def pairs(shared: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, few: bool = False) -> DataFrame:
+    """(a, b), a > b: pairs of shared(token, node, place) that may be similar and lie in two components; if few, one pair for each two components."""
+    rows = shared.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "place")
+    hot = settle(rows.groupBy("token").agg(F.count("*").alias("held"), F.min("root").alias("one"), F.max("root").alias("other")).where((F.col("held") > HOLDERS) & (F.col("one") != F.col("other"))).select("token", "held"), "similar-hot")
+    small = hot.count() <= BROADCAST_KEYS
+    rows = rows.join((F.broadcast if small else lambda x: x)(hot), "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("held") / HOLDERS), F.lit(1)).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")).withColumn("place_of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    dealt = rows.select("token", F.least("mine", "place_of").alias("low"), F.greatest("mine", "place_of").alias("high"), "mine", "node", "root", "place")
+    dealt = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "root")
+    got = dealt.mapInArrow(lambda b: _paired(b, similarity, few), "a long, b long, root_a long, root_b long")
+    if few:
+        got = got.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
+    return got.select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -209,10 +367,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     got = sketches(rows, ["_id", "_text", named[id_col]], text).select("node", *bits, order.alias("order"))
     entries = settle(got.groupBy("node").agg(F.min("order").alias("least"), *[F.min(b).alias(b) for b in bits]), "similar-entries")
     edges = settle(candidates(entries), "similar-edges")
-    ends = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(entries, "node").select("node", "least._id", "least._text"), "similar-ends")
-    small = (F.broadcast if ends.count() <= BROADCAST_KEYS else lambda x: x)(ends)
-    links = verified(edges, rows.join(small, ["_id", "_text"]).select("node", text).dropDuplicates(["node"]), text, width, similarity)
-    roots = components(links, "similar-links")
+
+    def linked(edges: DataFrame) -> DataFrame:
+        ends = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(entries, "node").select("node", "least._id", "least._text"), "similar-ends")
+        small = (F.broadcast if ends.count() <= BROADCAST_KEYS else lambda x: x)(ends)
+        return verified(edges, rows.join(small, ["_id", "_text"]).select("node", text).dropDuplicates(["node"]), text, width, similarity)
+
+    links = linked(edges)
+    roots = settle(components(links, "similar-links"), "similar-roots")
+    common = common_shingles(rows, text, entries.count(), width)
+    first = prefixes(rows, text, common, width, similarity).repartition("token").sortWithinPartitions("token", "node")
+    shared = settle(first.mapInArrow(_shared, "token long, node long, place long"), "similar-shared")
+    checked = edges
+    for few in (True, False):
+        rest = settle(pairs(shared, roots, similarity, few).join(checked, ["a", "b"], "left_anti"), "similar-rest")
+        if few:
+            checked = checked.unionByName(rest)
+        links = links.unionByName(linked(rest))
+        roots = settle(components(links, "similar-links"), "similar-roots")
+    discard(shared)
     held = entries.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = held.groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._text")
     return rows.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select([F.col(v).alias(k) for k, v in named.items()])

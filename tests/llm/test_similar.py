@@ -108,3 +108,29 @@ def test_odd_texts_are_similar_to_their_equals_alone(spark, text):
     docs = spark.createDataFrame([(1, text, 1, 1), (2, text, 2, 2), (3, other, 3, 3), (3, other, 3, 3), (None, other, 4, 4)], "doc_id long, text string, node int, s0 int")
     assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [1, 3]
     assert similar.keep_one(docs.limit(0)).columns == docs.columns and similar.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("found, holders", [(0.97, 2048), (0.05, 2048), (0.05, 8)])
+def test_no_similar_pair_stays_apart(spark, monkeypatch, found, holders):
+    """Pairs that the index doesn't meet are found by the rest, with common lines, groups of near copies and shingles held by many."""
+    monkeypatch.setattr(similar, "FOUND", found)
+    monkeypatch.setattr(similar, "HOLDERS", holders, raising=False)
+    monkeypatch.setattr(similar, "ENTRIES_AT_ONCE", 256)
+    rng, rows = random.Random(11), graded(seed=8)
+    line = " ".join(f"licence{i}" for i in range(30))
+    rows = [(i, f"{line} {t}" if i % 2 else t) for i, t in rows]
+    base = [f"w{rng.randrange(400)}" for _ in range(200)]
+    rows += [(1000 + i, " ".join(edited(rng, base, rng.randrange(0, 9)))) for i in range(80)]
+    rows += [(2000 + i, f"{line} {line[: 80 + 10 * i]}") for i in range(12)]
+    # Sets of 9 and 10 shingles with 8 in common, and ones at 0.8 exactly and just below.
+    rows += [(3000, "a b c d e f g h i j k l"), (3001, "a b c d e f g h i j k l m"), (3002, "p q r s t u v w"), (3003, "p q r s t u v w x"), (3004, "m n o p"), (3005, "m n o p q")]
+    assert kept(spark, rows) == survivors(rows)
+
+
+def test_any_order_of_shingles_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(similar, "FOUND", 0.05)
+    rows = graded(seed=21, bases=25)
+    want = survivors(rows)
+    for most in (0, 50):
+        monkeypatch.setattr(similar, "COMMON", most, raising=False)
+        assert kept(spark, rows) == want
