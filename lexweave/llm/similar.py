@@ -381,6 +381,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     checked = edges
     for few in (True, False):
         rest = settle(pairs(shared, roots, similarity, few).join(checked, ["a", "b"], "left_anti"), "similar-rest")
+        if rest.isEmpty():
+            continue
         if few:
             checked = checked.unionByName(rest)
         links = links.unionByName(linked(rest))
