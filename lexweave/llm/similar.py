@@ -12,9 +12,12 @@ Two texts are linked when the sets of their five-word shingles have a Jaccard si
   components of that task are kept: a spanning forest of the nearest pairs, not all pairs of a group.
 * The forests' edges are checked exactly against the shingle sets, and the links found are joined across tasks by components().
 * The rest, exactly. Sort every set by one order of all shingles: two sets with a Jaccard similarity of at least t share one of their first
-  n - ceil(t n) + 1. Texts of different components that share such a shingle, and whose sizes and places of it leave room for t, are
-  compared: first one pair for each two components, so that large groups join, then every pair that still lies in two. Any order gives
+  n - ceil(t n) + 1. Texts of different components that share such a shingle, and whose sizes and places of it leave room for t, meet:
+  first a few for each two components, so that large groups join, then all that still lie in two. Any order gives
   the same links; shingles common among up to COMMON_TEXTS texts come last, which only saves work.
+* Where texts meet, their parities rule out nearly all pairs below t: a bit tells whether an odd number of the set's hashes has that residue by
+  a power of two, so two sets differ in at least as many shingles as their parities in bits, and sets at t differ in at most
+  (1 - t) / (1 + t) of their sizes' sum. No pair at t or above is lost; those left are compared exactly.
 
 So every pair at or above the similarity lies in one component, whatever the index missed, and nothing below it is ever linked directly. Hashes of words,
 shingles and whole texts have 64 bits.
@@ -53,6 +56,8 @@ COMMON_TEXTS, COMMON = 20_000, 200_000
 HOLDERS = 2048
 #: Texts of a component that look for another one, for each shingle, before all of them do.
 FEW = 4
+#: Most 64-bit words of a text's parity, and pairs of parities held at once; no result depends on either.
+PARITY_WORDS, PARITIES = 64, 1 << 14
 #: Texts a task remembers so as not to repeat their shingles.
 REMEMBERED = 1 << 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -89,19 +94,27 @@ def sketch(words: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > len(got)).view(np.uint64)
 
 
-def sketches(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """(keep, node long, s0..s3 long): node is the hash of the whole word sequence."""
+def parity(shingles: np.ndarray) -> bytes:
+    """Bit i of the 64-bit words, low bits first: set where an odd number of the hashes is i modulo the bits, a power of two of at least twice the hashes up to PARITY_WORDS."""
+    wide = 64 * min(PARITY_WORDS, 1 << max(0, (2 * len(shingles) - 1).bit_length() - 6))
+    odd = np.bincount((shingles & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(docs: DataFrame, keep: list[str], text_col: str, width: int = WIDTH) -> DataFrame:
+    """(keep, node long, s0..s3 long, parity binary): node is the hash of the whole word sequence, parity that of its shingle set."""
 
     def add(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        node, bits = [], []
+        node, bits, odd = [], [], []
         for text in texts_of(part, text_col):
             words = split_words(text)
             node.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
             bits.append(sketch(words))
+            odd.append(parity(shingle_set(words, width)))
         wide = np.array(bits, np.uint64).reshape(-1, SKETCH).view(np.int64)
-        return {"node": pa.array(np.array(node, np.uint64).view(np.int64)), **{f"s{j}": pa.array(np.ascontiguousarray(wide[:, j])) for j in range(SKETCH)}}
+        return {"node": pa.array(np.array(node, np.uint64).view(np.int64)), **{f"s{j}": pa.array(np.ascontiguousarray(wide[:, j])) for j in range(SKETCH)}, "parity": pa.array(odd, pa.binary())}
 
-    return with_columns(docs.select(*keep, text_col), add, "node long, " + ", ".join(f"s{j} long" for j in range(SKETCH)), keep)
+    return with_columns(docs.select(*keep, text_col), add, "node long, " + ", ".join(f"s{j} long" for j in range(SKETCH)) + ", parity binary", keep)
 
 
 def deals(n: int) -> list[np.ndarray]:
@@ -269,44 +282,73 @@ def prefixes(rows: DataFrame, text_col: str, common: tuple[np.ndarray, np.ndarra
     return rows.select(text_col).mapInArrow(run, "token long, node long, place long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], by: int) -> Iterator[np.ndarray]:
-    """Integer columns of sorted batches, in runs of at least ENTRIES_AT_ONCE rows that part no group of the first `by` columns."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], by: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Integer columns of sorted batches, and all their columns, in runs of at least ENTRIES_AT_ONCE rows that part no group of the first `by` columns."""
     held: list[np.ndarray] = []
+    waiting: list[pa.Table] = []
     for batch in batches:
         held.append(np.stack([batch.column(c).to_numpy() for c in columns]))
+        waiting.append(pa.Table.from_batches([batch]))
         if sum(x.shape[1] for x in held) >= ENTRIES_AT_ONCE:
-            rows = np.concatenate(held, axis=1)
+            rows, all_of = np.concatenate(held, axis=1), pa.concat_tables(waiting)
             same = (rows[:by] == rows[:by, -1:]).all(axis=0)
             cut = rows.shape[1] - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield rows[:, :cut]
-            held = [rows[:, cut:]]
+                yield rows[:, :cut], all_of.slice(0, cut)
+            held, waiting = [rows[:, cut:]], [all_of.slice(cut)]
     if held and (rows := np.concatenate(held, axis=1)).shape[1]:
-        yield rows
+        yield rows, pa.concat_tables(waiting)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by token and node: those of tokens that several nodes have, once a node."""
-    for rows in _runs(batches, ("token", "node", "place"), 1):
+    for rows, _ in _runs(batches, ("token", "node", "place"), 1):
         rows = rows[:, np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]]
         same = rows[0, 1:] == rows[0, :-1]
         rows = rows[:, np.r_[same, False] | np.r_[False, same]]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows], names=["token", "node", "place"])
 
 
+def _differing(words: np.ndarray, start: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the parities of rows x and y differ, the longer folded; row r's words are those from start[r] to start[r + 1]."""
+    length, out = np.diff(start), np.zeros(len(x), np.int64)
+    least = np.minimum(length[x], length[y])
+
+    def folded(row: np.ndarray, to: int) -> np.ndarray:
+        got, own = np.empty((len(row), to), np.uint64), length[row]
+        for wide in np.unique(own):
+            at = np.flatnonzero(own == wide)
+            got[at] = np.bitwise_xor.reduce(words[start[row[at]][:, None] + np.arange(wide)].reshape(len(at), wide // to, to), axis=1)
+        return got
+
+    for to in np.unique(least):
+        of = np.flatnonzero(least == to)
+        for lo in range(0, len(of), PARITIES):
+            at = of[lo : lo + PARITIES]
+            out[at] = np.bitwise_count(folded(x[at], to) ^ folded(y[at], to)).sum(axis=1)
+    return out
+
+
 def _paired(batches: Iterator[pa.RecordBatch], similarity: float, few: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (token, low, high, root): pairs of nodes of different roots that may be similar; if few, once in a while one for two roots."""
+    for rows, all_of in _runs(batches, ("token", "low", "high", "mine", "node", "root", "place"), 3):
+        mine, node, root, size, at = rows[3], rows[4], rows[5], rows[6] >> 32, rows[6] & 0xFFFFFFFF
+        odd = pa.concat_arrays(all_of.column("parity").cast(pa.binary()).chunks)
+        start = np.frombuffer(odd.buffers()[1], np.int32)[odd.offset : odd.offset + len(odd) + 1].astype(np.int64) // 8
+        words = np.frombuffer(odd.buffers()[2], np.uint64, start[-1])
 
-    def out(found: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(found, axis=1)
-        order = np.lexsort(rows[2:] if few else rows[:2])
-        rows = rows[:, order]
-        key = rows[2:] if few else rows[:2]
-        rows = rows[:, np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]] if rows.shape[1] else rows
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows], names=["a", "b", "root_a", "root_b"])
+        def out(found: list[np.ndarray]) -> pa.RecordBatch:
+            x, y = np.concatenate(found, axis=1)
+            near = _differing(words, start, x, y) * (1 + similarity) <= (1 - similarity) * (size[x] + size[y]) + 1e-6
+            x, y = x[near], y[near]
+            swap = node[x] < node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            got = np.stack([node[x], node[y], root[x], root[y]])
+            got = got[:, np.lexsort(got[2:] if few else got[:2])]
+            key = got[2:] if few else got[:2]
+            got = got[:, np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]] if got.shape[1] else got
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in got], names=["a", "b", "root_a", "root_b"])
 
-    for rows in _runs(batches, ("token", "low", "high", "mine", "node", "root", "place"), 3):
-        mine, node, root, size, at = rows[3], rows[4], rows[5], rows[6] >> 32, rows[6] & 0xFFFFFFFF
         new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]
         end = np.append(np.flatnonzero(new)[1:], rows.shape[1])[np.cumsum(new) - 1]
         # Each row meets those after its root's run; of a run only the first rows if few are wanted.
@@ -314,7 +356,7 @@ def _paired(batches: Iterator[pa.RecordBatch], similarity: float, few: bool) ->
         run = np.cumsum(turn) - 1
         after = np.append(np.flatnonzero(turn)[1:], rows.shape[1])[run]
         whole = rows[1] == rows[2]
-        i, gap, found, held = np.arange(rows.shape[1]), 0, [np.zeros((4, 0), np.int64)], 0
+        i, gap, found, held = np.arange(rows.shape[1]), 0, [], 0
         if few:
             i = i[i - np.flatnonzero(turn)[run] < FEW]
         while len(i := i[after[i] + gap < end[i]]):
@@ -325,11 +367,8 @@ def _paired(batches: Iterator[pa.RecordBatch], similarity: float, few: bool) ->
             small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
             room = np.minimum(size[x] - at[x], size[y] - at[y])
             near = (small >= similarity * large - 1e-6) & (room * (1 + similarity) >= similarity * (small + large) - 1e-6)
-            x, y = x[near], y[near]
-            swap = node[x] < node[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            found.append(np.stack([node[x], node[y], root[x], root[y]]))
-            held += len(x)
+            found.append(np.stack([x[near], y[near]]))
+            held += found[-1].shape[1]
             if held >= RUN:
                 yield out(found)
                 found, held = [], 0
@@ -337,14 +376,16 @@ def _paired(batches: Iterator[pa.RecordBatch], similarity: float, few: bool) ->
             yield out(found)
 
 
-def pairs(shared: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, few: bool = False) -> DataFrame:
-    """(a, b), a > b: pairs of shared(token, node, place) that may be similar and lie in two components; if few, one pair for each two components."""
+def pairs(shared: DataFrame, roots: DataFrame, parities: DataFrame, similarity: float = SIMILARITY, few: bool = False) -> DataFrame:
+    """(a, b), a > b: pairs of shared(token, node, place) that may be similar and lie in two components, by parities(node, parity); if few, one pair for each two components."""
     rows = shared.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "place")
-    hot = settle(rows.groupBy("token").agg(F.count("*").alias("held"), F.min("root").alias("one"), F.max("root").alias("other")).where((F.col("held") > HOLDERS) & (F.col("one") != F.col("other"))).select("token", "held"), "similar-hot")
-    small = hot.count() <= BROADCAST_KEYS
-    rows = rows.join((F.broadcast if small else lambda x: x)(hot), "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("held") / HOLDERS), F.lit(1)).cast("int"))
+    # A shingle of one component alone leads to no pair.
+    met = settle(rows.groupBy("token").agg(F.count("*").alias("held"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token", "held"), "similar-met")
+    small = met.count() <= BROADCAST_KEYS
+    rows = rows.join((F.broadcast if small else lambda x: x)(met), "token").join(parities, "node")
+    rows = rows.withColumn("blocks", F.when(F.col("held") > HOLDERS, F.ceil(F.col("held") / HOLDERS)).otherwise(1).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")).withColumn("place_of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    dealt = rows.select("token", F.least("mine", "place_of").alias("low"), F.greatest("mine", "place_of").alias("high"), "mine", "node", "root", "place")
+    dealt = rows.select("token", F.least("mine", "place_of").alias("low"), F.greatest("mine", "place_of").alias("high"), "mine", "node", "root", "place", "parity")
     dealt = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "root")
     got = dealt.mapInArrow(lambda b: _paired(b, similarity, few), "a long, b long, root_a long, root_b long")
     if few:
@@ -364,8 +405,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows = docs.withColumnsRenamed(named).withColumns({"_id": F.concat(F.when(ident.isNull(), "n").otherwise("i"), F.coalesce(ident.cast("string"), F.lit(""))), "_text": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     order = F.struct(ident.isNull().alias("nameless"), ident.alias("ident"), "_text", "_id")
     bits = [f"s{j}" for j in range(SKETCH)]
-    got = sketches(rows, ["_id", "_text", named[id_col]], text).select("node", *bits, order.alias("order"))
-    entries = settle(got.groupBy("node").agg(F.min("order").alias("least"), *[F.min(b).alias(b) for b in bits]), "similar-entries")
+    got = sketches(rows, ["_id", "_text", named[id_col]], text, width).select("node", *bits, "parity", order.alias("order"))
+    entries = settle(got.groupBy("node").agg(F.min("order").alias("least"), *[F.min(b).alias(b) for b in [*bits, "parity"]]), "similar-entries")
     edges = settle(candidates(entries), "similar-edges")
 
     def linked(edges: DataFrame) -> DataFrame:
@@ -380,7 +421,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     shared = settle(first.mapInArrow(_shared, "token long, node long, place long"), "similar-shared")
     checked = edges
     for few in (True, False):
-        rest = settle(pairs(shared, roots, similarity, few).join(checked, ["a", "b"], "left_anti"), "similar-rest")
+        rest = settle(pairs(shared, roots, entries.select("node", "parity"), similarity, few).join(checked, ["a", "b"], "left_anti"), "similar-rest")
         if rest.isEmpty():
             continue
         if few:

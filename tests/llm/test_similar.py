@@ -134,3 +134,38 @@ def test_any_order_of_shingles_gives_the_same(spark, monkeypatch):
     for most in (0, 50):
         monkeypatch.setattr(similar, "COMMON", most, raising=False)
         assert kept(spark, rows) == want
+
+
+def test_half_similar_texts_are_hardly_compared(spark, monkeypatch):
+    """A group of texts similar by some 0.6 to 0.79 to each other: few pairs are compared by their sets, and the rows kept are right."""
+    compared = []
+
+    def settled(df, name, settle=similar.settle):
+        out = settle(df, name)
+        if name == "similar-rest":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "settle", settled)
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(4, 9)))) for i in range(150)]
+    assert kept(spark, rows) == survivors(rows)
+    assert sum(compared) < len(rows) * 4  # of 11,175 pairs
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 20, 32, 33, 500, 520, 3000)]
+    for s in list(sets):
+        sets += [np.unique(np.r_[s[: len(s) * k // 10], rng.integers(0, 1 << 63, len(s) // 5).astype(np.uint64)]) for k in (5, 8, 10)]
+    odd = [np.frombuffer(similar.parity(s), np.uint64) for s in sets]
+    assert {len(x) for x in odd} >= {1, 2, 16, 32, similar.PARITY_WORDS}
+    start = np.r_[0, np.cumsum([len(x) for x in odd])]
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    bits = similar._differing(np.concatenate(odd), start, x, y)
+    assert all(b <= len(np.setxor1d(sets[i], sets[j])) for b, i, j in zip(bits, x, y))
+    for b, i, j in zip(bits, x, y):  # folded: the parity of residues by the smaller number of bits
+        wide = 64 * min(len(odd[i]), len(odd[j]))
+        counts = [np.bincount((sets[k] % np.uint64(wide)).astype(np.int64), minlength=wide) % 2 for k in (i, j)]
+        assert b == (counts[0] != counts[1]).sum()
