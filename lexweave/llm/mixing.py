@@ -6,6 +6,7 @@ and all multipliers are found together by safeguarded Newton steps, each one agg
 lie before sources meet; STEPS_AT_ONCE steps are one plan. Rates become whole
 copies by dithering: a hash of the document moves its rate up to the next integer or not, and a shift common to the source, found by
 histogram passes over the documents' turning points, makes the copies' words meet the target to within about one document.
+Where that is more than MISSED of the target and the source has at most FEW_DOCS documents, copies of up to three of them change at a time as long as that comes nearer.
 
 What is known of a source is a row of a settled table, however many sources there are; the driver sees sums over all of them alone. The table is
 broadcast to the histogram if it has at most BROADCAST_SOURCES rows (some 20 MB), else joined by source.
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ BINS, PASSES = 1 << 12, 2
 BROADCAST_SOURCES = 100_000
 #: Rounds of rounding, and how near a target, relative to it, ends them.
 ROUNDS, NEAR = 3, 1e-3
+#: Sources of so few documents are changed where rounding misses the target by more than this share of it.
+FEW_DOCS, MISSED = 64, 0.01
 
 
 def source_key(source: Column) -> Column:
@@ -136,6 +141,41 @@ def _shifted(sized: DataFrame, sources: DataFrame, base: float, limit: int, near
     return state.drop("open")
 
 
+def nearer(words: np.ndarray, copies: np.ndarray, target: float, limit: int) -> np.ndarray:
+    """Copies from 0 to limit, those of up to three entries changed at a time, best change first, while words @ copies comes nearer to target."""
+    # Two entries without words stand for changing fewer.
+    words, copies = np.append(words, [0, 0]), np.append(copies, [0, 0])
+    at, to = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(limit + 1), indexing="ij"))
+    same = at[:, None] == at
+    while abs(miss := target - float(words @ copies)) > NEAR * target:
+        step = (to - copies[at]) * words[at]
+        rest = np.where(same, np.inf, miss - step[:, None] - step)
+        least, best = abs(miss), None
+        for k in range(len(at)):
+            far = np.abs(rest - step[k])
+            far[same[k]], far[:, same[k]] = np.inf, np.inf
+            if (found := far.min()) < least:
+                least, best = found, (*np.unravel_index(np.argmin(far), far.shape), k)
+        if best is None:
+            break
+        for k in best:
+            copies[at[k]] = to[k]
+    return copies[:-2]
+
+
+def _changed(rows: DataFrame, limit: int) -> DataFrame:
+    """(_key, _size, _name, _copies) for rows(_key, _size, _name, target, copies) of sources with few documents; equal rows are one entry."""
+
+    def change(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_size", "ascending"), ("_name", "ascending")])
+        size, n, copies = (group.column(c).to_numpy() for c in ("_size", "n", "copies"))
+        got = nearer(size * n, copies.astype(np.int64), group.column("target")[0].as_py(), limit)
+        return group.select(["_key", "_size", "_name"]).append_column("_copies", pa.array(got, pa.int32()))
+
+    entries = rows.where("_size > 0").groupBy("_key", "_size", "_name", "target", "copies").agg(F.count("*").alias("n"))
+    return entries.groupBy("_key").applyInArrow(change, "_key string, _size long, _name string, _copies int")
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """docs with size long, source_size long, target double, rate double and copies int; input columns of these names are replaced.
 
@@ -151,7 +191,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sums = sums.join(index.select(F.col("id").alias("key"), "idx"), "key")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
     mean = F.when(F.col("size") > 0, F.col("size") / F.col("docs")).otherwise(1.0)
-    sources = targets(settle(sums.select("key", "size", weight.alias("weight"), mean.alias("mean")), "mixing-sources"), share, limit)
+    sources = targets(settle(sums.select("key", "size", "docs", weight.alias("weight"), mean.alias("mean")), "mixing-sources"), share, limit)
     base = min(share, limit * 0.999)
     state = _tilted(histogram, sources.drop("weight"), base, limit)
     # shifts: the rounds' rooms and shifts, the last first.
@@ -173,6 +213,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     shift = F.coalesce(F.try_element_at(shift, F.lit(1))["shift"], F.lit(0.0))
     copies = F.floor(F.col("_rate") + F.col("_chance") + shift)
     copies = F.when(F.col("whole"), F.lit(limit)).otherwise(F.least(F.greatest(copies, F.lit(0)), F.lit(limit))).cast("int")
+    missed = settle(state.where(~F.col("whole") & (F.col("docs") <= FEW_DOCS) & (F.abs(F.col("target") - F.col("words")) > MISSED * F.col("target"))).select(F.col("key").alias("_key")), "mixing-missed")
+    if not missed.isEmpty():
+        out = out.withColumns({"copies": copies, "_name": F.col("_id").cast("string")})
+        held = settle(_changed(out.join(missed, "_key", "left_semi").select("_key", "_size", "_name", "target", "copies"), limit), "mixing-changed")
+        held = held.withColumnsRenamed({c: f"_of{c}" for c in ("_key", "_size", "_name")})
+        out = out.join(held, (F.col("_key") == F.col("_of_key")) & (F.col("_size") == F.col("_of_size")) & F.col("_name").eqNullSafe(F.col("_of_name")), "left")
+        copies = F.coalesce("_copies", "copies")
     return out.select(*[F.col(n).alias(c) for c, n in named.items()], F.col("_size").alias("size"), F.col("size").alias("source_size"), "target", F.col("_rate").alias("rate"), copies.alias("copies"))
 
 

@@ -75,3 +75,28 @@ def test_edges(spark, monkeypatch):
     assert sorted(map(str, (r.copies for r in mixing.mixed(clash).collect()))) == sorted(map(str, (r.copies for r in got)))
     long = spark.createDataFrame([(1, "x " * 2_000_000, "a"), (2, "y", "a")], "doc_id long, text string, source string")
     assert {r["size"] for r in mixing.mixed(long).collect()} == {1, 2_000_000}
+
+
+def test_few_documents_meet_their_target(spark):
+    """Where a source's small documents are used up, a large one more and small ones fewer come nearer."""
+    sizes = [5, 136, 224, 233, 233, 377, 395, 933, 2933]
+    rows = [(None if s == 3 and i == 0 else 100 * s + i, "w " * n, f"s{s:02}") for s in range(12) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame([*rows, rows[0], (9999, None, "s00")], "doc_id long, text string, source string")
+    got = mixing.mixed(docs, weights=(1.0,)).select("doc_id", "source", "size", "target", "copies").collect()
+    assert len(got) == len(rows) + 2
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 0.02 * mine[0].target
+    assert len({r.copies for r in got if r.doc_id == 0}) == 1 and all(0 <= r.copies <= 2 for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(docs.repartition(3), weights=(1.0,)).select("doc_id", "source", "size", "target", "copies").collect()))
+
+
+def test_nearer_changes_copies_until_nothing_helps():
+    assert mixing.nearer(np.array([10]), np.array([2]), 9.0, 2).tolist() == [1]
+    assert mixing.nearer(np.array([933, 2933, 136]), np.array([2, 1, 2]), 5866.0, 2).tolist() == [0, 2, 0]
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        words, copies = rng.integers(1, 900, 20), rng.integers(0, 3, 20)
+        target = rng.uniform(0.2, 1.8) * words.sum()
+        got = mixing.nearer(words, copies, target, 2)
+        assert abs(got @ words - target) <= min(abs(copies @ words - target), 0.01 * target + 1) and got.min() >= 0 and got.max() <= 2
