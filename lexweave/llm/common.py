@@ -5,8 +5,10 @@ Nothing here collects data: every helper returns a DataFrame or works on one Arr
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +71,27 @@ def with_columns(df: DataFrame, add: Callable[[pa.RecordBatch], dict[str, pa.Arr
     return df.mapInArrow(run, schema)
 
 
+_kept: dict[Hashable, object] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Let go of what this worker keeps, and give free memory back to the machine: Spark reuses workers, so a stage would hold what those before it needed."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def kept(name: Hashable, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: one thing at a time, whoever asks; another name replaces it."""
+    if name not in _kept:
+        release()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def texts_of(part: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in part.column(name).to_pylist()]
 

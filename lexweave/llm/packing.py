@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices, texts_of
+from .common import kept, settle, slices, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -133,9 +133,8 @@ def by_words(parsed: dict) -> bool:
     )
 
 
-@functools.cache
 def tokenizer(path: str) -> WordIds:
-    return WordIds(path)
+    return kept(("ids", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle, split_words, texts_of, with_columns
+from .common import components, release, settle, split_words, texts_of, with_columns
 
 SEED = 42
 WIDTH = 3
@@ -31,7 +31,7 @@ FAN = 8
 #: Entries of one slice value beyond which that value is dealt further.
 HOT_ENTRIES = 20_000
 #: Node pairs compared at once, and entries indexed at once unless one slice value has more.
-PAIRS_AT_ONCE, ENTRIES_AT_ONCE = 1 << 19, 1 << 16
+PAIRS_AT_ONCE, ENTRIES_AT_ONCE = 1 << 16, 1 << 16
 
 
 def fingerprint(text: str, width: int = WIDTH) -> int:
@@ -161,6 +161,7 @@ class GrayIndex:
 
 def _spanning(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches sorted by key; whole keys are indexed together, up to ENTRIES_AT_ONCE entries."""
+    release()
     keys, fps, held = [], [], 0
 
     def flush(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:

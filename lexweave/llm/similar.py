@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, settle, slices, split_words, texts_of, with_columns
+from .common import components, discard, release, settle, slices, split_words, texts_of, with_columns
 from .simhash import ENTRIES_AT_ONCE, HOT_ENTRIES, SEED, GrayIndex
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -59,7 +59,7 @@ FEW = 4
 #: Most 64-bit words of a text's parity, and pairs of parities held at once; no result depends on either.
 PARITY_WORDS, PARITIES = 64, 1 << 14
 #: Texts a task remembers so as not to repeat their shingles.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _OFFSETS = np.arange(1, SKETCH + 1, dtype=np.uint64) * _STEP
 
@@ -104,7 +104,7 @@ def parity(shingles: np.ndarray) -> bytes:
 def sketches(docs: DataFrame, keep: list[str], text_col: str, width: int = WIDTH) -> DataFrame:
     """(keep, node long, s0..s3 long, parity binary): node is the hash of the whole word sequence, parity that of its shingle set."""
 
-    def add(part: pa.RecordBatch) -> dict[str, pa.Array]:
+    def add(part: pa.RecordBatch, _: None) -> dict[str, pa.Array]:
         node, bits, odd = [], [], []
         for text in texts_of(part, text_col):
             words = split_words(text)
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, keep: list[str], text_col: str, width: int = WIDTH
         wide = np.array(bits, np.uint64).reshape(-1, SKETCH).view(np.int64)
         return {"node": pa.array(np.array(node, np.uint64).view(np.int64)), **{f"s{j}": pa.array(np.ascontiguousarray(wide[:, j])) for j in range(SKETCH)}, "parity": pa.array(odd, pa.binary())}
 
-    return with_columns(docs.select(*keep, text_col), add, "node long, " + ", ".join(f"s{j} long" for j in range(SKETCH)) + ", parity binary", keep)
+    return with_columns(docs.select(*keep, text_col), add, "node long, " + ", ".join(f"s{j} long" for j in range(SKETCH)) + ", parity binary", keep, release)
 
 
 def deals(n: int) -> list[np.ndarray]:
@@ -158,6 +158,7 @@ class Forest(GrayIndex):
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches sorted by key and s0; whole keys are indexed together, a key of more than RUN entries in runs that overlap by half."""
+    release()
     held: list[np.ndarray] = []
 
     def flush(rows: np.ndarray) -> pa.RecordBatch:
@@ -225,6 +226,7 @@ def common_shingles(rows: DataFrame, text_col: str, n: int, width: int = WIDTH)
     """Sorted shingles that several of about COMMON_TEXTS texts have, at most COMMON, and in how many: what the order of shingles puts last."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, known = [], set()
 
         def out() -> pa.RecordBatch:
@@ -235,7 +237,7 @@ def common_shingles(rows: DataFrame, text_col: str, n: int, width: int = WIDTH)
             for text in set(texts_of(part, text_col)) - known:
                 held.append(shingle_set(split_words(text), width))
                 known.add(text)
-            if sum(map(len, held)) > 1 << 22:
+            if sum(map(len, held)) > 1 << 20:
                 yield out()
                 held.clear()
                 known.clear()
@@ -255,6 +257,7 @@ def prefixes(rows: DataFrame, text_col: str, common: tuple[np.ndarray, np.ndarra
     times = rows.sparkSession.sparkContext.broadcast(times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known: set[int] = set()
         last, often = names.value, times.value
         for part in slices(batches):
@@ -284,6 +287,7 @@ def prefixes(rows: DataFrame, text_col: str, common: tuple[np.ndarray, np.ndarra
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], by: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
     """Integer columns of sorted batches, and all their columns, in runs of at least ENTRIES_AT_ONCE rows that part no group of the first `by` columns."""
+    release()
     held: list[np.ndarray] = []
     waiting: list[pa.Table] = []
     for batch in batches:

@@ -12,14 +12,13 @@ remembered (at most REMEMBERED words and REMEMBERED_BYTES of them a worker).
 
 from __future__ import annotations
 
-import functools
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of, with_columns
+from .common import kept, texts_of, with_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -117,9 +116,8 @@ def read_vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size())]
 
 
-@functools.cache
 def counter(path: str) -> UnigramCounter:
-    return UnigramCounter(read_vocabulary(path))
+    return kept(("counts", path), lambda: UnigramCounter(read_vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -130,7 +128,8 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", keep: list[
     """
 
     def add(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        got = [counter(path).count(x) for x in texts_of(part, text_col)]
+        count = counter(path).count
+        got = [count(x) for x in texts_of(part, text_col)]
         return {"n_tokens": pa.array([x[0] for x in got], pa.int64()), "unigram_score": pa.array(np.array([x[1] for x in got], np.float64))}
 
     keep = docs.columns if keep is None else keep

@@ -11,7 +11,6 @@ MAX_SAMPLE_CHARS characters; a longer text than that isn't in it. Every document
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import zlib
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, settle, texts_of, with_columns
+from .common import kept, remainder, settle, texts_of, with_columns
 
 #: Bound on the labelled documents that fit() gets, and on their characters; the latter thins the sample by hash.
 MAX_SAMPLE, MAX_SAMPLE_CHARS = 10_000, 24_000_000
@@ -178,11 +177,10 @@ def trained(sample: DataFrame) -> Model:
     return pickle.loads(got[0][0]) if got else fit([], [])
 
 
-@functools.lru_cache(maxsize=1)
 def _unpickled(raw: bytes) -> Model:
     import pickle
 
-    return pickle.loads(raw)
+    return kept(("toxicity", raw), lambda: pickle.loads(raw))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, spans: bool = False) -> DataFrame:
