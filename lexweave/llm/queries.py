@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP13_SQL, op13_centroid_clustering
 from .chat import CHAT_LAYOUTS_SQL, OP5_SQL, chat_layouts, op5_chat_formatting
 from .embeddings import op7_embedding_near_dedup
 from .lm import op3_lm_scoring
@@ -24,7 +25,8 @@ _ALL = (
     op8_media_columns,
     op9_toxicity,
     op10_token_counts,
+    op13_centroid_clustering,
     chat_layouts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op6_warc": OP6_SQL, "chat_layouts": CHAT_LAYOUTS_SQL}
+ORACLE: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op6_warc": OP6_SQL, "chat_layouts": CHAT_LAYOUTS_SQL, "op13_centroid_clustering": OP13_SQL}
