@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op12_bpe_encoding
 from .centroids import OP13_SQL, op13_centroid_clustering
 from .chat import CHAT_LAYOUTS_SQL, OP5_SQL, chat_layouts, op5_chat_formatting
 from .embeddings import op7_embedding_near_dedup
@@ -25,6 +26,7 @@ _ALL = (
     op8_media_columns,
     op9_toxicity,
     op10_token_counts,
+    op12_bpe_encoding,
     op13_centroid_clustering,
     chat_layouts,
 )
