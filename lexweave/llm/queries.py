@@ -11,6 +11,7 @@ from .media import op8_media_columns
 from .mixing import op4_mixing
 from .packing import op1_best_fit_packing
 from .simhash import op2_simhash_near_dedup
+from .spelling import op11_spelling_variants
 from .tokens import op10_token_counts
 from .toxicity import op9_toxicity
 from .warc import OP6_SQL, op6_warc
@@ -26,6 +27,7 @@ _ALL = (
     op8_media_columns,
     op9_toxicity,
     op10_token_counts,
+    op11_spelling_variants,
     op12_bpe_encoding,
     op13_centroid_clustering,
     chat_layouts,
