@@ -29,7 +29,11 @@ from .common import kept, texts_of, with_columns
 from .packing import ByteSpelling, by_words
 
 #: Distinct words, and word parts, that a worker remembers, and the bytes of each kind.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 300_000, 80 << 20
+#: Bytes of a remembered word beside its strings, about.
+OVERHEAD = 250
+#: Symbols up to which words are merged together.
+SHORT = 64
 #: Symbols of new words that are matched at once, unless one word has more.
 SYMBOLS_AT_ONCE = 1 << 18
 NEVER = np.iinfo(np.int64).max
@@ -54,8 +58,9 @@ class Merges:
         key = self.left[merged] * self.size + self.right[merged]
         order = np.argsort(key)
         self.keys, self.made = key[order], merged[order]
+        self.made_by = merged[np.argsort(self.rank[merged])]
         self.lookup = dict(zip(self.keys.tolist(), self.made.tolist()))
-        self._symbols(merged[np.argsort(self.rank[merged])])
+        self._symbols(self.made_by)
 
     def _symbols(self, merged: np.ndarray) -> None:
         """Spell tokens in symbols, and keep those that their own merges really make: no earlier merge comes between."""
@@ -117,6 +122,35 @@ class Merges:
             offer(i)
         return [t for t in token if t >= 0]
 
+    def merged_together(self, token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, token) of exact merging of many short words, word i of size[i] symbols: each round makes one merge in every word that has one left."""
+        word, rank = np.repeat(np.arange(len(size)), size), np.full(len(token), NEVER)
+        beside = np.flatnonzero(word[1:] == word[:-1])
+        rank[beside] = self.merge_of(token[beside], token[beside + 1])
+        ended = []
+        while len(token):
+            head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            least = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.r_[head, len(word)]))
+            over = least == NEVER
+            if over.any():
+                ended.append(np.stack([word[over], token[over]]))
+                word, token, rank, least = word[~over], token[~over], rank[~over], least[~over]
+            at = np.flatnonzero(rank == least)
+            at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]] if len(at) else at
+            token[at] = self.made_by[least[at]]
+            stays = np.ones(len(token), bool)
+            stays[at + 1] = False
+            word, token, rank = word[stays], token[stays], rank[stays]
+            at -= np.arange(len(at))
+            rank[at] = NEVER
+            for x in (at, at - 1):
+                x = x[(x >= 0) & (x + 1 < len(word))]
+                x = x[word[x] == word[x + 1]]
+                rank[x] = self.merge_of(token[x], token[x + 1])
+        word, token = np.concatenate(ended, axis=1)
+        order = np.argsort(word, kind="stable")
+        return word[order], token[order]
+
 
 class Trie:
     """The vocabulary's spellings; walked for many positions at once."""
@@ -175,16 +209,19 @@ class Encoder:
             self.speculates = self.rules.proper and all(x + end in vocabulary for x in letters for end in ("", suffix))
         if self.speculates:
             # Symbols are numbered by their tokens' ids; a symbol that ends a word is another one.
-            self.inner, self.last = ({x: vocabulary[x + end] for x in letters} for end in ("", suffix))
-            base = {(i,): i for d in (self.inner, self.last) for i in d.values()}
+            self.inner, self.last = (np.zeros(max(map(ord, letters)) + 1, np.int64) for _ in range(2))
+            for x in letters:
+                self.inner[ord(x)], self.last[ord(x)] = vocabulary[x], vocabulary[x + suffix]
+            base = {(vocabulary[x + end],): vocabulary[x + end] for x in letters for end in ("", suffix)}
             self.trie = Trie(base | {s: t for t, s in self.rules.spelled.items()}, self.rules.size)
             self.parts = regex.compile(parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
             self.special = {t["content"]: t["id"] for t in added}
             self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if added else lambda x: [x]
             self.simple = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+").fullmatch
         self.spelling = ByteSpelling()
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.known_parts: dict[str, tuple[int, str, str]] = {}
+        # Of words as they stand, and of parts in byte letters: the ids in decimal and the decoded text.
+        self.ids, self.texts = {}, {}
+        self.part_ids, self.part_texts = {}, {}
         self.bytes = self.parts_bytes = 0
         self.speculated = self.exact = 0
 
@@ -202,11 +239,11 @@ class Encoder:
         return out
 
     def _spell(self, parts: list[str]) -> list[list[int]]:
-        inner, last = self.inner, self.last
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         end = np.cumsum(size)
-        symbols = np.fromiter((inner[c] for p in parts for c in p), np.int64, int(end[-1]))
-        symbols[end - 1] = [last[p[-1]] for p in parts]
+        letters = np.frombuffer("".join(parts).encode("utf-16-le"), np.uint16)
+        symbols = self.inner[letters]
+        symbols[end - 1] = self.last[letters[end - 1]]
         room = np.repeat(end, size) - np.arange(len(symbols))
         token, length = self.trie.longest(symbols, room)
         # All words follow their matches together, a token a step.
@@ -227,32 +264,35 @@ class Encoder:
         fits = self.rules.compatible(pair // self.rules.size, pair % self.rules.size)[which]
         wrong = np.zeros(len(parts), bool)
         wrong[words[beside[~fits]]] = True
-        ids = [x.tolist() for x in np.split(tokens, np.searchsorted(words, np.arange(1, len(parts))))]
-        for i in np.flatnonzero(wrong).tolist():
+        short = np.flatnonzero(wrong & (size <= SHORT))
+        if len(short):
+            taken = np.zeros(len(parts), bool)
+            taken[short] = True
+            words, tokens = words[~taken[words]], tokens[~taken[words]]
+            again, made = self.rules.merged_together(symbols[np.repeat(taken, size)], size[short])
+            words, tokens = np.r_[words, short[again]], np.r_[tokens, made]
+            order = np.argsort(words, kind="stable")
+            words, tokens = words[order], tokens[order]
+        cut, flat = np.searchsorted(words, np.arange(len(parts) + 1)).tolist(), tokens.tolist()
+        ids = [flat[a:b] for a, b in zip(cut, cut[1:])]
+        for i in np.flatnonzero(wrong & (size > SHORT)).tolist():
             ids[i] = self.rules.merged(symbols[end[i] - size[i] : end[i]].tolist())
         self.speculated += len(parts)
         self.exact += int(wrong.sum())
         return ids
 
-    def _learn(self, parts: list[str]) -> None:
-        """Remember (count, ids, decoded) of parts in byte letters."""
-        name = self.name
-        for p, ids in zip(parts, self.spell(parts)):
-            got = self.known_parts[p] = (len(ids), " ".join(map(str, ids)), " ".join([name[i] for i in ids]))
-            self.parts_bytes += len(p) + len(got[1]) + len(got[2]) + 300
-
-    def _parts(self, wanted: list[list[str]]) -> list[tuple[int, str, str]]:
-        """Each list of parts as one."""
-        if len(self.known_parts) > REMEMBERED or self.parts_bytes > REMEMBERED_BYTES:
-            self.known_parts.clear()
+    def _parts(self, wanted: list[list[str]]) -> list[tuple[str, str]]:
+        """(ids in decimal, decoded text) of each list of parts in byte letters."""
+        if len(self.part_ids) > REMEMBERED or self.parts_bytes > REMEMBERED_BYTES:
+            self.part_ids.clear()
+            self.part_texts.clear()
             self.parts_bytes = 0
-        known = self.known_parts
-        self._learn([p for p in dict.fromkeys(p for w in wanted for p in w) if p not in known])
-        out = []
-        for w in wanted:
-            got = [known[p] for p in w]
-            out.append((sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
-        return out
+        ids, texts, name = self.part_ids, self.part_texts, self.name
+        new = list({p for w in wanted for p in w}.difference(ids))
+        for p, got in zip(new, self.spell(new)):
+            ids[p], texts[p] = " ".join(map(str, got)), " ".join([name[i] for i in got])
+            self.parts_bytes += len(p) + len(ids[p]) + len(texts[p]) + OVERHEAD
+        return [(ids[w[0]], texts[w[0]]) if len(w) == 1 else (" ".join([ids[p] for p in w]), " ".join([texts[p] for p in w])) for w in wanted]
 
     def whole(self, text: str) -> tuple[int, str, str]:
         """By the tokenizer alone, for files that this class can't speculate on."""
@@ -263,38 +303,41 @@ class Encoder:
         """The text of ids, special tokens included."""
         return " ".join([self.name[i] for i in ids]) if self.joins else self.full.decode(ids, skip_special_tokens=False)
 
-    def composed(self, text: str) -> tuple[int, str, str]:
-        """Any text: cut at special tokens, normalised and cut into parts as the file says."""
+    def composed(self, text: str) -> tuple[str, str]:
+        """(ids, decoded) of any text: cut at special tokens, normalised and cut into parts as the file says."""
         got = []
         for piece in self.cut(text):
             if piece in self.special:
-                got.append((1, str(self.special[piece]), piece))
+                got.append((str(self.special[piece]), piece))
             elif piece:
                 parts = [p for p, _ in self.full.pre_tokenizer.pre_tokenize_str(self.full.normalizer.normalize_str(piece)) if p]
                 got += self._parts([parts]) if parts else []
-        return sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got)
+        return " ".join([g[0] for g in got]), " ".join([g[1] for g in got])
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember plain words: each has at least one part, for only white space belongs to none."""
+        spelling, parts = self.spelling, self.parts
+        for w, (ids, text) in zip(words, self._parts([[p.translate(spelling) for p in parts(w.lower())] for w in words])):
+            self.ids[w], self.texts[w] = ids, text
+            self.bytes += len(w) + len(ids) + len(text) + OVERHEAD
 
     def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        texts = [x.encode("utf-8", "replace").decode() if not x.isascii() else x for x in texts]
+        texts = [x if x.isascii() else x.encode("utf-8", "replace").decode() for x in texts]
         if not self.speculates:
             return [self.whole(x) for x in texts]
-        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
-            self.known.clear()
+        if len(self.ids) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+            self.ids.clear()
+            self.texts.clear()
             self.bytes = 0
-        easy = [bool(self.simple(x)) and not any(s in x for s in self.special) for x in texts]
-        words = [x.split() if ok else [] for x, ok in zip(texts, easy)]
-        known, spelling = self.known, self.spelling
-        new = list({w for ws in words for w in ws}.difference(known))
-        for w, got in zip(new, self._parts([[p.translate(spelling) for p in self.parts(w.lower())] for w in new])):
-            known[w] = got
-            self.bytes += len(w) + len(got[1]) + len(got[2]) + 300
+        words = [x.split() if self.simple(x) and not any(s in x for s in self.special) else None for x in texts]
+        self._learn(list({w for ws in words if ws for w in ws}.difference(self.ids)))
         out = []
-        for x, ok, ws in zip(texts, easy, words):
-            if ok:
-                got = [known[w] for w in ws]
-                out.append((sum(g[0] for g in got), " ".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got if g[0]])))
+        for x, ws in zip(texts, words):
+            if ws is None:
+                ids, text = self.composed(x)
             else:
-                out.append(self.composed(x))
+                ids, text = " ".join(map(self.ids.__getitem__, ws)), " ".join(map(self.texts.__getitem__, ws))
+            out.append((ids.count(" ") + 1 if ids else 0, ids, text))
         return out
 
 

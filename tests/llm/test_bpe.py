@@ -57,6 +57,9 @@ def test_compatible_pairs_are_those_that_merging_leaves(seed):
     a, b = (np.array([x for x in spelled for _ in spelled]), np.array(list(spelled) * len(spelled)))
     want = [rules.merged([*spelled[x], *spelled[y]]) == [x, y] for x, y in zip(a.tolist(), b.tolist())]
     assert rules.compatible(a, b).tolist() == want
+    texts = [[rng.randrange(3) for _ in range(rng.randint(1, 30))] for _ in range(200)]
+    word, token = rules.merged_together(np.array(sum(texts, [])), np.array([len(t) for t in texts]))
+    assert [token[word == i].tolist() for i in range(len(texts))] == [rules.merged(t) for t in texts]
 
 
 def test_memory_is_bounded(monkeypatch):
@@ -64,7 +67,7 @@ def test_memory_is_bounded(monkeypatch):
     fresh = bpe.Encoder(PATH)
     texts = [f"word{i} other{i}" for i in range(300)]
     got = [g for i in range(0, 300, 10) for g in fresh(texts[i : i + 10])]
-    assert got == [library(x) for x in texts] and len(fresh.known) < 120
+    assert got == [library(x) for x in texts] and len(fresh.ids) < 120
 
 
 def test_rows(spark):
