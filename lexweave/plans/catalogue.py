@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import cosine
-from ..operators import encoders, explain, graph, html, network, search, tfidf
+from ..operators import encoders, explain, graph, html, network, search, skipgram, tfidf, training
 from ..operators import paragraphs as P
 from ..storage import settle
 from .fixtures import SQL, Corpus
@@ -455,6 +455,29 @@ def walk_embeddings(c):
     return network.walk_embeddings(metapath_walks(c), partitions=4)
 
 
+@query()
+def skipgram_embeddings(c):
+    got = skipgram.train(metapath_walks(c), id_cols=["start", "walk"], size=32, epochs=2)
+    return got.select("node", F.posexplode("embedding").alias("dim", "x"), "n").select("node", "dim", F.round("x", 6).alias("x"), "n")
+
+
+def _trained(c: Corpus):
+    """The typed graph, a few measures of each node as its features, and a plan over both metapaths and both kinds of neighbours."""
+    number = lambda x, y: F.array(*[F.col(v).cast("double") / w for v, w in zip(x, y)])
+    cases = c.orders.select(F.concat(F.lit("6"), F.col("o_orderkey").cast("string")).alias("node"), F.array(F.col("o_totalprice").cast("double") / 1e5, F.month("o_orderdate") / 6.0 - 1, F.lit(1.0), F.year("o_orderdate") - 1995.0).alias("vec"))
+    acts = c.part.join(c.legislation().select("p_partkey", "id"), "p_partkey").select(F.col("id").alias("node"), F.concat(number(["p_size", "p_retailprice"], [25, 1000]), F.array(F.lit(1.0), F.lit(0.0))).alias("vec"))
+    topics = c.supplier.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"), F.concat(number(["s_acctbal", "s_nationkey"], [5000, 12]), F.array(F.lit(0.0), F.lit(1.0))).alias("vec"))
+    plan = training.Plan("case", {"clc": CLC, "csc": CSC}, [("legislation", "cited_by", "case"), ("subject_matter", "related_to", "case")], {"legislation": 2, "subject_matter": 2}, 4)
+    return typed(c), {"case": cases, "legislation": acts, "subject_matter": topics}, plan
+
+
+@query()
+def network_training(c):
+    """The loss before each of three full-graph steps, to four places, for sums of floating-point numbers come in any order."""
+    losses = training.train(*_trained(c), epochs=3)[1]
+    return c.spark.createDataFrame([(i, round(x, 4)) for i, x in enumerate(losses)], "epoch int, loss double")
+
+
 from . import scans  # noqa: E402  registers its queries
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "cosine", "scans"]
