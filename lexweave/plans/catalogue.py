@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import cosine
-from ..operators import encoders, explain, graph, html, network, search, skipgram, tfidf, training
+from ..operators import encoders, explain, graph, html, network, pivots, search, skipgram, tfidf, training
 from ..operators import paragraphs as P
-from ..storage import settle
+from ..storage import settle, shared_dir
 from .fixtures import SQL, Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,6 +294,15 @@ def cosine_topk(c):
     return _dense(c).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_DENSE} SELECT query_id, rank, id, round(score, 6) AS score FROM dense", prelude=False)
+def indexed_topk(c):
+    """The same from an index that is written once and asked."""
+    path = f"{shared_dir(c.spark)}/lexweave/index-{uuid.uuid4().hex}"
+    pivots.build(c.embeddings, "vec_id", "embedding", path)
+    asked = c.embeddings.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return pivots.Index(c.spark, path).nearest(asked, TOP)[0].select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {TERMS_SQL}, {_SPARSE} SELECT query_id, rank, id, round(score, 6) AS score FROM sparse", prelude=False)
 def tfidf_topk(c):
     return _sparse(c).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
