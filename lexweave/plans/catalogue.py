@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import cosine
-from ..operators import encoders, explain, graph, html, network, pivots, search, skipgram, tfidf, training
+from ..operators import encoders, explain, graph, html, network, pathexpr, pivots, search, skipgram, tfidf, training
 from ..operators import paragraphs as P
+from ..operators.pathexpr import step
 from ..storage import settle, shared_dir
 from .fixtures import SQL, Corpus
 
@@ -129,14 +130,15 @@ def citation_khop(c):
     return graph.neighbourhood(c.citations(), c.case_ids(), 2, 1)
 
 
-@query("""
-, codes AS (
+_CODES = """codes AS (
   SELECT substr(p_brand, 7, 1) || '.' || substr(p_brand, 8, 1) || '.' || p_size AS code FROM part
   UNION ALL SELECT substr(p_brand, 7, 1) || '.' || substr(p_brand, 8, 1) FROM part WHERE p_size > 25
   UNION ALL SELECT substr(p_brand, 7, 1) FROM part WHERE p_size > 10 UNION ALL SELECT p_brand || '.1' FROM part),
-n AS (SELECT DISTINCT code FROM codes WHERE regexp_matches(split_part(code, '.', 1), '^[0-9]+$'))
-SELECT regexp_replace(code, '\\.[^.]*$', '') AS source, code AS target FROM n WHERE contains(code, '.') AND regexp_replace(code, '\\.[^.]*$', '') IN (SELECT code FROM n)
-""".replace("\\\\", "\\"))
+n AS (SELECT DISTINCT code FROM codes WHERE regexp_matches(split_part(code, '.', 1), '^[0-9]+$')),
+narrower AS (SELECT regexp_replace(code, '\\.[^.]*$', '') AS source, code AS target FROM n WHERE contains(code, '.') AND regexp_replace(code, '\\.[^.]*$', '') IN (SELECT code FROM n))""".replace("\\\\", "\\")
+
+
+@query(f", {_CODES} SELECT source, target FROM narrower")
 def code_hierarchy(c):
     brand = F.concat(F.substring("p_brand", 7, 1), F.lit("."), F.substring("p_brand", 8, 1))
     codes = c.part.select(F.concat(brand, F.lit("."), F.col("p_size").cast("string")).alias("code"))
@@ -144,6 +146,14 @@ def code_hierarchy(c):
     return graph.code_hierarchy(codes)[1]
 
 
+@query(f"WITH RECURSIVE {_CODES}, below AS (SELECT source, target FROM narrower UNION SELECT b.source, n.target FROM below b JOIN narrower n ON n.source = b.target) SELECT source AS start, target AS \"end\" FROM below", prelude=False)
+def code_descendants(c):
+    """Every code with all codes below it, at any depth."""
+    edges = code_hierarchy(c)
+    labelled = edges.select("source", F.lit("narrower").alias("label"), "target")
+    return pathexpr.reach(labelled, edges.select(F.col("source").alias("id")), step("narrower").times(1))
+
+
 @query("""
 , pp AS (SELECT '6' || o_custkey AS doc, '6' || o_orderkey AS para FROM orders),
 dc AS (SELECT DISTINCT '6' || a.c_custkey AS source, '6' || b.c_custkey AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 AND a.c_nationkey <= b.c_nationkey)
@@ -446,6 +456,32 @@ def pairwise_mse(c):
     return explain.squared_error(rows, "a", "b", "label").select(F.round("mse", 6).alias("mse"))
 
 
+def _labelled(c: Corpus) -> DataFrame:
+    label = lambda k, name: relation(c, k).select("source", F.lit(name).alias("label"), "target")
+    return label(0, "cites_case").unionByName(label(1, "cites_act")).unionByName(label(3, "act_cites_act")).unionByName(label(2, "has_subject"))
+
+
+@query("""
+, up AS (SELECT source, target, 1 AS n FROM cc), r AS (
+  SELECT source, target, 1 AS n FROM cc UNION SELECT a.source, b.target, 2 FROM cc a JOIN cc b ON a.target = b.source
+  UNION SELECT a.source, d.target, 3 FROM cc a JOIN cc b ON a.target = b.source JOIN cc d ON b.target = d.source)
+SELECT DISTINCT r.source AS start, cl.target AS "end" FROM r JOIN cl ON r.target = cl.source
+""")
+def acts_of_cited_cases(c):
+    """Acts that a case's citations cite, up to three citations away."""
+    return pathexpr.reach(_labelled(c), c.case_ids(), step("cites_case").times(1, 3) / step("cites_act"))
+
+
+@query("""
+, near AS (SELECT source, target FROM ll UNION SELECT target, source FROM ll UNION SELECT target, target FROM cl)
+SELECT DISTINCT a.source AS start, b.source AS "end" FROM cl a JOIN near ON near.source = a.target JOIN cl b ON b.target = near.target
+""")
+def cases_by_adjacent_acts(c):
+    """Cases that cite one act, or two of which one cites the other."""
+    acts, cites = step("act_cites_act"), step("cites_act")
+    return pathexpr.reach(_labelled(c), c.case_ids(), cites / (acts | ~acts).times(0, 1) / ~cites)
+
+
 def walks(c: Corpus, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.walks(nodes, edges, ["case", "legislation", "case"], 2)
 

@@ -1,0 +1,48 @@
+"""Path expressions against a walk over (node, expression) by sets of pairs."""
+
+import random
+
+import pytest
+
+from lexweave.operators.pathexpr import Automaton, reach, step
+
+
+def pairs(edges, nodes, path):
+    if path.kind == "step":
+        label, back = path.parts
+        return {(b, a) if back else (a, b) for a, x, b in edges if x == label}
+    join = lambda p, q: {(a, d) for a, b in p for c, d in q if b == c}
+    if path.kind == "then":
+        return join(*(pairs(edges, nodes, p) for p in path.parts))
+    if path.kind == "either":
+        return set.union(*(pairs(edges, nodes, p) for p in path.parts))
+    inner, least, most = path.parts
+    one, now, out = pairs(edges, nodes, inner), {(n, n) for n in nodes}, set()
+    for k in range((most if most is not None else least + len(nodes) ** 2) + 1):
+        out |= now if k >= least else set()
+        now = join(now, one)
+    return out
+
+
+A, B = step("a"), step("b")
+PATHS = [A, ~A, A / B, A | ~B, A.times(1, 3), A.times(0), (A | B).times(2), (A / ~B).times(0, 2) / A, ~(A / B.times(1)), ((A | B).times(1) / ~A).times(0), A.times(0, 1) / A.times(2, 2), (A.times(0) / B).times(1, 2)]
+
+
+@pytest.mark.parametrize("k", range(len(PATHS)))
+def test_expressions(spark, k):
+    rng = random.Random(k)
+    nodes = [f"n{i}" for i in range(6)]
+    edges = [(rng.choice(nodes), rng.choice("ab"), rng.choice(nodes)) for _ in range(9)] + [("n0", "c", "n1")]
+    df = spark.createDataFrame([*edges, edges[0], (None, "a", "n1"), ("n1", "a", None)], "source string, label string, target string")
+    starts = spark.createDataFrame([(n,) for n in [*nodes, "n0", "lonely", None]], "id string")
+    got = sorted(tuple(r) for r in reach(df, starts, PATHS[k]).collect())
+    assert got == sorted(pairs(edges, [*nodes, "lonely"], PATHS[k]))
+
+
+def test_empty_tables_and_bounds(spark):
+    none = spark.createDataFrame([], "source string, label string, target string")
+    assert reach(none, none.selectExpr("source AS id"), A.times(0)).count() == 0
+    assert [tuple(r) for r in reach(none, spark.createDataFrame([("x",)], "id string"), A.times(0)).collect()] == [("x", "x")]
+    with pytest.raises(ValueError):
+        A.times(3, 2)
+    assert Automaton(A.times(0)).accepting == [0, 1]
