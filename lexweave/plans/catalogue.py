@@ -524,6 +524,7 @@ def network_training(c):
     return c.spark.createDataFrame([(i, round(x, 4)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
+from . import encoders as fixed_weights  # noqa: E402  registers its queries
 from . import scans  # noqa: E402  registers its queries
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "cosine", "scans"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "cosine", "fixed_weights", "scans"]

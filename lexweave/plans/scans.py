@@ -193,14 +193,14 @@ def html_anchor_paragraphs(c):
 
 
 @query(
-    r"""SELECT doc_id, replace(replace(replace(text, '‘', ''''), '—', '--'), '  ', ' ') AS plain, nullif(regexp_extract(substr(text, 1, 40), '^\p{Nd}+'), '') AS digits,
+    r"""SELECT doc_id, replace(replace(replace(text, '‘', ''''), '—', '--'), '  ', ' ') AS plain, nullif(regexp_extract(text, '^\p{Nd}+'), '') AS digits,
   CASE WHEN source IS NOT NULL THEN 'a_' || doc_id END AS key_id, regexp_replace(doc_id || ' x', '^\p{Nd}+', '') AS rest, CAST(doc_id AS VARCHAR) AS suffix FROM documents""",
     prelude=False,
 )
 def text_scalars(c):
     ident = F.col("doc_id").cast("string")
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("a_"), ident))
-    return c.documents.select("doc_id", X.plain_quotes(F.col("text")).alias("plain"), X.leading_digits(F.substring("text", 1, 40)).alias("digits"), key.alias("key_id"), X.without_leading_digits(F.concat(ident, F.lit(" x"))).alias("rest"), X.last_segment(F.concat(F.lit("3_1_"), ident), "_").alias("suffix"))
+    return c.documents.select("doc_id", X.plain_quotes(F.col("text")).alias("plain"), X.leading_digits(F.col("text")).alias("digits"), key.alias("key_id"), X.without_leading_digits(F.concat(ident, F.lit(" x"))).alias("rest"), X.last_segment(F.concat(F.lit("3_1_"), ident), "_").alias("suffix"))
 
 
 @query(
