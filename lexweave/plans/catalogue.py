@@ -16,6 +16,7 @@ from ..operators import encoders, explain, graph, html, network, pathexpr, pivot
 from ..operators import paragraphs as P
 from ..operators.pathexpr import step
 from ..storage import settle, shared_dir
+from ..streaming import metapaths
 from .fixtures import SQL, Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +111,19 @@ def metapath_case_leg_case(c):
     return graph.metapath_pairs(typed(c), CLC)
 
 
+@query('SELECT a.source AS start, b.source AS "end", count(*) AS n FROM cl a JOIN cl b USING (target) GROUP BY ALL')
+def maintained_metapath(c):
+    """The same pairs and their path counts, after half the citations, then the rest, then the withdrawal of what never held."""
+    folder = f"{shared_dir(c.spark)}/lexweave/metapath-{uuid.uuid4().hex}"
+    cited = relation(c, 1)
+    half = F.pmod(F.xxhash64("source"), F.lit(2)) == 0
+    false = cited.where(half).select("source", F.concat(F.lit("never "), F.substring("target", -1, 1)).alias("target"))
+    for k, (edges, added) in enumerate(((cited.where(half).unionByName(false), True), (cited.where(~half), True), (false, False))):
+        changes = edges.select(F.lit("cites").alias("label"), "source", "target", F.lit(added).alias("added"), F.lit(k).cast("long").alias("seq"))
+        metapaths.merge(changes, k, folder, [("cites", False), ("cites", True)])
+    return metapaths.pairs(c.spark, folder)
+
+
 @query('SELECT DISTINCT a.source AS start, b.source AS "end" FROM cs a JOIN cs b USING (target)')
 def metapath_case_subject_case(c):
     return graph.metapath_pairs(typed(c), CSC)
