@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import explain, graph, html, search, tfidf
+from ..functions import words
+from ..operators import explain, graph, html, lemmas, search, tfidf
 from ..operators import paragraphs as P
 from ..sources import endpoint, landed
 from ..storage import settle, shared_dir
-from .catalogue import STOP, TERMS_SQL, query, relation, typed, walks
+from .catalogue import _LISTED, _PUNCTUATION, STOP, TERMS_SQL, query, relation, typed, walks
 from .fixtures import Corpus
 
 _DOCS = """
@@ -305,3 +307,55 @@ def lemma_counts(c):
 @query(f"WITH {TERMS_SQL} SELECT doc AS doc_id, string_agg(term, ' ' ORDER BY place) AS text FROM words GROUP BY doc UNION ALL SELECT doc_id, '' FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc FROM words)", prelude=False)
 def joined_terms(c):
     return c.documents.where("text is not null").select("doc_id", X.joined_terms(X.terms(F.col("text"), STOP)).alias("text"))
+
+
+_W = r"[\p{L}\p{N}_]"
+
+
+def _contracted(text: str) -> str:
+    """The contractions that are left without ASCII punctuation. RE2 looks at no neighbours, so each rule takes them along, twice for those that share one."""
+    for a, b in (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me")):
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}_])({a})({b})($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\2 \\3 \\4', 'g')"
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}_])(wan)(na)( )', '\\1 \\2 \\3 \\4', 'g')"
+    return text
+
+
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_BARE = f"' ' || regexp_replace(regexp_replace(translate(lower(text), '{_PUNCTUATION}', ''), '([«“‘„])', ' \\1 ', 'g'), '([»”’])', ' \\1 ', 'g') || ' '"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {_contracted(f"regexp_replace({_BARE}, '{_SPACES}', ' ', 'g')")} AS x FROM documents),
+t AS (SELECT doc_id, unnest(string_split_regex(x, '{_SPACES}')) AS token FROM s),
+v AS (SELECT doc_id, unnest(regexp_extract_all(token, '{_W}{{2,}}')) AS term FROM t WHERE length(token) > 1 AND token NOT IN ({_LISTED}))
+SELECT doc_id, term, count(*) AS tf FROM v GROUP BY ALL""",
+    prelude=False,
+)
+def vector_term_counts(c):
+    """Terms as a vectoriser counts them: text without case and ASCII punctuation, the word tokenizer's rules, stop words and single letters out, then the vectoriser's own cut."""
+    bare = F.translate(F.lower("text"), string.punctuation, "")
+    kept = F.filter(words.word_tokens(bare), lambda w: (F.length(w) > 1) & ~w.isin(STOP))
+    got = c.documents.select("doc_id", F.explode(words.vector_terms(kept)).alias("term"))
+    return got.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+_RULES = ", ".join(f"('{a}', '{b}')" for a, b in words.DETACHED)
+_ODD = [("feet", "foot"), ("men", "man"), ("teeth", "tooth"), ("wives", "wife")]
+
+
+@query(
+    f"""WITH RECURSIVE {TERMS_SQL}, lexicon AS (SELECT term AS word FROM df WHERE df >= 2), rules(old, new) AS (VALUES {_RULES}), odd(term, lemma) AS (VALUES {", ".join(map(str, _ODD))}),
+forms AS (SELECT term, term AS form, 0 AS depth FROM df WHERE term NOT IN (SELECT term FROM odd)
+  UNION SELECT term, left(form, length(form) - length(old)) || new, depth + 1 FROM forms JOIN rules ON suffix(form, old) WHERE depth < 4),
+every AS (SELECT * FROM forms UNION ALL SELECT term, term, 0 FROM df WHERE term IN (SELECT term FROM odd) UNION ALL SELECT term, lemma, 1 FROM df JOIN odd USING (term)),
+ranked AS (SELECT term, form, row_number() OVER (PARTITION BY term ORDER BY greatest(depth, 1), length(form), depth, form) AS place FROM every WHERE form IN (SELECT word FROM lexicon))
+SELECT term, form AS lemma FROM ranked WHERE place = 1""",
+    prelude=False,
+)
+def noun_lemmas(c):
+    """Each term's noun lemma, where terms of two documents or more are the lexicon."""
+    counts = settle(tfidf.term_counts(c.documents.select("doc_id", X.terms(F.col("text"), STOP).alias("terms")), "doc_id", "terms"), "noun-counts")
+    lexicon = tfidf.document_frequency(counts).where("df >= 2").select(F.col("term").alias("word"))
+    return lemmas.noun_lemmas(counts.select("term"), lexicon, c.spark.createDataFrame(_ODD, "term string, lemma string"))
