@@ -6,7 +6,7 @@ and all multipliers are found together by safeguarded Newton steps, each one agg
 lie before sources meet; STEPS_AT_ONCE steps are one plan. Rates become whole
 copies by dithering: a hash of the document moves its rate up to the next integer or not, and a shift common to the source, found by
 histogram passes over the documents' turning points, makes the copies' words meet the target to within about one document.
-Where that is more than MISSED of the target and the source has at most FEW_DOCS documents, copies of up to three of them change at a time as long as that comes nearer.
+Where that is more than NEAR of the target, the EDGE documents nearest to their turning points, of any source, are looked at together: copies of up to three of them change at a time as long as that comes nearer.
 
 What is known of a source is a row of a settled table, however many sources there are; the driver sees sums over all of them alone. The table is
 broadcast to the histogram if it has at most BROADCAST_SOURCES rows (some 20 MB), else joined by source.
@@ -31,8 +31,8 @@ BINS, PASSES = 1 << 12, 2
 BROADCAST_SOURCES = 100_000
 #: Rounds of rounding, and how near a target, relative to it, ends them.
 ROUNDS, NEAR = 3, 1e-3
-#: Sources of so few documents are changed where rounding misses the target by more than this share of it.
-FEW_DOCS, MISSED = 64, 0.01
+#: Documents of a source, those nearest to their turning points, whose copies may still change after rounding.
+EDGE = 32
 
 
 def source_key(source: Column) -> Column:
@@ -141,13 +141,14 @@ def _shifted(sized: DataFrame, sources: DataFrame, base: float, limit: int, near
     return state.drop("open")
 
 
-def nearer(words: np.ndarray, copies: np.ndarray, target: float, limit: int) -> np.ndarray:
-    """Copies from 0 to limit, those of up to three entries changed at a time, best change first, while words @ copies comes nearer to target."""
+def nearer(words: np.ndarray, copies: np.ndarray, target: float, limit: int, near: float | None = None) -> np.ndarray:
+    """Copies from 0 to limit, those of up to three entries changed at a time, best change first, while words @ copies comes nearer to target, or until it is as near as `near` (NEAR of the target by default)."""
+    near = NEAR * target if near is None else near
     # Two entries without words stand for changing fewer.
     words, copies = np.append(words, [0, 0]), np.append(copies, [0, 0])
     at, to = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(limit + 1), indexing="ij"))
     same = at[:, None] == at
-    while abs(miss := target - float(words @ copies)) > NEAR * target:
+    while abs(miss := target - float(words @ copies)) > near:
         step = (to - copies[at]) * words[at]
         rest = np.where(same, np.inf, miss - step[:, None] - step)
         least, best = abs(miss), None
@@ -164,16 +165,18 @@ def nearer(words: np.ndarray, copies: np.ndarray, target: float, limit: int) ->
 
 
 def _changed(rows: DataFrame, limit: int) -> DataFrame:
-    """(_key, _size, _name, _copies) for rows(_key, _size, _name, target, copies) of sources with few documents; equal rows are one entry."""
+    """(_key, _size, _name, _copies) for rows(_key, _size, _name, target, words, copies, _far): of each source the EDGE entries that are nearest to a turning point; equal rows are one entry. words: all that the source gives now."""
 
     def change(group: pa.Table) -> pa.Table:
         group = group.sort_by([("_size", "ascending"), ("_name", "ascending")])
         size, n, copies = (group.column(c).to_numpy() for c in ("_size", "n", "copies"))
-        got = nearer(size * n, copies.astype(np.int64), group.column("target")[0].as_py(), limit)
+        target, words = (group.column(c)[0].as_py() for c in ("target", "words"))
+        got = nearer(size * n, copies.astype(np.int64), target - words + float(size * n @ copies), limit, NEAR * target)
         return group.select(["_key", "_size", "_name"]).append_column("_copies", pa.array(got, pa.int32()))
 
-    entries = rows.where("_size > 0").groupBy("_key", "_size", "_name", "target", "copies").agg(F.count("*").alias("n"))
-    return entries.groupBy("_key").applyInArrow(change, "_key string, _size long, _name string, _copies int")
+    entries = rows.where("_size > 0").groupBy("_key", "_size", "_name", "target", "words", "copies").agg(F.count("*").alias("n"), F.min("_far").alias("_far"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_far", "_size", "_name"))
+    return entries.withColumn("_place", place).where(F.col("_place") <= EDGE).drop("_place", "_far").groupBy("_key").applyInArrow(change, "_key string, _size long, _name string, _copies int")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
@@ -213,10 +216,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     shift = F.coalesce(F.try_element_at(shift, F.lit(1))["shift"], F.lit(0.0))
     copies = F.floor(F.col("_rate") + F.col("_chance") + shift)
     copies = F.when(F.col("whole"), F.lit(limit)).otherwise(F.least(F.greatest(copies, F.lit(0)), F.lit(limit))).cast("int")
-    missed = settle(state.where(~F.col("whole") & (F.col("docs") <= FEW_DOCS) & (F.abs(F.col("target") - F.col("words")) > MISSED * F.col("target"))).select(F.col("key").alias("_key")), "mixing-missed")
+    missed = settle(state.where(~F.col("whole") & (F.abs(F.col("target") - F.col("words")) > NEAR * F.col("target"))).select(F.col("key").alias("_key")), "mixing-missed")
     if not missed.isEmpty():
-        out = out.withColumns({"copies": copies, "_name": F.col("_id").cast("string")})
-        held = settle(_changed(out.join(missed, "_key", "left_semi").select("_key", "_size", "_name", "target", "copies"), limit), "mixing-changed")
+        # A document that is used up, or not begun, is one copy from its turning point at most.
+        gone = F.least(F.greatest(F.col("_rate") + F.col("_chance") + shift, F.lit(0.0)), F.lit(limit + 1.0))
+        out = out.withColumns({"copies": copies, "_name": F.col("_id").cast("string"), "_far": F.array_min(F.array(*[F.abs(gone - k) for k in range(1, limit + 1)]))})
+        # Turning points lie evenly, so about twice EDGE documents are so near, however many the source has; as many again by hash, where most are used up; and all of a small source.
+        close = F.least("_far", "_chance") * F.col("docs") <= EDGE
+        edge = out.join(missed, "_key", "left_semi").where(close).select("_key", "_size", "_name", "target", "words", "copies", "_far")
+        held = settle(_changed(edge, limit), "mixing-changed")
         held = held.withColumnsRenamed({c: f"_of{c}" for c in ("_key", "_size", "_name")})
         out = out.join(held, (F.col("_key") == F.col("_of_key")) & (F.col("_size") == F.col("_of_size")) & F.col("_name").eqNullSafe(F.col("_of_name")), "left")
         copies = F.coalesce("_copies", "copies")
