@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import TINY_TOKENS, position_table
 
 CLS, PAD = 101, 0
+#: Chunks whose attention a chunk encoder works out at once.
+ROWS = 256
 Encoder = Callable[[list[str]], np.ndarray]
 Tokenizer = Callable[[list[str]], list[list[int]]]
 
@@ -183,10 +185,12 @@ class ChunkEncoder:
         x = chunk_vectors + self.positions[np.where(real, np.arange(1, n + 1), 0)]
         for q, k, v, o, up, down in self.layers:
             split = lambda y: y.reshape(n, self.heads, -1).transpose(1, 0, 2)
-            scores = split(x @ q) @ split(x @ k).transpose(0, 2, 1) / np.sqrt(self.dim // self.heads)
-            scores = np.where(real[None, None, :], scores, -1e9)
-            weight = np.exp(scores - scores.max(-1, keepdims=True))
-            weight /= weight.sum(-1, keepdims=True)
-            x = layer_norm(x + (weight @ split(x @ v)).transpose(1, 0, 2).reshape(n, -1) @ o)
+            queries, keys, values = split(x @ q), split(x @ k).transpose(0, 2, 1), split(x @ v)
+            said = np.empty_like(queries)
+            for lo in range(0, n, ROWS):  # a long document's scores are never held whole
+                scores = np.where(real[None, None, :], queries[:, lo : lo + ROWS] @ keys / np.sqrt(self.dim // self.heads), -1e9)
+                weight = np.exp(scores - scores.max(-1, keepdims=True))
+                said[:, lo : lo + ROWS] = weight / weight.sum(-1, keepdims=True) @ values
+            x = layer_norm(x + said.transpose(1, 0, 2).reshape(n, -1) @ o)
             x = layer_norm(x + np.maximum(x @ up, 0) @ down)
         return x[real].mean(0) if self.pooling == "mean" else x[real].max(0)

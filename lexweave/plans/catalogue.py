@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import cosine
-from ..operators import encoders, explain, graph, html, network, pathexpr, pivots, search, skipgram, tfidf, training
+from ..operators import encoders, explain, graph, hierarchy, html, network, pathexpr, pivots, search, skipgram, tfidf, training
 from ..operators import paragraphs as P
 from ..operators.pathexpr import step
 from ..storage import settle, shared_dir
@@ -496,6 +496,14 @@ def cases_by_adjacent_acts(c):
     return pathexpr.reach(_labelled(c), c.case_ids(), cites / (acts | ~acts).times(0, 1) / ~cites)
 
 
+@query()
+def hier_document_vectors(c):
+    """A vector for every document's whole text: chunks of 64 tokens, positions, two layers of attention over chunks."""
+    tokenizer = encoders.LongTokenizer(encoders.word_tokenizer(), max_chunk_tokens=64)
+    got = hierarchy.document_vectors(c.documents, "doc_id", "text", tokenizer, hierarchy.hashing_chunks(48), 48)
+    return got.select(F.col("id").alias("doc_id"), "chunks", F.posexplode("vec").alias("dim", "x")).select("doc_id", "chunks", "dim", F.round("x", 5).alias("x"))
+
+
 def walks(c: Corpus, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.walks(nodes, edges, ["case", "legislation", "case"], 2)
 
