@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions import words
-from ..operators import explain, graph, html, lemmas, search, tfidf
+from ..operators import explain, graph, html, layout, lemmas, search, tfidf
 from ..operators import paragraphs as P
 from ..sources import endpoint, landed
 from ..storage import settle, shared_dir
@@ -359,3 +359,18 @@ def noun_lemmas(c):
     counts = settle(tfidf.term_counts(c.documents.select("doc_id", X.terms(F.col("text"), STOP).alias("terms")), "doc_id", "terms"), "noun-counts")
     lexicon = tfidf.document_frequency(counts).where("df >= 2").select(F.col("term").alias("word"))
     return lemmas.noun_lemmas(counts.select("term"), lexicon, c.spark.createDataFrame(_ODD, "term string, lemma string"))
+
+
+@query(
+    """WITH RECURSIVE w AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), ' ')) AS word, unnest(range(len(string_split(coalesce(text, ''), ' ')))) AS position FROM conversations),
+l AS (SELECT conv_id, turn, position, length(word)::DOUBLE AS width, 0 AS line, 0.0::DOUBLE AS x FROM w WHERE position = 0
+  UNION ALL SELECT w.conv_id, w.turn, w.position, length(w.word), CASE WHEN l.x + l.width + 1 + length(w.word) > 40 THEN l.line + 1 ELSE l.line END,
+    CASE WHEN l.x + l.width + 1 + length(w.word) > 40 THEN 0 ELSE l.x + l.width + 1 END FROM l JOIN w ON w.conv_id = l.conv_id AND w.turn = l.turn AND w.position = l.position + 1)
+SELECT conv_id, turn, position, line, x FROM l""",
+    prelude=False,
+)
+def word_lines(c):
+    """The words of every turn on lines of 40 characters."""
+    words_of = c.conversations.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("position", "word"))
+    placed = layout.broken_lines(words_of.select("conv_id", "turn", F.col("position").cast("long").alias("position"), F.length("word").cast("double").alias("width")), ["conv_id", "turn"], 40.0)
+    return placed.select("conv_id", "turn", "position", "line", "x")

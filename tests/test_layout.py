@@ -1,0 +1,40 @@
+"""Lines against a plain loop, curves by their ends."""
+
+import random
+
+import pytest
+
+from lexweave.operators import layout
+
+
+def looped(widths, room, gap=1.0):
+    out, line, x = [], 0, 0.0
+    for k, w in enumerate(widths):
+        w = w or 0.0
+        if k and x + w > room and x > 0:
+            line, x = line + 1, 0.0
+        out.append((line, x))
+        x += w + gap
+    return out
+
+
+@pytest.mark.parametrize("room", [1.0, 9.0, 1000.0])
+def test_lines(spark, room):
+    rng = random.Random(1)
+    texts = {d: [rng.choice([1.0, 2.0, 5.0, 12.0, None]) for _ in range(rng.choice([1, 2, 40]))] for d in range(8)}
+    rows = [(d, 10 * k, w, "z") for d, widths in texts.items() for k, w in enumerate(widths)]
+    words = spark.createDataFrame(rows, "doc int, position int, width double, line string").drop("line").repartition(3)
+    got = {}
+    for r in layout.broken_lines(words, ["doc"], room).orderBy("doc", "position").collect():
+        got.setdefault(r.doc, []).append((r.line, r.x))
+    assert got == {d: looped(w, room) for d, w in texts.items()}
+    assert layout.broken_lines(words.limit(0), ["doc"], room).count() == 0
+
+
+def test_curves(spark):
+    words = spark.createDataFrame([(1, 0, 4.0), (1, 1, 2.0), (1, 2, 6.0)], "pair int, position int, width double")
+    laid = layout.broken_lines(words, ["pair"], 7.0)
+    links = spark.createDataFrame([(1, 1, 2, -0.5), (1, 0, 9, 1.0)], "pair int, i int, j int, relevance double")
+    got = layout.link_curves(links, laid, laid, ["pair"]).collect()
+    assert len(got) == 1 and got[0].colour.startswith("#0000ff")
+    assert [(p.x, p.y) for p in got[0].points] == [(6.0, 1.0), (6.0, 4.0), (3.0, 4.0), (3.0, 7.0)]
