@@ -29,8 +29,8 @@ MAX_PIVOTS, REFERENCES = 1024, 16
 BLOCK, MAX_BLOCKS, STEPS = 1024, 1 << 16, (1, 8)
 #: Queries that meet a block in one task.
 ASKING = 20_000
-#: How far apart bounds must be to rule a block out.
-SLACK = 1e-9
+#: How far apart bounds must be to rule a block out: distances near zero are only known to the root of a double's precision.
+SLACK = 1e-6
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
