@@ -245,3 +245,29 @@ def test_encoding_keeps_order_and_takes_one_text(spark):
     got = encoders.encode(docs, "text", factory, batch=2).orderBy("i").collect()
     assert [r.embedding for r in got] == [[3, 0], [9, 0], [1, 1], [7, 1], [0, 0]] and not lengths
     assert encoders.encode_texts(spark, "one", encoders.hashing_encoder(4)).count() == 1 and encoders.encode_texts(spark, ["a", "b"], encoders.hashing_encoder(4)).count() == 2
+
+
+def test_groups_that_meet_are_few_and_miss_nothing(spark, monkeypatch):
+    """A row is copied once a group, and groups stay SPREAD until they are full, however many blocks of rows there are."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((90, 4)).round(1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    table = search.index(rows, "i", "v")
+    monkeypatch.setattr(search, "BLOCK", 3)
+    assert [search.groups_of(table, held, 3) for held in (90, 20, 5)] == [8, 8, 18] and search.groups_of(table) == 1
+    monkeypatch.setattr(search, "groups_of", lambda rows, *_: 4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.query_id, r["rank"]): r.id for r in search.top_k(table.where("id < 20"), table, 5).collect()}
+    for q in range(20):
+        s = np.round(unit @ unit[q], 12)
+        assert [got[q, k] for k in range(1, 6)] == [i for i in sorted(range(90), key=lambda i: (-s[i], i)) if i != q][:5]
+    e = np.exp(unit @ unit.T / 0.5)
+    want = np.mean(-np.log(np.diag(e) / e.sum(1)))
+    assert network.contrast_loss_blocks(table, table).first().loss == pytest.approx(want, abs=1e-7)
+
+
+def test_best_keeps_ties_of_the_first_columns():
+    best = search.Best(2, 2, 6)
+    for first, scores in ((0, [[1.0, 2.0, 2.0], [np.nan, -np.inf, 0.0]]), (3, [[2.0, 2.00000001, 3.0], [5.0, 0.0, 0.0]]), (6, [[3.0], [1.0]])):
+        best.add(np.array(scores), first)
+    assert best.rows.tolist() == [0, 0, 1, 1] and best.cols.tolist() == [5, 6, 3, 6]
