@@ -55,3 +55,11 @@ def test_nothing_landed(spark, tmp_path):
     assert metapaths.pairs(spark, str(tmp_path / "none")).count() == 0
     metapaths.merge(spark.createDataFrame([], metapaths.CHANGES), 0, str(tmp_path / "t"), STEPS)
     assert metapaths.pairs(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_withdrawn_edges_make_no_hubs(spark):
+    from lexweave.plans.catalogue import never
+
+    edges = spark.range(400).selectExpr("concat('6', id) AS source", "concat('3', id div 4) AS target")
+    most = never(edges).groupBy("target").count().agg({"count": "max"}).first()[0]
+    assert most == 4 and never(edges).join(edges, ["source", "target"]).count() == 0
