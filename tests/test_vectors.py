@@ -271,3 +271,20 @@ def test_best_keeps_ties_of_the_first_columns():
     for first, scores in ((0, [[1.0, 2.0, 2.0], [np.nan, -np.inf, 0.0]]), (3, [[2.0, 2.00000001, 3.0], [5.0, 0.0, 0.0]]), (6, [[3.0], [1.0]])):
         best.add(np.array(scores), first)
     assert best.rows.tolist() == [0, 0, 1, 1] and best.cols.tolist() == [5, 6, 3, 6]
+
+
+def test_relevance_by_blocks_equals_joins(spark, monkeypatch):
+    """Blocks of tokens, pairs that share no feature, repeated and null entries; and no row of pairs in a shuffle."""
+    rng = np.random.default_rng(2)
+    rows = [(int(p), int(f), int(t), None if t == 5 else float(x)) for p, f, t, x in zip(rng.integers(0, 2, 150), rng.integers(0, 40, 150), rng.integers(0, 9, 150), rng.standard_normal(150))]
+    a, b = (spark.createDataFrame(r + [(None, 1, 1, 1.0)], "p int, feature int, token int, r double") for r in (rows[:75], rows[75:]))
+    monkeypatch.setattr(explain, "TOKENS", 4)
+    as_dict = lambda d: {(r.p, r.i, r.j): r.relevance for r in d.collect()}
+    got, want = as_dict(explain.contracted(a, b, ["p"])), as_dict(explain.normalised(explain.contract(a, b, ["p"]), ["p"]))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(x, abs=1e-12) if x is not None else got[k] is None for k, x in want.items())
+    assert "Aggregate" not in explain.contracted(a, b, ["p"])._jdf.queryExecution().executedPlan().toString()
+    side = [(1, t, rng.standard_normal(3).tolist()) for t in range(11)]
+    x, y = spark.createDataFrame(side, "p int, token int, vec array<double>"), spark.createDataFrame([(1, 99, None)] + side[:3], "p int, token int, vec array<double>")
+    m = np.array([s[2] for s in side]) @ np.array([s[2] for s in side[:3]]).T
+    got = as_dict(explain.embedding_relevance(x, y, ["p"]))
+    assert len(got) == 44 and got[1, 4, 99] is None and got[1, 7, 2] == pytest.approx((m * m / (m * m).max())[7, 2])
