@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, settle
+from ..storage import settle
 
 
 @dataclass(frozen=True)
@@ -94,18 +94,26 @@ def reach(edges: DataFrame, starts: DataFrame, path: Path) -> DataFrame:
     """
     machine = Automaton(path)
     spark = edges.sparkSession
-    used = [e for e in {(label, back) for _, label, back, _ in machine.moves}]
-    either = [edges.where(F.col("label") == label).select(F.col("target" if back else "source").alias("node"), F.lit(label).alias("label"), F.lit(back).alias("back"), F.col("source" if back else "target").alias("next")) for label, back in used]
-    steps = settle(reduce(DataFrame.unionByName, either).dropna().distinct(), "path-steps")
+    used = sorted({(label, back) for _, label, back, _ in machine.moves})
+    ways = [F.when(F.col("label") == label, F.struct(F.col("target" if back else "source").alias("node"), F.lit(back).alias("back"), F.col("source" if back else "target").alias("next"))) for label, back in used]
+    either = edges.where(F.col("label").isin([label for label, _ in used])).select("label", F.explode(F.array_compact(F.array(*ways))).alias("e"))
+    steps = settle(either.select("e.node", "label", "e.back", "e.next").dropna().distinct(), "path-steps")
     moves = F.broadcast(spark.createDataFrame([m for m in sorted(machine.moves)], "state int, label string, back boolean, to int"))  # as many as the expression has
     ids = starts.where(F.col("id").isNotNull()).select("id").distinct()
     front = settle(ids.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("state")), "path-front")
-    seen = [front]
+    seen, ends = [front], []
+    # Rows in states that nothing follows are not seen again by any round: they only wait for the last distinct.
+    last = sorted(set(range(len(machine.steps) + 1)) - {m[0] for m in machine.moves})
+    onward = sorted({m[3] for m in machine.moves} - set(last))
     while True:
-        moved = front.join(moves, "state").join(steps, ["node", "label", "back"]).select("start", F.col("next").alias("node"), F.col("to").alias("state")).distinct()
-        front = settle(moved.join(reduce(DataFrame.unionByName, seen), ["start", "node", "state"], "left_anti"), "path-front")
+        moved = front.join(moves, "state").join(steps, ["node", "label", "back"]).select("start", F.col("next").alias("node"), F.col("to").alias("state"))
+        if last:
+            ends.append(moved.where(F.col("state").isin(last)))
+        if not onward:
+            break
+        fresh = moved.where(F.col("state").isin(onward)).distinct()
+        front = settle(fresh.join(reduce(DataFrame.unionByName, seen), ["start", "node", "state"], "left_anti"), "path-front")
         if front.isEmpty():
             break
         seen.append(front)
-    discard(steps)
-    return reduce(DataFrame.unionByName, seen).where(F.col("state").isin(machine.accepting)).select("start", F.col("node").alias("end")).distinct()
+    return reduce(DataFrame.unionByName, seen + ends).where(F.col("state").isin(machine.accepting)).select("start", F.col("node").alias("end")).distinct()

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lexweave.operators import pathexpr
 from lexweave.operators.pathexpr import Automaton, reach, step
 
 
@@ -46,3 +47,12 @@ def test_empty_tables_and_bounds(spark):
     with pytest.raises(ValueError):
         A.times(3, 2)
     assert Automaton(A.times(0)).accepting == [0, 1]
+
+
+def test_last_states_are_not_written(spark, monkeypatch):
+    fronts, write = [], pathexpr.settle
+    monkeypatch.setattr(pathexpr, "settle", lambda df, name: fronts.append((name, write(df, name))) or fronts[-1][1])
+    df = spark.createDataFrame([("x", "a", "y"), ("y", "b", "z"), ("y", "b", "w")], "source string, label string, target string")
+    got = reach(df, spark.createDataFrame([("x",)], "id string"), A / B)
+    assert sorted(tuple(r) for r in got.collect()) == [("x", "w"), ("x", "z")]
+    assert {r.state for name, f in fronts if name == "path-front" for r in f.collect()} == {0, 1}
