@@ -76,3 +76,31 @@ def test_numbering_spreads_a_hub(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted((r.pos, r.source) for r in got if r.target == "hub") == [(i, f"s{i:03d}") for i in range(300)]
     assert {r.degree for r in got if r.target == "hub"} == {300} and sorted((r.pos, r.source, r.degree) for r in got if r.target == "t") == [(0, "a", 2), (1, "b", 2)]
+
+
+def test_whole_graph_has_the_rows_of_typed_graph_and_reads_each_table_once(spark):
+    cited = edges(spark, ("61", "31"), ("61", "62"), ("61", "31"), ("31", "11"), ("69", "31"), ("61", "39"), ("62", "69"), ("31", "61"), ("S", "61"), ("62", None), (None, "61"))
+    topics = edges(spark, ("61", "S"), ("31", "S"), ("39", "S"), ("69", "S"), ("61", "S"), ("61", "62"), ("62", None))
+    cases, acts = ids(spark, "61", "62", "62", "31"), ids(spark, "31", "11", "61")
+    key = lambda g: sorted(map(str, g.collect()))
+    for lists in ((cases, acts), (cases, None), (None, acts), (None, None)):
+        for reverse in (True, False):
+            assert key(G.whole_graph(cited, topics, *lists, reverse)) == key(G.typed_graph(cited, topics, *lists, reverse))
+    table = spark.range(9).selectExpr("concat('6', id) source", "concat('3', id) target")
+    plan = G.whole_graph(table, table, cases, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2
+
+
+def test_walks_number_only_the_neighbours_they_may_take(spark, monkeypatch):
+    kept, settle = [], G.settle
+    monkeypatch.setattr(G, "settle", lambda df, name: kept.append((name, settle(df, name))) or kept[-1][1])
+    nodes, simple = G.judgment_graph(edges(spark, ("61", "31"), ("62", "31"), ("61", "62"), ("31", "32")), edges(spark, ("61", "S")), ids(spark, "61", "62"))
+    assert len(rows(G.walks(nodes, simple, ["case", "legislation", "case"], 1))) == 2
+    assert rows(dict(kept)["neighbours"].select("node", "nbr")) == [("31", "61"), ("31", "62"), ("61", "31"), ("62", "31")]
+
+
+def test_hubs_are_numbered_as_other_groups_are(spark, monkeypatch):
+    e = edges(spark, *[(f"s{i:03d}", "hub") for i in range(50)], *[(f"s{i:03d}", "other") for i in range(40)], ("a", "t"), ("b", "t")).select("target", "source")
+    whole = rows(G.numbered(e, ["target"], "source"))
+    monkeypatch.setattr(G, "HUB", 39)
+    assert rows(G.numbered(e, ["target"], "source")) == whole and len(whole) == 92
