@@ -47,11 +47,21 @@ JOINED = tuple((f"(?i){_EDGE_BEFORE}({a})({b}){_EDGE_AFTER}", " $1 $2 ") for a,
 )
 
 
+#: The rules that may apply to a text without ASCII punctuation. The contractions are whole words and none makes another, so one pass finds them all.
+ASCII_MARK = r"[!-/:-@\[-^`{-~]"
+_HALVES = (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"))
+BARE = (
+    ("([«“‘„»”’])", " $1 "),
+    (f"{SPACE}+", " "),
+    (f"(?i)(?=[cglw]){_EDGE_BEFORE}(?:(?:" + "|".join(f"({a})({b})" for a, b in _HALVES) + f"){_EDGE_AFTER}|(wan)(na)(?={SPACE}))", " $1$3$5$7$9$11 $2$4$6$8$10$12 "),
+)
+
+
 def word_tokens(c: Column) -> Column:
     """Words and marks of one sentence, in order: quotes, brackets, dashes and a final stop stand alone, contractions are cut. Null gives null, white space none."""
     replaced = lambda x, rules: reduce(lambda y, r: F.regexp_replace(y, r[0], r[1]), rules, x)
-    inner = replaced(c, OPENING + MARKS)
-    spaced = replaced(F.concat(F.lit(" "), inner, F.lit(" ")), CLOSING + JOINED)
+    framed = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    spaced = F.when(c.rlike(ASCII_MARK), replaced(framed(replaced(c, OPENING + MARKS)), CLOSING + JOINED)).otherwise(replaced(framed(c), BARE))
     return F.filter(F.split(spaced, f"{SPACE}+"), lambda w: w != "")
 
 

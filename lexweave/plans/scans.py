@@ -15,7 +15,7 @@ from ..operators import explain, graph, html, layout, lemmas, search, tfidf
 from ..operators import paragraphs as P
 from ..sources import endpoint, landed
 from ..storage import settle, shared_dir
-from .catalogue import _LISTED, _PUNCTUATION, STOP, TERMS_SQL, query, relation, typed, walks
+from .catalogue import _LISTED, _PUNCTUATION, STOP, TERMS_SQL, counted_terms, dealt_texts, query, relation, typed, walks
 from .fixtures import Corpus
 
 _DOCS = """
@@ -297,7 +297,7 @@ def knn_exclude_self(c):
 @query(f"WITH {TERMS_SQL}, l AS (SELECT term, left(term, length(term) - 1) AS lemma FROM df WHERE right(term, 1) = 's' AND left(term, length(term) - 1) IN (SELECT term FROM df)) SELECT doc, coalesce(lemma, term) AS term, sum(tf)::BIGINT AS tf FROM tf LEFT JOIN l USING (term) GROUP BY ALL", prelude=False)
 def lemma_counts(c):
     """Plurals counted with their singulars, where both are terms: a lemma table by rule."""
-    counts = settle(tfidf.term_counts(c.documents.select("doc_id", X.terms(F.col("text"), STOP).alias("terms")), "doc_id", "terms"), "lemma-counts")
+    counts = settle(counted_terms(c), "lemma-counts")
     every = counts.select("term").distinct()
     plural = every.where(F.col("term").endswith("s")).select("term", F.expr("left(term, length(term) - 1)").alias("lemma"))
     lemmas = plural.join(every.select(F.col("term").alias("lemma")), "lemma", "left_semi").select("term", "lemma")
@@ -337,8 +337,7 @@ def vector_term_counts(c):
     """Terms as a vectoriser counts them: text without case and ASCII punctuation, the word tokenizer's rules, stop words and single letters out, then the vectoriser's own cut."""
     bare = F.translate(F.lower("text"), string.punctuation, "")
     kept = F.filter(words.word_tokens(bare), lambda w: (F.length(w) > 1) & ~w.isin(STOP))
-    got = c.documents.select("doc_id", F.explode(words.vector_terms(kept)).alias("term"))
-    return got.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return tfidf.term_counts(dealt_texts(c).select("doc_id", words.vector_terms(kept).alias("terms")), "doc_id", "terms").withColumnRenamed("doc", "doc_id")
 
 
 _RULES = ", ".join(f"('{a}', '{b}')" for a, b in words.DETACHED)
@@ -356,7 +355,7 @@ SELECT term, form AS lemma FROM ranked WHERE place = 1""",
 )
 def noun_lemmas(c):
     """Each term's noun lemma, where terms of two documents or more are the lexicon."""
-    counts = settle(tfidf.term_counts(c.documents.select("doc_id", X.terms(F.col("text"), STOP).alias("terms")), "doc_id", "terms"), "noun-counts")
+    counts = settle(counted_terms(c), "noun-counts")
     lexicon = tfidf.document_frequency(counts).where("df >= 2").select(F.col("term").alias("word"))
     return lemmas.noun_lemmas(counts.select("term"), lexicon, c.spark.createDataFrame(_ODD, "term string, lemma string"))
 

@@ -48,3 +48,20 @@ def test_lemmas(spark, irregular):
     want = {t: w for t, w in LEMMAS.items() if w and (irregular or t != "feet")}
     assert {r.term: r.lemma for r in noun_lemmas(terms, lexicon, odd).collect()} == want
     assert noun_lemmas(terms.limit(0), lexicon, odd).count() == 0
+
+
+BARE = [" cannot «gimme» wanna wanna» gonna\tgotta lemme", "éCannot scannot cannots CANNOT Wanna", "l’arrêt “ici” x_y cannot", "wanna", "cannot", "", "  ", " wanna na„so„"]
+
+
+def test_texts_without_marks_take_the_short_rules_to_the_same_tokens(spark, monkeypatch):
+    df = spark.createDataFrame([(x,) for x in BARE], "text string")
+    short = df.select(words.word_tokens(F.col("text"))).collect()
+    monkeypatch.setattr(words, "ASCII_MARK", "^|.")
+    assert df.select(words.word_tokens(F.col("text"))).collect() == short
+
+
+def test_texts_are_dealt_before_they_are_taken_apart_and_that_once(spark, data):
+    from lexweave.plans import catalogue
+
+    plan = catalogue.QUERIES["vector_term_counts"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.index("regexp_extract_all") < plan.index("RepartitionByExpression [doc_id")
