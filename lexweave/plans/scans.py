@@ -15,7 +15,7 @@ from ..operators import explain, graph, html, layout, lemmas, search, tfidf
 from ..operators import paragraphs as P
 from ..sources import endpoint, landed
 from ..storage import settle, shared_dir
-from .catalogue import _LISTED, _PUNCTUATION, STOP, TERMS_SQL, counted_terms, dealt_texts, query, relation, typed, walks
+from .catalogue import _LISTED, _PUNCTUATION, STOP, TERMS_SQL, counted_terms, dealt_texts, kept, query, relation, walks
 from .fixtures import Corpus
 
 _DOCS = """
@@ -257,12 +257,14 @@ def paragraph_graph(c):
 def walk_checks(c):
     """Walks of each case: how many, how many of full length, and steps that follow no edge."""
     nodes, simple = graph.judgment_graph(c.citations(), c.subjects(), c.case_ids())
-    paths = settle(walks(c, nodes, simple), "walks")
-    near = graph.both_ways(simple).select("node", "nbr", F.lit(1).alias("there"))
-    steps = paths.where("size(path) > 1").select("start", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i.cast("int")).alias("node"), F.element_at("path", (i + 1).cast("int")).alias("nbr")))).alias("s"))
-    strays = steps.select("start", "s.node", "s.nbr").join(near, ["node", "nbr"], "left").groupBy("start").agg(F.sum(F.when(F.col("there").isNull(), 1).otherwise(0)).cast("int").alias("strays"))
-    each = paths.groupBy("start").agg(F.count("*").cast("int").alias("walks"), F.sum((F.size("path") == 3).cast("int")).cast("int").alias("whole"))
-    return each.join(strays, "start", "left").select("start", "walks", "whole", F.coalesce("strays", F.lit(0)).alias("strays"))
+    # One row a step, and one for a walk that has none, under a key of its own start.
+    at = lambda i: F.get("path", i)
+    hops = F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda i: F.struct(at(i - 1).alias("x"), F.coalesce(at(i), at(i - 1)).alias("y"), (i == 1).alias("first")))
+    steps = walks(c, nodes, simple).select("start", F.size("path").alias("n"), F.explode(hops).alias("s"))
+    steps = steps.select("start", "n", "s.first", F.least("s.x", "s.y").alias("a"), F.greatest("s.x", "s.y").alias("b"))
+    met = steps.join(simple.withColumn("there", F.lit(True)), ["a", "b"], "left")
+    count = lambda c: F.sum(c.cast("int")).cast("int")
+    return met.groupBy("start").agg(count(F.col("first")).alias("walks"), count(F.col("first") & (F.col("n") == 3)).alias("whole"), count((F.col("n") > 1) & F.col("there").isNull()).alias("strays"))
 
 
 @query("SELECT target, 2 AS draws, 0 AS strays FROM cl GROUP BY target")
@@ -276,7 +278,7 @@ def sample_checks(c):
 @query("SELECT src_type, rel, dst_type, source, target FROM graph")
 def decoded_edges(c):
     """Encoded edges looked up again by index."""
-    g = typed(c)
+    g = kept(c)
     index = settle(graph.dense_index(graph.nodes_of(g)), "decode-index")
     s = index.select(F.col("type").alias("src_type"), F.col("idx").alias("src"), F.col("id").alias("source"))
     d = index.select(F.col("type").alias("dst_type"), F.col("idx").alias("dst"), F.col("id").alias("target"))

@@ -104,3 +104,20 @@ def test_hubs_are_numbered_as_other_groups_are(spark, monkeypatch):
     whole = rows(G.numbered(e, ["target"], "source"))
     monkeypatch.setattr(G, "HUB", 39)
     assert rows(G.numbered(e, ["target"], "source")) == whole and len(whole) == 92
+
+
+def test_reversed_edges_are_made_from_forward_ones_that_were_written(spark):
+    cited, topics = edges(spark, ("61", "31"), ("61", "62"), ("31", "11")), edges(spark, ("61", "S"), ("31", "S"))
+    lists = ids(spark, "61", "62"), ids(spark, "31", "11")
+    forward = G.settle(G.whole_graph(cited, topics, *lists, reverse=False), "forward")
+    assert forward.count() == 5 and rows(G.with_reversed(forward)) == rows(G.typed_graph(cited, topics, *lists))
+
+
+def test_walk_checks_write_no_walks(spark, data, monkeypatch):
+    from lexweave.plans import catalogue, scans
+
+    def no(df, name):
+        raise AssertionError(name)
+
+    monkeypatch.setattr(scans, "settle", no)
+    assert catalogue.QUERIES["walk_checks"](spark, data).where("walks <> 2 or strays > 0").count() == 0
