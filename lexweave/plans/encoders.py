@@ -58,7 +58,7 @@ _ELU = ", ".join(f"CASE WHEN x{i} > 0 THEN x{i} ELSE exp(x{i}) - 1 END AS x{i}"
 def case_embeddings(c):
     """Embeddings of the cases by both metapaths, under fixed weights."""
     g = typed(c)
-    pairs = {name: graph.metapath_pairs(g, path) for name, path in (("clc", CLC), ("csc", CSC))}
+    pairs = {name: graph.metapath_halves(g, path) for name, path in (("clc", CLC), ("csc", CSC))}
     return _rounded(network.case_embeddings(pairs, _cases(c), {k: (W[k], B) for k in pairs}, (W["att"], B, A)))
 
 

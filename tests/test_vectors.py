@@ -102,6 +102,23 @@ def test_network_forward(spark):
     assert abs(network.contrast_loss(m).first().loss - want) < 1e-9
 
 
+@pytest.mark.parametrize("kind", ["few", "nothing", "starts of many ends", "ends of many starts"])
+def test_halves_convolve_as_their_pairs(spark, monkeypatch, kind):
+    from lexweave.operators.graph import Halves
+
+    rng = np.random.default_rng(3)
+    starts, ends = {"few": (12, 8), "nothing": (1, 1), "starts of many ends": (2, 30), "ends of many starts": (40, 3)}[kind]
+    edges = spark.createDataFrame(sorted({(int(a), 100 + int(b)) for a, b in zip(rng.integers(0, starts, 40), rng.integers(0, ends, 40))})[: 0 if kind == "nothing" else 40], "start int, end int")
+    f = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((starts + 2, 3))) if i != 1], "node int, vec array<double>")  # a start has no features
+    rows = lambda x: [(r.node, np.round(r.vec, 9).tolist()) for r in network.convolve(x, f, 3).orderBy("node").collect()]
+    want = rows(Halves(edges).pairs())
+    assert rows(Halves(edges)) == want
+    assert (network.repeated(Halves(edges)) is None) == (kind == "starts of many ends")
+    if kind != "starts of many ends":
+        monkeypatch.setattr(Halves, "pairs", None)  # not needed
+        assert rows(Halves(edges)) == want
+
+
 def test_explanations(spark):
     model = explain.DetachedAttention(6)
     x = np.random.default_rng(2).standard_normal((4, 6))
