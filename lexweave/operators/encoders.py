@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from ..functions.vectors import TINY_TOKENS, position_table
 CLS, PAD = 101, 0
 #: Chunks whose attention a chunk encoder works out at once.
 ROWS = 256
+#: Bytes of text whose tokens are held at once.
+PIECE = 1 << 20
 Encoder = Callable[[list[str]], np.ndarray]
 Tokenizer = Callable[[list[str]], list[list[int]]]
 
@@ -108,9 +111,10 @@ class LongTokenizer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             use = factory()
-            for part in batches:
-                got = [[CLS, *x[:most]] for x in use([x or "" for x in part.column(text_col).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.list_(pa.int32()))], names=[*keep, out_col])
+            for whole in batches:
+                for part in by_size(whole, text_col):
+                    got = [[CLS, *x[:most]] for x in use([x or "" for x in part.column(text_col).to_pylist()])]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.list_(pa.int32()))], names=[*keep, out_col])
 
         return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
@@ -120,6 +124,16 @@ class LongTokenizer:
         return got.select(*keep, "_c.chunk", "_c.ids", "_c.mask")
 
 
+def by_size(rows: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """The rows, in order, in pieces of about PIECE bytes of text and at least one row: token ids as Python lists take twenty times a text's bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(rows.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at, last = 0, 0
+    while at < rows.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, last + PIECE, "right")))
+        yield rows.slice(at, upto - at)
+        at, last = upto, int(ends[upto - 1])
+
+
 def padded_length(length: int, chunk: int) -> int:
     """Tokens (without the leading one) after padding so that windows of chunk - 1 at steps of that less a tenth cover all."""
     overlap, width = chunk // 10, chunk - 1

@@ -48,6 +48,20 @@ def test_attention_in_blocks_is_the_same(monkeypatch):
     assert np.allclose(encoders.ChunkEncoder(8, 2, 2)(x, real), whole)
 
 
+def test_tokens_of_few_texts_are_held_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a" * 40, None, "b" * 500, "", "c" * 90, "d" * 90, "é" * 60]
+    monkeypatch.setattr(encoders, "PIECE", 200)
+    parts = list(encoders.by_size(pa.RecordBatch.from_pydict({"n": list(range(7)), "t": texts}), "t"))
+    assert [x for p in parts for x in p.column("t").to_pylist()] == texts and [p.num_rows for p in parts] == [2, 1, 2, 1, 1]
+    assert list(encoders.by_size(pa.RecordBatch.from_pydict({"t": pa.array([], pa.string())}), "t")) == []
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(i, "x" * 100_000) for i in range(60)], "n int, t string").coalesce(1)
+    whole = encoders.LongTokenizer(lambda: lambda some: [[sum(map(len, some))] for _ in some]).ids(docs, "t").collect()
+    assert len(whole) == 60 and max(r.ids[1] for r in whole) <= 1 << 20
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert hierarchy.document_vectors(docs, "doc_id", "text", TOKENIZER, hierarchy.hashing_chunks(8), 8).count() == 0
