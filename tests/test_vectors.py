@@ -119,6 +119,22 @@ def test_halves_convolve_as_their_pairs(spark, monkeypatch, kind):
         assert rows(Halves(edges)) == want
 
 
+@pytest.mark.parametrize("dim, tau", [(1, 0.8), (2, 0.8), (2, 0.2), (3, 0.5)])
+def test_few_components_contrast_without_pairs(spark, monkeypatch, dim, tau):
+    from lexweave.operators import search
+
+    rng = np.random.default_rng(5)
+    ids = [*range(40), 7, None, None]  # an id and null come twice
+    make = lambda n: search.index(spark.createDataFrame([(i, v) for i, v in zip(ids[:n], [*rng.standard_normal((n - 1, dim)).tolist(), [0.0] * dim])], "id int, v array<double>").repartition(3), "id", "v")
+    a, b = make(43), make(42)
+    rows = lambda d: [tuple(x) for x in d.orderBy("side", F.col("id").asc_nulls_first()).select("total", "mine").collect()]
+    assert np.allclose(rows(network.series_sums(a, b, tau, *network.series(dim, tau))), rows(network.contrast_sums(a, b, tau)), rtol=1e-9, atol=0)
+    want = network.contrast_loss_blocks(a, b, tau, 0.3).first().loss
+    monkeypatch.setattr(network, "contrast_sums", None)  # pairs aren't made
+    assert abs(network.contrast_loss_blocks(a, b, tau, 0.3, dim).first().loss - want) < 1e-9
+    assert network.series(32, 0.5) is None and network.series(2, 0.05) is None
+
+
 def test_explanations(spark):
     model = explain.DetachedAttention(6)
     x = np.random.default_rng(2).standard_normal((4, 6))
