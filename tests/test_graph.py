@@ -121,3 +121,28 @@ def test_walk_checks_write_no_walks(spark, data, monkeypatch):
 
     monkeypatch.setattr(scans, "settle", no)
     assert catalogue.QUERIES["walk_checks"](spark, data).where("walks <> 2 or strays > 0").count() == 0
+
+
+def test_joins_deal_large_tables_into_parts(spark, monkeypatch):
+    """With few rows a part the same rows come, from as many parts as the rows ask for and without a list that is sent to every task."""
+    table = lambda rows: spark.createDataFrame(rows, "source string, target string")
+    cited = table([("61", "31"), ("61", "31"), ("62", "31"), ("62", "62"), ("69", "31"), ("62", "39"), ("31", "32"), (None, "31"), ("61", None)])
+    topics = table([("61", "S"), ("61", "S"), ("31", "T"), ("39", "T")])
+    cases, acts = (spark.createDataFrame([(i,) for i in ids], "id string") for ids in (["61", "62", "62", None], ["31", "32", "31"]))
+    paras = spark.createDataFrame([("61", "61_1"), ("61", "61_2"), ("61", "61_2"), ("62", "62_1"), (None, "x")], "doc string, para string")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    for cut in ((cases, acts), (cases, None), (None, None)):
+        assert rows(G.typed_graph(cited, topics, *cut, parts=5)) == rows(G.typed_graph(cited, topics, *cut)) == rows(G.whole_graph(cited, topics, *cut, parts=5))
+        nodes = rows(G.nodes_of(G.whole_graph(cited, topics, *cut)))
+        assert rows(G.nodes_of(G.whole_graph(cited, topics, *cut, reverse=False, parts=5, repeats=True))) == nodes
+    edges = G.citation_edges(cited, G.FORWARD[1], cases, acts, 5)
+    got = G.paragraph_legislation(edges, G.within(paras, cases, "doc", 5), 5)
+    assert rows(got) == [("61_1", "31"), ("61_2", "31"), ("62_1", "31")]
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and got.rdd.getNumPartitions() == 5
+    monkeypatch.setattr(G, "DEALT", 1)
+    assert G.parts_of(cited) == 9 and G.parts_of(cited, 4) == 0
+    monkeypatch.setattr(G, "FEW", 2)
+    hinted = lambda d: "Hint merge" in G.listed(d)._jdf.queryExecution().logical().toString()
+    assert hinted(acts) and not hinted(acts.limit(2))
