@@ -119,6 +119,23 @@ def test_halves_convolve_as_their_pairs(spark, monkeypatch, kind):
         assert rows(Halves(edges)) == want
 
 
+def test_attention_over_parts_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((40, 3)))], "node int, vec array<double>")
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 40, (150, 2))], "source int, target int")
+    w, a = [rng.standard_normal((3, 2)) for _ in range(2)], [rng.standard_normal(2) for _ in range(3)]
+
+    def rows():
+        got = network.attend(edges, x, x, *w, *a)
+        views = got.select(F.lit("a").alias("view"), "node", "vec").unionByName(x.select(F.lit("b").alias("view"), "node", F.slice("vec", 1, 2).alias("vec")))
+        final = network.semantic_attention(views, w[0][:2], a[0], a[1])
+        return final.rdd.getNumPartitions(), [np.round(r.vec, 9).tolist() for r in final.orderBy("node").collect()]
+
+    want = rows()
+    monkeypatch.setattr(network, "VECTORS", 10)
+    assert rows() == (8, want[1])
+
+
 @pytest.mark.parametrize("dim, tau", [(1, 0.8), (2, 0.8), (2, 0.2), (3, 0.5)])
 def test_few_components_contrast_without_pairs(spark, monkeypatch, dim, tau):
     from lexweave.operators import search
