@@ -338,3 +338,18 @@ def test_relevance_by_blocks_equals_joins(spark, monkeypatch):
     m = np.array([s[2] for s in side]) @ np.array([s[2] for s in side[:3]]).T
     got = as_dict(explain.embedding_relevance(x, y, ["p"]))
     assert len(got) == 44 and got[1, 4, 99] is None and got[1, 7, 2] == pytest.approx((m * m / (m * m).max())[7, 2])
+
+
+def test_every_row_is_a_query_of_the_fusion(spark, data):
+    from lexweave.plans import catalogue
+
+    got = {r.query_id for r in catalogue.QUERIES["rrf_fusion"](spark, data).select("query_id").distinct().collect()}
+    vectors = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("embedding is not null").select("vec_id").collect()}
+    assert vectors <= got and any(q % catalogue.EVERY for q in got)
+
+
+def test_few_queries_do_not_copy_the_corpus():
+    assert search.lean_groups(12_000, 600_000, 1 << 15, (256, 2048), 24) == (1, 24)
+    for n, m in ((0, 0), (200, 10_000), (10_000, 10_000), (72_000, 3_600_000)):
+        a, b = search.lean_groups(n, m, 1 << 15, (256, 2048), 24)
+        assert a * (1 << 15) >= n and b * (1 << 15) >= m and a >= 1 and b >= 1
