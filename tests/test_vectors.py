@@ -353,3 +353,11 @@ def test_few_queries_do_not_copy_the_corpus():
     for n, m in ((0, 0), (200, 10_000), (10_000, 10_000), (72_000, 3_600_000)):
         a, b = search.lean_groups(n, m, 1 << 15, (256, 2048), 24)
         assert a * (1 << 15) >= n and b * (1 << 15) >= m and a >= 1 and b >= 1
+
+
+def test_relevance_deals_tokens_not_their_features(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(explain, "_met", lambda left, right, by, compute: dealt.extend((left, right)))
+    rows = spark.createDataFrame([("p", t, f, float(f)) for t in range(3) for f in range(8)], "pair string, token long, feature int, r double")
+    explain.contracted(rows, rows, ["pair"])
+    assert [x.count() for x in dealt] == [3, 3]
